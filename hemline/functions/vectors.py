@@ -11,8 +11,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-VECTOR = "array<double>"
+VECTOR = T.ArrayType(T.DoubleType())
 
 
 def columns_like(df: DataFrame, text: str) -> list[str]:

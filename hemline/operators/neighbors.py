@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from hemline.functions import vectors as V
 from hemline.operators.ordering import OrderKey, global_index
+from hemline.session import materialize
 
 METRICS = ("euclidean", "cosine", "cosine_similarity_asc")
 # Rows per block: bounds the memory of a task at block x block distances.
@@ -196,12 +197,13 @@ def nearest_pruned(
     inequality then rules out every cell that lies farther away.  Cells above
     ``block_rows`` are split, so a crowd of copies is several blocks.
     """
-    shipped, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
-    load = shipped.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("chunks"))
+    q, visits, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
+    load = visits.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("chunks"))
     cell = F.struct("block", "chunk").alias("cell")
     q_cells = (
-        shipped.join(load, "block")
+        visits.join(load, "block")
         .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")))
+        .join(q, "id")
         .select(cell, "id", "grp", "vec")
     )
     t_cells = (
@@ -222,15 +224,15 @@ def compared_share(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Share of all query-train pairs that ``nearest_pruned`` still compares."""
-    shipped, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
-    asked = shipped.groupBy("block").agg(F.count("*").alias("q"))
+    _, visits, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
+    asked = visits.groupBy("block").agg(F.count("*").alias("q"))
     held = blocks.groupBy("block").agg(F.count("*").alias("t"))
     total = float(queries.count() * train.count())
     return asked.join(held, "block").agg((F.sum(F.col("q") * F.col("t")) / F.lit(total)).alias("share"))
 
 
 def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
-    """Queries with each block they must visit, and training rows with their block."""
+    """The queries, the blocks each must visit, and the training rows with their block."""
     q, t = _sides(queries, train, id_col, vec_col, None)
     chosen = t.orderBy(F.xxhash64("id", F.lit(4))).limit(n_pivots).select("vec").collect()
     if not chosen:
@@ -285,12 +287,9 @@ def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
             index=vectors.index,
         )
 
-    shipped = (
-        q.join(bound, "id", "left")
-        .withColumn("block", F.explode(visits("vec", "bound")))
-        .select("block", "id", "grp", "vec")
-    )
-    return shipped, blocks
+    asked = q.join(bound, "id", "left").select("id", F.explode(visits("vec", "bound")).alias("block"))
+    # Written once: the first search must not run again for each use.
+    return q, materialize(asked), blocks
 
 
 def neighbor_targets(

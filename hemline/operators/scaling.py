@@ -6,7 +6,8 @@ Fits reduce the training table to a few numbers; applying them is a projection.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,10 @@ def value_counts(df: DataFrame, y: str | Column) -> DataFrame:
 
 def positive_shift(train: DataFrame, y: str) -> float:
     """1.0 when any training value is not positive, else 0.0."""
-    low = train.agg(F.min(y)).first()[0]
+    return _shift(train.agg(F.min(y)).first()[0])
+
+
+def _shift(low: float | None) -> float:
     return 1.0 if low is not None and low <= 0 else 0.0
 
 
@@ -48,21 +52,31 @@ def inv_boxcox(x: Column, lam: float) -> Column:
     return F.pow(x * F.lit(lam) + 1, F.lit(1 / lam))
 
 
-def boxcox_llf(values: DataFrame, lambdas: Sequence[float]) -> DataFrame:
+@dataclass(frozen=True)
+class _Logs:
+    """Row count and log of the geometric mean."""
+
+    total: int
+    log_gm: float
+
+
+def _logs(values: DataFrame) -> _Logs:
+    total, logs, low = values.agg(F.sum("n"), F.sum(F.col("n") * F.log("y")), F.min("y")).first()
+    if not total or low <= 0:
+        raise ValueError("Box-Cox needs positive values; apply positive_shift first")
+    return _Logs(total, logs / total)
+
+
+def boxcox_llf(values: DataFrame, lambdas: Sequence[float], logs: _Logs | None = None) -> DataFrame:
     """Log-likelihood per candidate lambda over (y, n) rows.
 
     With z = y / geometric mean the likelihood is -n (ln gm + ln var(bc(z)) / 2),
     which avoids subtracting large sums.  Candidates are rows, so the work is
     one aggregate that is combined before the shuffle.
     """
-    total, logs, low = values.agg(
-        F.sum("n"), F.sum(F.col("n") * F.log("y")), F.min("y")
-    ).first()
-    if not total or low <= 0:
-        raise ValueError("Box-Cox needs positive values; apply positive_shift first")
-    log_gm = logs / total
+    logs = logs or _logs(values)
     lam = F.col("lambda")
-    ln_z = F.log("y") - F.lit(log_gm)
+    ln_z = F.log("y") - F.lit(logs.log_gm)
     bc = F.when(F.abs(lam) < LOG_LAMBDA, ln_z).otherwise(F.expm1(lam * ln_z) / lam)
     grid = F.explode(F.array(*[F.lit(float(c)) for c in lambdas])).alias("lambda")
     sums = (
@@ -71,38 +85,53 @@ def boxcox_llf(values: DataFrame, lambdas: Sequence[float]) -> DataFrame:
         .groupBy("lambda")
         .agg(F.sum(F.col("n") * F.col("t")).alias("s1"), F.sum(F.col("n") * F.col("t") * F.col("t")).alias("s2"))
     )
-    variance = F.col("s2") / total - F.pow(F.col("s1") / total, 2)
-    return sums.select("lambda", (-(F.lit(log_gm) + F.log(variance) / 2) * total).alias("llf"))
+    variance = F.col("s2") / logs.total - F.pow(F.col("s1") / logs.total, 2)
+    return sums.select("lambda", (-(F.lit(logs.log_gm) + F.log(variance) / 2) * logs.total).alias("llf"))
 
 
-def fit_boxcox(df: DataFrame, y: str | Column, digits: int = 4) -> float:
-    """Lambda of the highest likelihood, to ``digits`` decimals.
+def _fit_lambda(values: DataFrame, digits: int = 4) -> float:
+    """Lambda of the highest likelihood over (y, n) rows.
 
     A grid over [-2, 2] moves outward while the best sits on its edge, then is
     refined tenfold per step around the best.
     """
+    logs = _logs(values)
+
+    def best(candidates: list[float]) -> float:
+        scored = boxcox_llf(values, candidates, logs).filter("llf is not null")
+        top = scored.agg(F.max_by("lambda", "llf")).first()[0]
+        if top is None:
+            raise ValueError("Box-Cox needs at least two different values")
+        return top
+
+    center, reach = 0.0, 20
+    while True:
+        grid = [round(center + i / 10, 1) for i in range(-reach, reach + 1)]
+        top = best(grid)
+        if grid[0] < top < grid[-1] or abs(top) > 50:
+            break
+        center = top
+    for digit in range(2, digits + 1):
+        top = best([round(top + i / 10**digit, digit) for i in range(-10, 11)])
+    return top
+
+
+@contextmanager
+def _counted(df: DataFrame, y: str | Column) -> Iterator[DataFrame]:
+    """The distinct values of ``y``, kept for the few passes of a fit."""
     values = value_counts(df, y).persist()
     try:
-        def best(candidates: list[float]) -> float:
-            top = boxcox_llf(values, candidates).filter("llf is not null").agg(F.max_by("lambda", "llf")).first()[0]
-            if top is None:
-                raise ValueError("Box-Cox needs at least two different values")
-            return top
-
-        center, reach = 0.0, 20
-        while True:
-            grid = [round(center + i / 10, 1) for i in range(-reach, reach + 1)]
-            top = best(grid)
-            if grid[0] < top < grid[-1] or abs(top) > 50:
-                break
-            center = top
-        for digit in range(2, digits + 1):
-            top = best([round(top + i / 10**digit, digit) for i in range(-10, 11)])
-        return top
+        yield values
     finally:
         values.unpersist()
 
 
+def fit_boxcox(df: DataFrame, y: str | Column, digits: int = 4) -> float:
+    """Lambda of the highest likelihood, to ``digits`` decimals."""
+    with _counted(df, y) as values:
+        return _fit_lambda(values, digits)
+
+
 def quantiles(
     df: DataFrame, y: str | Column, probs: Sequence[float] = (0.16, 0.84), approx: bool = False
 ) -> list[float]:
@@ -110,13 +139,14 @@ def quantiles(
     if approx:
         col = F.col(y) if isinstance(y, str) else y
         return df.agg(F.percentile_approx(col.cast("double"), list(probs))).first()[0]
-    values = value_counts(df, y).persist()
-    try:
-        if values.count() <= QUANTILE_LIMIT:
-            return values.agg(F.percentile("y", list(probs), "n")).first()[0]
-        return _ranked_quantiles(values, probs)
-    finally:
-        values.unpersist()
+    with _counted(df, y) as values:
+        return _value_quantiles(values, probs)
+
+
+def _value_quantiles(values: DataFrame, probs: Sequence[float]) -> list[float]:
+    if values.count() <= QUANTILE_LIMIT:
+        return values.agg(F.percentile("y", list(probs), F.col("n"))).first()[0]
+    return _ranked_quantiles(values, probs)
 
 
 def _ranked_quantiles(values: DataFrame, probs: Sequence[float]) -> list[float]:
@@ -181,10 +211,11 @@ def fit_anchor(
     """Fit shift, lambda and the two anchors on the training target."""
     if form not in ("power", "boxcox"):
         raise ValueError("form must be 'power' or 'boxcox'")
-    shift = positive_shift(train, y)
-    shifted = F.col(y) + F.lit(shift)
-    lam = fit_boxcox(train, shifted) if lam is None else lam
-    lo, hi = quantiles(train, shifted, probs)
+    with _counted(train, y) as values:
+        shift = _shift(values.agg(F.min("y")).first()[0])
+        shifted = values.withColumn("y", F.col("y") + F.lit(shift))
+        lam = _fit_lambda(shifted) if lam is None else lam
+        lo, hi = _value_quantiles(shifted, probs)
     if lo == hi:
         raise ValueError("both quantiles are equal; the anchors are undefined")
     low, high = (math.log(lo), math.log(hi)) if abs(lam) < LOG_LAMBDA else (lo**lam, hi**lam)
@@ -215,11 +246,14 @@ class StandardScaler:
 
 def fit_standard(train: DataFrame, y: str, lam: float | None = None) -> StandardScaler:
     """Fit shift, lambda, mean and deviation on the training target."""
-    shift = positive_shift(train, y)
-    shifted = F.col(y) + F.lit(shift)
-    lam = fit_boxcox(train, shifted) if lam is None else lam
-    body = boxcox(shifted, lam)
-    mean, std = train.agg(F.avg(body), F.stddev_pop(body)).first()
+    with _counted(train, y) as values:
+        shift = _shift(values.agg(F.min("y")).first()[0])
+        shifted = values.withColumn("y", F.col("y") + F.lit(shift))
+        lam = _fit_lambda(shifted) if lam is None else lam
+        n, body = F.col("n"), boxcox(F.col("y"), lam)
+        total, mean = shifted.agg(F.sum(n), F.sum(n * body) / F.sum(n)).first()
+        spread = F.sum(n * F.pow(body - F.lit(mean), 2)) / F.lit(total)
+        std = math.sqrt(shifted.agg(spread).first()[0])
     return StandardScaler(lam, mean, std or 1.0, shift)
 
 

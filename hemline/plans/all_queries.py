@@ -2,8 +2,13 @@
 
 from hemline.plans import (  # noqa: F401
     catalog_queries,
+    evaluation_queries,
+    feature_queries,
+    neighbor_queries,
     profile_queries,
     sales_queries,
+    scaling_queries,
+    source_queries,
 )
 from hemline.plans.registry import ORACLES, QUERIES
 
