@@ -84,7 +84,8 @@ def _erf(x: np.ndarray) -> np.ndarray:
         total += term
         if not np.any(np.abs(term) > 1e-17 * np.abs(total)):
             break
-    return np.where(np.isnan(x), np.nan, total * np.exp(-square) * (2.0 / math.sqrt(math.pi)))
+    inner = np.clip(total * np.exp(-square) * (2.0 / math.sqrt(math.pi)), -1.0, 1.0)
+    return np.where(np.abs(x) >= 6.0, np.sign(x), inner)
 
 
 @F.pandas_udf(VECTOR)

@@ -98,18 +98,19 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
     A constant column falls into bin 0.  Two passes: bounds, then counts that
     are combined before the shuffle.
     """
+    present = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)) for c in cols}
     bounds = df.agg(
-        *[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, c in enumerate(cols)],
-        *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, c in enumerate(cols)],
+        *[F.min(x).alias(f"lo{i}") for i, x in enumerate(present.values())],
+        *[F.max(x).alias(f"hi{i}") for i, x in enumerate(present.values())],
     ).first()
     entries = []
-    for i, c in enumerate(cols):
+    for i, (c, x) in enumerate(present.items()):
         lo, hi = bounds[f"lo{i}"], bounds[f"hi{i}"]
-        x = F.col(f"`{c}`").cast("double")
         if lo is None or lo == hi:
-            bin_no = F.when(x.isNotNull(), F.lit(0))
+            bin_no = F.lit(0)
         else:
             bin_no = F.least(F.floor((x - lo) / F.lit((hi - lo) / bins)).cast("int"), F.lit(bins - 1))
+        bin_no = F.when(x.isNotNull(), bin_no)
         entries.append(F.struct(F.lit(c).alias("column"), bin_no.cast("int").alias("bin")))
     return (
         df.select(F.explode(F.array(*entries)).alias("e"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, list[str]] = {}
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, app: str = "hemline") -> SparkSession:
@@ -33,14 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
     cluster gets an error, because a machine-local folder would be lost with
     its executor.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="hemline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="hemline-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession) -> str:
