@@ -14,7 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,6 +147,17 @@ def _spread(n: int, seed: int) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
 
 
+def _fold_copies(t: DataFrame, k: int) -> DataFrame:
+    """Training rows without the copies that no query can be answered with.
+
+    Equal vectors are equally far from everything and go by id, so only the
+    first k + 1 of them (one may be the query itself) can be among the k
+    nearest.  The rank filter also runs before the shuffle.
+    """
+    first = F.row_number().over(Window.partitionBy("vec", "grp").orderBy("id"))
+    return t.withColumn("__rank", first).filter(F.col("__rank") <= k + 1).drop("__rank")
+
+
 def nearest(
     queries: DataFrame,
     train: DataFrame,
@@ -166,6 +177,7 @@ def nearest(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     q, t = _sides(queries, train, id_col, vec_col, exclude_same)
+    t = _fold_copies(t, k)
     q_blocks = max(1, math.ceil(q.count() / block_rows))
     t_blocks = max(1, math.ceil(t.count() / block_rows))
     q_no, t_no = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))
@@ -198,6 +210,11 @@ def nearest_pruned(
     ``block_rows`` are split, so a crowd of copies is several blocks.
     """
     q, visits, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
+    return _visit_blocks(q, visits, blocks, k, block_rows)
+
+
+def _visit_blocks(q: DataFrame, visits: DataFrame, blocks: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Search the listed (id, block) visits; a block with many visitors is asked in chunks."""
     load = visits.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("chunks"))
     cell = F.struct("block", "chunk").alias("cell")
     q_cells = (
@@ -234,6 +251,7 @@ def compared_share(
 def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
     """The queries, the blocks each must visit, and the training rows with their block."""
     q, t = _sides(queries, train, id_col, vec_col, None)
+    t = materialize(_fold_copies(t, k))
     chosen = t.orderBy(F.xxhash64("id", F.lit(4))).limit(n_pivots).select("vec").collect()
     if not chosen:
         raise ValueError("the training side is empty")
@@ -260,9 +278,8 @@ def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
     block = (firsts[F.col("home")] + part).cast("long")
     blocks = t.select(block.alias("block"), "id", "grp", "vec")
 
-    homes = q.withColumn("home", assign("vec")["home"])
-    probe = homes.select(block.alias("cell"), "id", "grp", "vec")
-    near = _search(probe, blocks.withColumnRenamed("block", "cell"), k, "euclidean")
+    homes = q.withColumn("home", assign("vec")["home"]).select("id", block.alias("block"))
+    near = _visit_blocks(q, homes, blocks, k, block_rows)
     bound = near.filter(F.size("neighbors") == k).select(
         F.col("qid").alias("id"), F.element_at("neighbors", -1)["d"].alias("bound")
     )

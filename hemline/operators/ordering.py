@@ -52,14 +52,22 @@ def ordered_table(
 ) -> DataFrame:
     """``df`` range-partitioned and sorted by ``order``, written once, with a row id.
 
-    ``within`` sees each sorted partition as Arrow batches.  A row hash and the
-    input partition break ties, so one order value, or one row copied many
-    times, still spreads over several range partitions.
+    ``within`` sees each sorted partition as Arrow batches.  A hash of the other
+    columns and the input partition break ties, so one order value, or one row
+    copied many times, still spreads over several range partitions.
     """
-    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    spread = df.withColumn("__hash", F.xxhash64(*hashed)).withColumn("__input", F.spark_partition_id())
-    keys = [*_columns(order), F.col("__hash"), F.col("__input")]
-    placed = spread.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__hash", "__input")
+    keys = _columns(order)
+    named = {k for k in ([order] if isinstance(order, (str, Column)) else order) if isinstance(k, str)}
+    hashed = [
+        f"`{f.name}`"
+        for f in df.schema
+        if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
+    ties = {"__input": F.spark_partition_id()}
+    if hashed:
+        ties = {"__hash": F.xxhash64(*hashed), **ties}
+    keys = [*keys, *[F.col(c) for c in ties]]
+    placed = df.withColumns(ties).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*ties)
     if within is not None:
         placed = placed.mapInArrow(within, schema or df.schema)
     return materialize(placed.withColumn(ROW_ID, F.monotonically_increasing_id()))

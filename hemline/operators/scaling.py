@@ -6,10 +6,13 @@ Fits reduce the training table to a few numbers; applying them is a projection.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,10 @@ from hemline.operators.ordering import running_total
 
 # |lambda| below this is the logarithm.
 LOG_LAMBDA = 1e-6
-# Up to so many distinct values one aggregate holds them; beyond, they are ranked in order.
+# Up to so many distinct values are ranked in one place; beyond, in distributed order.
 QUANTILE_LIMIT = 100_000
+# Rank error of the sketch that brackets a quantile: rows / accuracy.
+SKETCH_ACCURACY = 10_000
 
 
 def value_counts(df: DataFrame, y: str | Column) -> DataFrame:
@@ -135,34 +140,52 @@ def fit_boxcox(df: DataFrame, y: str | Column, digits: int = 4) -> float:
 def quantiles(
     df: DataFrame, y: str | Column, probs: Sequence[float] = (0.16, 0.84), approx: bool = False
 ) -> list[float]:
-    """Quantiles with linear interpolation, exact unless ``approx``."""
-    if approx:
-        col = F.col(y) if isinstance(y, str) else y
-        return df.agg(F.percentile_approx(col.cast("double"), list(probs))).first()[0]
-    with _counted(df, y) as values:
-        return _value_quantiles(values, probs)
-
+    """Quantiles with linear interpolation, exact unless ``approx``.
 
-def _value_quantiles(values: DataFrame, probs: Sequence[float]) -> list[float]:
-    if values.count() <= QUANTILE_LIMIT:
-        return values.agg(F.percentile("y", list(probs), F.col("n"))).first()[0]
-    return _ranked_quantiles(values, probs)
+    A sketch brackets every quantile, a second pass counts the rows below each
+    bracket, and only the values inside the brackets are ranked.
+    """
+    col = F.col(y) if isinstance(y, str) else y
+    rows = df.select(col.cast("double").alias("y")).filter("y is not null and not isnan(y)")
+    if approx:
+        return rows.agg(F.percentile_approx("y", list(probs))).first()[0]
+    slack = 3 / SKETCH_ACCURACY
+    edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    total, bounds = rows.agg(F.count("*"), F.percentile_approx("y", edges, SKETCH_ACCURACY)).first()
+    if not total:
+        raise ValueError("no values to take quantiles of")
+    spots = [(total - 1) * p for p in probs]
+    lows, highs = bounds[: len(probs)], bounds[len(probs) :]
+    counts = rows.agg(
+        *[F.count_if(F.col("y") < lo) for lo in lows], *[F.count_if(F.col("y") <= hi) for hi in highs]
+    ).first()
+    brackets = []
+    for spot, lo, hi, below, upto in zip(spots, lows, highs, counts[: len(probs)], counts[len(probs) :]):
+        holds = below <= math.floor(spot) and math.ceil(spot) < upto
+        brackets.append((lo, hi, below) if holds else (-math.inf, math.inf, 0))
+    inside = reduce(operator.or_, [F.col("y").between(lo, hi) for lo, hi, _ in brackets])
+    with _counted(rows.filter(inside), "y") as values:
+        if values.count() <= QUANTILE_LIMIT:
+            found = sorted(values.collect())
+            held_y = np.array([r["y"] for r in found])
+            held_n = np.array([r["n"] for r in found])
+
+            def at(rank: int, lo: float, hi: float, below: int) -> float:
+                mine = (held_y >= lo) & (held_y <= hi)
+                return float(held_y[mine][np.searchsorted(below + np.cumsum(held_n[mine]), rank, side="right")])
+        else:
 
+            def at(rank: int, lo: float, hi: float, below: int) -> float:
+                ranked = running_total(values.filter(F.col("y").between(lo, hi)), "n", "y", "upto")
+                hit = (F.col("upto") + below > rank) & (F.col("upto") + below - F.col("n") <= rank)
+                return ranked.filter(hit).first()["y"]
 
-def _ranked_quantiles(values: DataFrame, probs: Sequence[float]) -> list[float]:
-    """Quantiles by rank over the ordered distinct values."""
-    ranked = running_total(values, "n", "y", "upto")
-    total = values.agg(F.sum("n")).first()[0]
-    spots = [(total - 1) * p for p in probs]
-    ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-    holds = [
-        F.when((F.col("upto") - F.col("n") <= r) & (F.col("upto") > r), F.col("y")) for r in ranks
-    ]
-    found = ranked.agg(*[F.max(h) for h in holds]).first()
-    at = dict(zip(ranks, found))
-    return [
-        at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s)) for s in spots
-    ]
+        out = []
+        for spot, bracket in zip(spots, brackets):
+            floor = at(math.floor(spot), *bracket)
+            ceil = at(math.ceil(spot), *bracket) if spot % 1 else floor
+            out.append(floor + (ceil - floor) * (spot % 1))
+        return out
 
 
 @dataclass(frozen=True)
@@ -215,7 +238,11 @@ def fit_anchor(
         shift = _shift(values.agg(F.min("y")).first()[0])
         shifted = values.withColumn("y", F.col("y") + F.lit(shift))
         lam = _fit_lambda(shifted) if lam is None else lam
-        lo, hi = _value_quantiles(shifted, probs)
+        few = values.count() <= QUANTILE_LIMIT
+        if few:
+            lo, hi = shifted.agg(F.percentile("y", list(probs), F.col("n"))).first()[0]
+    if not few:
+        lo, hi = quantiles(train, F.col(y) + F.lit(shift), probs)
     if lo == hi:
         raise ValueError("both quantiles are equal; the anchors are undefined")
     low, high = (math.log(lo), math.log(hi)) if abs(lam) < LOG_LAMBDA else (lo**lam, hi**lam)

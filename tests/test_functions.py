@@ -52,10 +52,10 @@ def test_concat_refuses_a_null_part(spark):
 
 
 def test_feature_groups(spark):
-    df = spark.createDataFrame([], "`외관 설명_0` float, `설명_1` float, y int, y_s int, f string, `3 closest y` int, z int")
-    groups = V.feature_groups(df, "설명", "y", "y_s", "f", "closest")
+    df = spark.createDataFrame([], "`long desc_0` float, `desc_1` float, y int, y_s int, f string, `3 closest y` int, z int")
+    groups = V.feature_groups(df, "desc", "y", "y_s", "f", "closest")
     assert groups == {
-        "text": ["외관 설명_0", "설명_1"], "neighbors": ["3 closest y"], "files": ["f"],
+        "text": ["long desc_0", "desc_1"], "neighbors": ["3 closest y"], "files": ["f"],
         "target": ["y", "y_s"], "other": ["z"],
     }
 

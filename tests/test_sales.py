@@ -22,21 +22,21 @@ def test_season_filter_reaches_the_scan(spark):
 
 
 def test_old_cohorts(spark):
-    rows = [("2018", "NS71H02"), ("2018", "NSA1"), ("2019", "NSA1"), ("2019", "NSB1"), ("2019", None), ("2030", "NS7")]
+    rows = [("2018", "QX71"), ("2018", "QXA1"), ("2019", "QXA1"), ("2019", "QXB1"), ("2019", None), ("2030", "QX7")]
     df = spark.createDataFrame(rows, "season string, code string")
-    rules = S.growing_patterns(["2018", "2019"], ["NS7", "NSA"])
-    assert rules == {"2018": "NS7", "2019": "NS7|NSA"}
+    rules = S.growing_patterns(["2018", "2019"], ["QX7", "QXA"])
+    assert rules == {"2018": "QX7", "2019": "QX7|QXA"}
     got = {(r.season, r.code) for r in S.exclude_old_cohorts(df, "code", rules).collect()}
-    assert got == {("2018", "NSA1"), ("2019", "NSB1"), ("2030", "NS7")}
+    assert got == {("2018", "QXA1"), ("2019", "QXB1"), ("2030", "QX7")}
 
 
 def test_discount_band_drops_negatives_and_nulls(spark):
-    df = spark.createDataFrame([(d,) for d in (-5, 0, 19, 49, 50, 100, None)], "`할인율(%)` int")
-    band = lambda closed: sorted(r[0] for r in S.discount_band(df, "할인율(%)", closed=closed).collect())
+    df = spark.createDataFrame([(d,) for d in (-5, 0, 19, 49, 50, 100, None)], "`rate (%)` int")
+    band = lambda closed: sorted(r[0] for r in S.discount_band(df, "rate (%)", closed=closed).collect())
     assert band("left") == [0, 19, 49]
     assert band("neither") == [19, 49]
     with pytest.raises(ValueError):
-        S.discount_band(df, "할인율(%)", closed="right")
+        S.discount_band(df, "rate (%)", closed="right")
 
 
 def test_casts_truncate_and_raise(spark):

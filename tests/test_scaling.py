@@ -75,7 +75,10 @@ def test_quantiles_by_rank_equal_numpy(spark, monkeypatch):
     y = [r.y for r in df.collect()]
     want = np.quantile(y, [0.0, 0.16, 0.5, 0.84, 1.0])
     assert np.allclose(Z.quantiles(df, "y", [0.0, 0.16, 0.5, 0.84, 1.0]), want)
-    monkeypatch.setattr(Z, "QUANTILE_LIMIT", 10)
+    monkeypatch.setattr(Z, "QUANTILE_LIMIT", 1)
+    assert np.allclose(Z.quantiles(df, "y", [0.0, 0.16, 0.5, 0.84, 1.0]), want)
+    # A coarse sketch, which may miss the rank, must not change the result.
+    monkeypatch.setattr(Z, "SKETCH_ACCURACY", 5)
     assert np.allclose(Z.quantiles(df, "y", [0.0, 0.16, 0.5, 0.84, 1.0]), want)
     assert abs(Z.quantiles(df, "y", [0.5], approx=True)[0] - want[2]) <= 2
 
