@@ -120,14 +120,19 @@ def assign_color_folder(
 ) -> DataFrame:
     """Folder of each file: the first colour its name starts with, else null.
 
-    ``colors`` holds ``color`` and ``priority``.  A file offers its prefixes of
-    the lengths that occur among the colours, and an equality join finds them.
+    ``colors`` holds ``color`` and ``priority``.  A short list becomes one
+    expression.  For a long one a file offers its prefixes of the lengths that
+    occur among the colours, and an equality join finds them.
     """
+    listed = colors.select("color").orderBy("priority").limit(LITERAL_MAP_LIMIT + 1).collect()
+    if len(listed) <= LITERAL_MAP_LIMIT:
+        hits = [F.when(F.startswith(F.col(name), F.lit(r["color"])), F.lit(r["color"])) for r in listed]
+        return files.withColumn("folder", F.coalesce(*hits, F.lit(None).cast("string")))
     lengths = [r[0] for r in colors.select(F.length("color")).distinct().collect()]
     prefixes = F.array(*[F.when(F.length(name) >= n, F.left(F.col(name), F.lit(n))) for n in sorted(lengths)])
     offered = files.select(*file_key, F.explode(prefixes).alias("color")).filter("color is not null")
-    hits = offered.join(colors, "color").groupBy(*file_key).agg(F.min_by("color", "priority").alias("folder"))
-    return files.join(hits, list(file_key), "left")
+    found = offered.join(colors, "color").groupBy(*file_key).agg(F.min_by("color", "priority").alias("folder"))
+    return files.join(found, list(file_key), "left")
 
 
 def assign_black(

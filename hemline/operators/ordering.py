@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from hemline.session import materialize
 
 ROW_ID = "__row_id"
+# True on the last row of each partition, for tables that went through ``within``.
+LAST = "__last"
 # monotonically_increasing_id keeps the position in its lower 33 bits.
 _POSITION_BITS = 33
 
@@ -69,10 +71,29 @@ def ordered_table(
     keys = [*keys, *[F.col(c) for c in ties]]
     placed = df.withColumns(ties).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*ties)
     if within is not None:
-        placed = placed.mapInArrow(within, schema or df.schema)
+        schema = T.StructType([*(schema or df.schema).fields, T.StructField(LAST, T.BooleanType())])
+        placed = placed.mapInArrow(_marking_last(within), schema)
     return materialize(placed.withColumn(ROW_ID, F.monotonically_increasing_id()))
 
 
+def _marking_last(within):
+    def flagged(batch, last: bool):
+        flags = pa.array([False] * (batch.num_rows - 1) + [last], pa.bool_())
+        return pa.RecordBatch.from_arrays([*batch.columns, flags], names=[*batch.schema.names, LAST])
+
+    def run(batches):
+        held = None
+        for batch in within(batches):
+            if batch.num_rows:
+                if held is not None:
+                    yield flagged(held, False)
+                held = batch
+        if held is not None:
+            yield flagged(held, True)
+
+    return run
+
+
 def _with_carry(placed: DataFrame, carry: DataFrame) -> DataFrame:
     """Attach the per-partition carry row (at most one per shuffle partition)."""
     return placed.withColumn("__part", _part()).join(F.broadcast(carry), "__part", "left").drop("__part")
@@ -116,8 +137,8 @@ def forward_fill(
     """Carry the last seen value of ``cols`` down the sheet in ``order``."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     placed = ordered_table(df, order, within=_fill_batches(cols))
-    lasts = placed.groupBy(_part().alias("__part")).agg(
-        *[F.max_by(c, ROW_ID).alias(f"__last_{i}") for i, c in enumerate(cols)]
+    lasts = placed.filter(LAST).select(
+        _part().alias("__part"), *[F.col(f"`{c}`").alias(f"__last_{i}") for i, c in enumerate(cols)]
     )
     above = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(
@@ -127,7 +148,7 @@ def forward_fill(
     slot = {c: i for i, c in enumerate(cols)}
     return _with_carry(placed, carry).select(
         *[
-            F.coalesce(F.col(c), F.col(f"__carry_{slot[c]}")).alias(c) if c in slot else F.col(c)
+            F.coalesce(F.col(f"`{c}`"), F.col(f"__carry_{slot[c]}")).alias(c) if c in slot else F.col(f"`{c}`")
             for c in df.columns
         ]
     )
@@ -154,7 +175,7 @@ def running_total(
     df = df.withColumn(weight, F.col(weight).cast("long"))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
     placed = ordered_table(df, order, within=_running_batches(weight, name), schema=schema)
-    sums = placed.groupBy(_part().alias("__part")).agg(F.max_by(name, ROW_ID).alias("__sum"))
+    sums = placed.filter(LAST).select(_part().alias("__part"), F.col(name).alias("__sum"))
     before = F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")
     carry = sums.select("__part", before.alias("__before"))
     return _with_carry(placed, carry).select(
