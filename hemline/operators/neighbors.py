@@ -23,9 +23,16 @@ from hemline.operators.ordering import OrderKey, global_index
 from hemline.session import materialize
 
 METRICS = ("euclidean", "cosine", "cosine_similarity_asc")
-# Rows per block: bounds the memory of a task at block x block distances.
-BLOCK_ROWS = 1024
+# Most rows per block.  Every query is shipped once per block of training rows,
+# so blocks are as large as a task can hold comfortably.
+BLOCK_ROWS = 16_384
+# Smaller blocks leave more to prune.
+PRUNED_BLOCK_ROWS = 2_048
+# Fewest query rows worth a task of their own.
+_LEAST_QUERIES = 128
+# Bounds of the working arrays: queries per product, numbers per exact pass.
 _QUERY_CHUNK = 256
+_EXACT_NUMBERS = 4_000_000
 
 
 def pair_distance(
@@ -88,8 +95,9 @@ def _block_top_k(q, t, excluded, rank, k, metric):
         near = np.ones_like(rough, dtype=bool)
     rows, cols = np.nonzero(near & np.isfinite(rough))
     d = np.empty(len(rows))
-    for at in range(0, len(rows), 65536):
-        part = slice(at, at + 65536)
+    step = max(1, _EXACT_NUMBERS // q.shape[1])
+    for at in range(0, len(rows), step):
+        part = slice(at, at + step)
         d[part] = _exact(q[rows[part]], t[cols[part]], metric)
     order = np.lexsort((rank[cols], d, rows))
     rows, cols, d = rows[order], cols[order], d[order]
@@ -98,12 +106,17 @@ def _block_top_k(q, t, excluded, rank, k, metric):
     return rows[best], cols[best], d[best]
 
 
-def _search(q_cells: DataFrame, t_cells: DataFrame, k: int, metric: str) -> DataFrame:
+def _search(q_cells: DataFrame, t_cells: DataFrame, k: int, metric: str, cells: int | None = None) -> DataFrame:
     """k best (d, id) per query over all its cells.
 
     Both sides hold ``cell, id, grp, vec``; a pair with equal id, or equal
-    non-null ``grp``, does not count.
+    non-null ``grp``, does not count.  A cell is little data but much work, so
+    with a known number of ``cells`` the partitions are fixed and not merged by size.
     """
+    if cells is not None:
+        spark = q_cells.sparkSession
+        most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        q_cells, t_cells = (side.repartition(min(cells, most), "cell") for side in (q_cells, t_cells))
     id_type = q_cells.schema["id"].dataType
     out = T.StructType(
         [T.StructField("qid", id_type), T.StructField("d", T.DoubleType()), T.StructField("id", id_type)]
@@ -177,14 +190,17 @@ def nearest(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     q, t = _sides(queries, train, id_col, vec_col, exclude_same)
-    q_blocks = max(1, math.ceil(q.count() / block_rows))
+    n = q.count()
     t_blocks = max(1, math.ceil(t.count() / block_rows))
+    # Enough cells for every core, as long as each holds a fair number of queries.
+    wanted = math.ceil(2 * q.sparkSession.sparkContext.defaultParallelism / t_blocks)
+    q_blocks = max(1, math.ceil(n / block_rows), min(wanted, n // _LEAST_QUERIES))
     t = _fold_copies(t, k)
     q_no, t_no = F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))
     cell = (F.col("qb") * F.lit(t_blocks) + F.col("tb")).alias("cell")
     q_cells = q.withColumn("qb", _spread(q_blocks, 1)).withColumn("tb", t_no).select(cell, "id", "grp", "vec")
     t_cells = t.withColumn("tb", _spread(t_blocks, 2)).withColumn("qb", q_no).select(cell, "id", "grp", "vec")
-    return _search(q_cells, t_cells, k, metric)
+    return _search(q_cells, t_cells, k, metric, cells=q_blocks * t_blocks)
 
 
 def _pivot_distances(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
@@ -200,7 +216,7 @@ def nearest_pruned(
     id_col: str = "id",
     vec_col: str = "vec",
     pivots: int = 64,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = PRUNED_BLOCK_ROWS,
 ) -> DataFrame:
     """Same result as ``nearest`` (Euclidean), comparing fewer blocks.
 
@@ -238,7 +254,7 @@ def compared_share(
     id_col: str = "id",
     vec_col: str = "vec",
     pivots: int = 64,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = PRUNED_BLOCK_ROWS,
 ) -> DataFrame:
     """Share of all query-train pairs that ``nearest_pruned`` still compares."""
     _, visits, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)

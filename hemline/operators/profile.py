@@ -138,10 +138,12 @@ def one_hot(df: DataFrame, col: str, prefix: str, limit: int = 2000) -> DataFram
     return df.withColumns(flags)
 
 
-def one_hot_sparse(df: DataFrame, col: str, name: str) -> DataFrame:
+def one_hot_sparse(df: DataFrame, col: str, name: str, limit: int = 1_000_000) -> DataFrame:
     """Sparse indicator vector for columns with many values; null is all zero."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
 
+    if df.agg(F.approx_count_distinct(col)).first()[0] > limit:
+        raise ValueError(f"{col} has more than about {limit} values; keep it long")
     index = StringIndexer(
         inputCol=col, outputCol="__index", handleInvalid="keep", stringOrderType="alphabetAsc"
     )

@@ -71,6 +71,17 @@ def e3(t):
     )
 
 
+@query(
+    "e3_fixed_length_single",
+    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type || ',' || p_type ELSE p_type || ',' || p_brand || ',x' END
+    AS files FROM part""",
+)
+def e3_single(t):
+    lists = F.when(F.col("p_size") % 2 == 0, F.array("p_type")).otherwise(F.array("p_type", "p_brand", F.lit("x")))
+    padded = t.part.withColumn("files", X.fixed_length(lists, 2, pad="single"))
+    return padded.select("p_partkey", F.array_join("files", ",").alias("files"))
+
+
 @query(
     "e4_vector_to_columns",
     "SELECT vec_id, "

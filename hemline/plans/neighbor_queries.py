@@ -161,9 +161,7 @@ def g8(t):
     return N.knn_regress(train, test, "label", 10).withColumn("prediction", rounded("prediction"))
 
 
-@query(
-    "g9_knn_grid",
-    """WITH n AS (SELECT count(*) AS n FROM embeddings), p AS (
+_GRID = """WITH n AS (SELECT count(*) AS n FROM embeddings), p AS (
       SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label, row_number() OVER (ORDER BY vec_id) - 1 AS i
       FROM embeddings),
     v AS (SELECT p.*, CASE WHEN i < (n % 10) * (n // 10 + 1) THEN i // (n // 10 + 1)
@@ -174,7 +172,14 @@ def g8(t):
     g AS (SELECT k, qid, fold, any_value(y) AS y, avg(ty) AS guess FROM near JOIN range(1, 31) r(k) ON pos <= k
       GROUP BY k, qid, fold)
     SELECT CAST(k AS INTEGER) AS k, round(-avg(mse), 6) AS score FROM (
-      SELECT k, fold, avg((guess - y) * (guess - y)) AS mse FROM g GROUP BY k, fold) GROUP BY k""",
-)
+      SELECT k, fold, avg((guess - y) * (guess - y)) AS mse FROM g GROUP BY k, fold) GROUP BY k"""
+
+
+@query("g9_knn_grid", _GRID)
 def g9(t):
     return N.knn_grid(vectors(t), "label", "id").withColumn("score", rounded("score"))
+
+
+@query("g9_best_k", f"SELECT * FROM ({_GRID}) ORDER BY score DESC, k LIMIT 1")
+def g9_best(t):
+    return N.best_k(N.knn_grid(vectors(t), "label", "id")).withColumn("score", rounded("score"))

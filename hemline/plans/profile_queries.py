@@ -47,6 +47,16 @@ def c4(t):
     return P.distinct_count(holes, "item", by="season")
 
 
+@query(
+    "c4_distinct_count_all",
+    f"""WITH h AS (SELECT {_HOLED} AS item FROM lineitem)
+    SELECT count(DISTINCT item) + max(CASE WHEN item IS NULL THEN 1 ELSE 0 END) AS "values" FROM h""",
+)
+def c4_all(t):
+    holes = t.lineitem.withColumn("item", F.when(F.col("l_suppkey") % 10 != 0, F.col("l_partkey")))
+    return P.distinct_count(holes, "item")
+
+
 def _order_holes(t):
     return t.orders.select(
         F.year("o_orderdate").cast("string").alias("season"),

@@ -162,3 +162,24 @@ def f9(t):
     scaler = Z.fit_linear_scaler(items, "target", "minmax")
     scaled = scaler.unscale(scaler.scale(items, "target"))
     return scaled.select("item", rounded("scaled").alias("scaled"), rounded("restored").alias("restored"))
+
+
+@query(
+    "f5_fit_anchor_rounded",
+    f"WITH {ANCHOR_SQL} SELECT item, round_even(a * pow(target, lam) - b, 4) + 0.0 AS scaled FROM target, anchor",
+)
+def f5_rounded(t):
+    items = fit_input(t)
+    scaler = Z.fit_anchor(items, "target", digits=4)
+    return scaler.scale(items, "target").select("item", (F.col("scaled") + F.lit(0.0)).alias("scaled"))
+
+
+@query(
+    "f9_fit_zscore",
+    f"""WITH {TARGET_SQL} SELECT item, round((target - avg(target) OVER ()) / stddev_pop(target) OVER (), 6) + 0.0
+    AS scaled FROM target""",
+)
+def f9_zscore(t):
+    items = fit_input(t)
+    scaler = Z.fit_linear_scaler(items, "target", "standard")
+    return scaler.scale(items, "target").select("item", rounded("scaled").alias("scaled"))

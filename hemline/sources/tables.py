@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,8 @@ def read_table(
     """Read parquet, ORC, JSON or CSV.
 
     ``skip_rows`` drops that many preamble lines at the start of every CSV
-    file, before the header.  The preamble must lie in a file's first block.
+    file, before the header.  The preamble must lie in a file's first block, and
+    a record on one line.
     """
     if skip_rows == 0:
         reader = spark.read.format(fmt)
@@ -47,14 +49,17 @@ def _skip_head(n: int):
     def run(batches):
         seen: dict[str, int] = {}
         for batch in batches:
-            keep = []
-            blocks, files = batch.column("block").to_pylist(), batch.column("file").to_pylist()
-            for file, block in zip(files, blocks):
-                at = seen.get(file, 0)
-                keep.append(block > 0 or at >= n)
-                if block == 0 and at < n:
-                    seen[file] = at + 1
-            yield pa.RecordBatch.from_arrays([batch.column("value").filter(pa.array(keep, pa.bool_()))], ["value"])
+            value, starts = batch.column("value"), pc.equal(batch.column("block"), 0)
+            heads = pc.unique(batch.column("file").filter(starts)).to_pylist()
+            if any(seen.get(file, 0) < n for file in heads):
+                keep = []
+                for file, start in zip(batch.column("file").to_pylist(), starts.to_pylist()):
+                    skip = start and seen.get(file, 0) < n
+                    if skip:
+                        seen[file] = seen.get(file, 0) + 1
+                    keep.append(not skip)
+                value = value.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([value], ["value"])
 
     return run
 
