@@ -142,10 +142,16 @@ def _search(q_cells: DataFrame, t_cells: DataFrame, k: int, metric: str, cells:
         rows = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int64)
         cols = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=np.int64)
         d = np.concatenate([f[2] for f in found]) if found else np.zeros(0)
-        return pa.Table.from_arrays([q_ids.take(pa.array(rows)), pa.array(d), t_ids.take(pa.array(cols))], names=names)
+        # A query without any candidate still returns, with an empty row.
+        alone = np.setdiff1d(np.arange(len(q_ids)), rows)
+        qid = q_ids.take(pa.array(np.concatenate([rows, alone]).astype(np.int64)))
+        found_d = pa.concat_arrays([pa.array(d), pa.nulls(len(alone), pa.float64())])
+        found_id = pa.concat_arrays([t_ids.take(pa.array(cols.astype(np.int64))), pa.nulls(len(alone), t_ids.type)])
+        return pa.Table.from_arrays([qid, found_d, found_id], names=names)
 
     hits = q_cells.groupBy("cell").cogroup(t_cells.groupBy("cell")).applyInArrow(cell, out)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k)
+    pair = F.when(F.col("d").isNotNull(), F.struct("d", "id"))
+    best = F.slice(F.sort_array(F.collect_list(pair)), 1, k)
     return hits.groupBy("qid").agg(best.alias("neighbors"))
 
 
@@ -267,7 +273,6 @@ def compared_share(
 def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
     """The queries, the blocks each must visit, and the training rows with their block."""
     q, t = _sides(queries, train, id_col, vec_col, None)
-    t = materialize(_fold_copies(t, k))
     chosen = t.orderBy(F.xxhash64("id", F.lit(4))).limit(n_pivots).select("vec").collect()
     if not chosen:
         raise ValueError("the training side is empty")
@@ -279,7 +284,9 @@ def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
         home = d.argmin(axis=1)
         return pd.DataFrame({"home": home.astype(np.int32), "reach": d[np.arange(len(d)), home]})
 
-    t = t.withColumn("at", assign("vec")).select("id", "grp", "vec", "at.home", "at.reach")
+    t = _fold_copies(t, k).withColumn("at", assign("vec")).select("id", "grp", "vec", "at.home", "at.reach")
+    # Written once: the statistics and both searches read it.
+    t = materialize(t)
     stats = t.groupBy("home").agg(F.count("*").alias("rows"), F.max("reach").alias("radius")).collect()
     parts = np.zeros(len(pivot), dtype=np.int64)
     radius = np.full(len(pivot), -np.inf)
@@ -328,16 +335,18 @@ def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
 def neighbor_targets(
     neighbors: DataFrame, train: DataFrame, target: str, id_col: str = "id", name: str = "neighbor_targets"
 ) -> DataFrame:
-    """Targets of each query's neighbours in distance order."""
+    """Targets of each query's neighbours in distance order; none gives ``[]``."""
     side = train.select(F.col(id_col).alias("id"), F.col(target).cast("double").alias("__y"))
-    listed = neighbors.select("qid", F.posexplode("neighbors").alias("pos", "n")).select("qid", "pos", "n.id")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "__y")))
-    return listed.join(side, "id").groupBy("qid").agg(F.transform(ordered, lambda p: p["__y"]).alias(name))
+    listed = neighbors.select("qid", F.posexplode_outer("neighbors").alias("pos", "n")).select("qid", "pos", "n.id")
+    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", "__y"))
+    ordered = F.sort_array(F.collect_list(pair))
+    return listed.join(side, "id", "left").groupBy("qid").agg(F.transform(ordered, lambda p: p["__y"]).alias(name))
 
 
 def array_mean(col: str | Column) -> Column:
-    """Mean of an array of numbers."""
-    return F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x) / F.size(col)
+    """Mean of an array of numbers; null for an empty one."""
+    total = F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(col) > 0, total / F.size(col))
 
 
 def neighbor_residual(

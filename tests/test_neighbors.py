@@ -68,6 +68,16 @@ def test_fewer_train_rows_than_k_and_string_ids(spark):
     assert _ids(N.nearest_pruned(df, train, 3, pivots=2)) == {"a": ["b"], "b": ["a"], "c": ["a", "b"]}
 
 
+def test_a_query_without_candidates_stays(spark):
+    df = _frame(spark, [1, 2, 3], [[0.0], [1.0], [2.0]])
+    only = df.filter("id = 1")
+    assert _ids(N.nearest(df, only, 2)) == {1: [], 2: [1], 3: [1]}
+    assert _ids(N.nearest(df, only.filter("id = 9"), 2)) == {1: [], 2: [], 3: []}
+    assert _ids(N.nearest_pruned(df, only, 2)) == {1: [], 2: [1], 3: [1]}
+    targets = only.withColumn("y", F.lit(7.0))
+    assert {r.qid: r.prediction for r in N.knn_regress(targets, df, "y", 2).collect()} == {1: None, 2: 7.0, 3: 7.0}
+
+
 def test_cosine_orders(spark):
     df = _frame(spark, [1, 2, 3], [[1.0, 0.0], [5.0, 0.1], [-1.0, 0.0]])
     assert _ids(N.nearest(df, df, 1, "cosine"))[1] == [2]
