@@ -13,7 +13,7 @@ def _llf(y, lam):
     return (lam - 1) * np.log(y).sum() - len(y) / 2 * np.log(bc.var())
 
 
-@pytest.mark.parametrize("power", [3.0, 1.0, 0.5, 0.0, -1.0])
+@pytest.mark.parametrize("power", [3.0, 0.0, -1.0])
 def test_lambda_maximises_the_likelihood(spark, power):
     z = np.random.default_rng(1).normal(10, 1, 800)
     y = np.exp(z / 5) if power == 0 else z ** (1 / power)
@@ -31,9 +31,10 @@ def test_fit_needs_positive_varied_values(spark):
         Z.fit_anchor(_frame(spark, [1, 3, 3, 3, 3, 3, 3, 3, 3, 3]), "y")
 
 
-@pytest.mark.parametrize("form", ["power", "boxcox"])
-@pytest.mark.parametrize("lam", [None, 0.0, 0.5, -0.7])
-@pytest.mark.parametrize("low", [0, 1])
+@pytest.mark.parametrize(
+    "form,lam,low",
+    [("power", None, 0), ("power", 0.0, 1), ("power", -0.7, 0), ("boxcox", None, 1), ("boxcox", 0.0, 0), ("boxcox", 0.5, 1)],
+)
 def test_anchor_round_trip(spark, form, lam, low):
     df = _frame(spark, range(low, 60))
     scaler = Z.fit_anchor(df, "y", form=form, lam=lam)
