@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hemline.session import materialize
+
 
 def parse_list(col: str | Column) -> Column:
     """List literal as an array; any other cell becomes a one-element list."""
@@ -30,6 +32,21 @@ def fixed_length(col: str | Column, n: int = 2, pad: str = "last") -> Column:
     return F.slice(F.concat(col, filler), 1, n)
 
 
+def _token_stages(col: str, dim: int, max_tokens: int | None) -> list:
+    """Lower-cased words, and their hashed counts in ``__tf``."""
+    tokens = f"filter(split(lower(`{col}`), r'[^\\p{{L}}\\p{{N}}]+'), w -> w != '')"
+    if max_tokens:
+        tokens = f"slice({tokens}, 1, {int(max_tokens)})"
+    return [
+        SQLTransformer(statement=f"SELECT *, {tokens} AS __tokens FROM __THIS__"),
+        HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim),
+    ]
+
+
+def _weight_stages() -> list:
+    return [IDF(inputCol="__tf", outputCol="__tfidf"), Normalizer(inputCol="__tfidf", outputCol="__unit")]
+
+
 def fit_text_embedding(
     df: DataFrame, col: str, dim: int = 256, max_tokens: int | None = None
 ) -> PipelineModel:
@@ -38,19 +55,24 @@ def fit_text_embedding(
     Whole texts are used; ``max_tokens`` cuts each text after so many tokens,
     as an encoder with a bounded input would.
     """
-    cut = f"slice(__tokens, 1, {int(max_tokens)})" if max_tokens else "__tokens"
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=col, outputCol="__tokens", pattern=r"[^\p{L}\p{N}]+"),
-            SQLTransformer(statement=f"SELECT *, {cut} AS __cut FROM __THIS__"),
-            HashingTF(inputCol="__cut", outputCol="__tf", numFeatures=dim),
-            IDF(inputCol="__tf", outputCol="__tfidf"),
-            Normalizer(inputCol="__tfidf", outputCol="__unit"),
-        ]
-    ).fit(df)
+    return Pipeline(stages=[*_token_stages(col, dim, max_tokens), *_weight_stages()]).fit(df)
 
 
 def embed_text(df: DataFrame, model: PipelineModel, name: str = "text_vector") -> DataFrame:
     """Attach the text vector of every row."""
     embedded = model.transform(df).withColumn(name, vector_to_array("__unit"))
     return embedded.select(*df.columns, name)
+
+
+def embed_corpus(
+    df: DataFrame, key: str, col: str, dim: int = 256, max_tokens: int | None = None, name: str = "text_vector"
+) -> DataFrame:
+    """Fit on a table and embed the same table: ``key`` and vector.
+
+    The texts are read once: their hashed counts are written, and both the fit
+    and the vectors start from those.
+    """
+    counts = Pipeline(stages=_token_stages(col, dim, max_tokens)).fit(df).transform(df)
+    counts = materialize(counts.select(key, "__tf"))
+    weighted = Pipeline(stages=_weight_stages()).fit(counts).transform(counts)
+    return weighted.select(key, vector_to_array("__unit").alias(name))

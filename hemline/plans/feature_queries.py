@@ -151,8 +151,7 @@ def e8(t):
 
 @query("e9_embed_text")
 def e9(t):
-    model = X.fit_text_embedding(t.documents, "text", 256)
-    embedded = X.embed_text(t.documents.select("doc_id", "text"), model)
+    embedded = X.embed_corpus(t.documents, "doc_id", "text", 256)
     norm = F.sqrt(V.dot("text_vector", "text_vector"))
     used = F.size(F.filter("text_vector", lambda x: x != 0))
     return embedded.select("doc_id", rounded(norm).alias("norm"), used.alias("used"))

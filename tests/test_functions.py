@@ -61,11 +61,13 @@ def test_feature_groups(spark):
 
 
 def test_text_vectors_match_a_direct_computation(spark):
-    texts = ["Red ring, red!", "blue ring", "", "a b c d e f", "ring"]
+    texts = ["Red ring, red!", "blue ring", "", "a b c d e f", "ring", "Été à l'île"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for cut in (None, 2):
         model = X.fit_text_embedding(df, "t", 64, max_tokens=cut)
         got = {r.i: np.array(r.text_vector) for r in X.embed_text(df, model).collect()}
+        corpus = {r.i: r.text_vector for r in X.embed_corpus(df, "i", "t", 64, max_tokens=cut).collect()}
+        assert all(list(got[i]) == corpus[i] for i in got)
         slot = HashingTF(numFeatures=64)
         tokens = [re.findall(r"\w+", t.lower())[:cut] for t in texts]
         tf = np.zeros((len(texts), 64))
