@@ -7,8 +7,7 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemline.operators.ordering import running_total
+from hemline.session import materialize
 
 # |lambda| below this is the logarithm.
 LOG_LAMBDA = 1e-6
@@ -121,20 +121,14 @@ def _fit_lambda(values: DataFrame, digits: int = 4) -> float:
     return top
 
 
-@contextmanager
-def _counted(df: DataFrame, y: str | Column) -> Iterator[DataFrame]:
-    """The distinct values of ``y``, kept for the few passes of a fit."""
-    values = value_counts(df, y).persist()
-    try:
-        yield values
-    finally:
-        values.unpersist()
+def _counted(df: DataFrame, y: str | Column) -> DataFrame:
+    """The distinct values of ``y``, written once in as few files as they fill."""
+    return materialize(value_counts(df, y))
 
 
 def fit_boxcox(df: DataFrame, y: str | Column, digits: int = 4) -> float:
     """Lambda of the highest likelihood, to ``digits`` decimals."""
-    with _counted(df, y) as values:
-        return _fit_lambda(values, digits)
+    return _fit_lambda(_counted(df, y), digits)
 
 
 def quantiles(
@@ -164,28 +158,28 @@ def quantiles(
         holds = below <= math.floor(spot) and math.ceil(spot) < upto
         brackets.append((lo, hi, below) if holds else (-math.inf, math.inf, 0))
     inside = reduce(operator.or_, [F.col("y").between(lo, hi) for lo, hi, _ in brackets])
-    with _counted(rows.filter(inside), "y") as values:
-        if values.count() <= QUANTILE_LIMIT:
-            found = sorted(values.collect())
-            held_y = np.array([r["y"] for r in found])
-            held_n = np.array([r["n"] for r in found])
-
-            def at(rank: int, lo: float, hi: float, below: int) -> float:
-                mine = (held_y >= lo) & (held_y <= hi)
-                return float(held_y[mine][np.searchsorted(below + np.cumsum(held_n[mine]), rank, side="right")])
-        else:
-
-            def at(rank: int, lo: float, hi: float, below: int) -> float:
-                ranked = running_total(values.filter(F.col("y").between(lo, hi)), "n", "y", "upto")
-                hit = (F.col("upto") + below > rank) & (F.col("upto") + below - F.col("n") <= rank)
-                return ranked.filter(hit).first()["y"]
-
-        out = []
-        for spot, bracket in zip(spots, brackets):
-            floor = at(math.floor(spot), *bracket)
-            ceil = at(math.ceil(spot), *bracket) if spot % 1 else floor
-            out.append(floor + (ceil - floor) * (spot % 1))
-        return out
+    values = _counted(rows.filter(inside), "y")
+    if values.count() <= QUANTILE_LIMIT:
+        found = sorted(values.collect())
+        held_y = np.array([r["y"] for r in found])
+        held_n = np.array([r["n"] for r in found])
+
+        def at(rank: int, lo: float, hi: float, below: int) -> float:
+            mine = (held_y >= lo) & (held_y <= hi)
+            return float(held_y[mine][np.searchsorted(below + np.cumsum(held_n[mine]), rank, side="right")])
+    else:
+
+        def at(rank: int, lo: float, hi: float, below: int) -> float:
+            ranked = running_total(values.filter(F.col("y").between(lo, hi)), "n", "y", "upto")
+            hit = (F.col("upto") + below > rank) & (F.col("upto") + below - F.col("n") <= rank)
+            return ranked.filter(hit).first()["y"]
+
+    out = []
+    for spot, bracket in zip(spots, brackets):
+        floor = at(math.floor(spot), *bracket)
+        ceil = at(math.ceil(spot), *bracket) if spot % 1 else floor
+        out.append(floor + (ceil - floor) * (spot % 1))
+    return out
 
 
 @dataclass(frozen=True)
@@ -234,13 +228,13 @@ def fit_anchor(
     """Fit shift, lambda and the two anchors on the training target."""
     if form not in ("power", "boxcox"):
         raise ValueError("form must be 'power' or 'boxcox'")
-    with _counted(train, y) as values:
-        shift = _shift(values.agg(F.min("y")).first()[0])
-        shifted = values.withColumn("y", F.col("y") + F.lit(shift))
-        lam = _fit_lambda(shifted) if lam is None else lam
-        few = values.count() <= QUANTILE_LIMIT
-        if few:
-            lo, hi = shifted.agg(F.percentile("y", list(probs), F.col("n"))).first()[0]
+    values = _counted(train, y)
+    shift = _shift(values.agg(F.min("y")).first()[0])
+    shifted = values.withColumn("y", F.col("y") + F.lit(shift))
+    lam = _fit_lambda(shifted) if lam is None else lam
+    few = values.count() <= QUANTILE_LIMIT
+    if few:
+        lo, hi = shifted.agg(F.percentile("y", list(probs), F.col("n"))).first()[0]
     if not few:
         lo, hi = quantiles(train, F.col(y) + F.lit(shift), probs)
     if lo == hi:
@@ -273,14 +267,14 @@ class StandardScaler:
 
 def fit_standard(train: DataFrame, y: str, lam: float | None = None) -> StandardScaler:
     """Fit shift, lambda, mean and deviation on the training target."""
-    with _counted(train, y) as values:
-        shift = _shift(values.agg(F.min("y")).first()[0])
-        shifted = values.withColumn("y", F.col("y") + F.lit(shift))
-        lam = _fit_lambda(shifted) if lam is None else lam
-        n, body = F.col("n"), boxcox(F.col("y"), lam)
-        total, mean = shifted.agg(F.sum(n), F.sum(n * body) / F.sum(n)).first()
-        spread = F.sum(n * F.pow(body - F.lit(mean), 2)) / F.lit(total)
-        std = math.sqrt(shifted.agg(spread).first()[0])
+    values = _counted(train, y)
+    shift = _shift(values.agg(F.min("y")).first()[0])
+    shifted = values.withColumn("y", F.col("y") + F.lit(shift))
+    lam = _fit_lambda(shifted) if lam is None else lam
+    n, body = F.col("n"), boxcox(F.col("y"), lam)
+    total, mean = shifted.agg(F.sum(n), F.sum(n * body) / F.sum(n)).first()
+    spread = F.sum(n * F.pow(body - F.lit(mean), 2)) / F.lit(total)
+    std = math.sqrt(shifted.agg(spread).first()[0])
     return StandardScaler(lam, mean, std or 1.0, shift)
 
 
