@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemline.llm import common, secrets, sharding
+from hemline.llm import common, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,11 @@ def documents(spark: SparkSession, folder: str, *names: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(*(names or ("doc_id", "text")))
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 @query("op3_sharding")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, folder))
