@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemline.llm import common, secrets, sharding, toxicity
+from hemline.llm import common, language, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_secret_scans")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(secrets.scan(documents(spark, folder)))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return language.report(documents(spark, folder, "doc_id", "text", "lang"))
