@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemline.llm import common, language, secrets, sharding, toxicity
+from hemline.llm import common, language, packing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language.report(documents(spark, folder, "doc_id", "text", "lang"))
+
+
+def tokenizer_path(name: str) -> str:
+    """A file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
