@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemline.llm import common, language, packing, secrets, sharding, toxicity
+from hemline.llm import common, language, order_minhash, packing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query("op4_order_minhash")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.report(documents(spark, folder))
+
+
 @query("op8_secret_scans")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(secrets.scan(documents(spark, folder)))
