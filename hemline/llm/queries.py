@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hemline.llm import common, language, order_minhash, packing, secrets, sharding, toxicity
+from hemline.llm import common, impact_search, language, order_minhash, packing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.report(documents(spark, folder))
 
 
+@query("op5_impact_search")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return impact_search.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 @query("op8_secret_scans")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(secrets.scan(documents(spark, folder)))
