@@ -57,3 +57,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, so that other names cannot clash with an operator's own."""
     return df.select(*names)
+
+
+def regroup(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of several batches together, of about ``limit`` characters, with their texts (null: empty)."""
+    held: list[pa.RecordBatch] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        for part, more in chunks(batch, text, limit):
+            chars = sum(map(len, more))
+            if held and size + chars > limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts
+                held, texts, size = [], [], 0
+            held.append(part)
+            texts += more
+            size += chars
+    if texts:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hemline.llm import common, impact_search, jaccard, language, order_minhash, packing, secrets, sharding, toxicity
+from hemline.llm import common, context_tree, impact_search, jaccard, language, order_minhash, packing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return impact_search.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+@query("op6_context_tree")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return context_tree.report(documents(spark, folder))
+
+
 @query("op7_ngram_jaccard")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.report(documents(spark, folder))
