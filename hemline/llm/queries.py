@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hemline.llm import common, context_tree, impact_search, jaccard, language, order_minhash, packing, secrets, sharding, toxicity
+from hemline.llm import common, context_tree, impact_search, jaccard, language, order_minhash, packing, pieces, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,15 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.report(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(documents(spark, folder), model), model)
+    # a mark in a text is a blank after decoding
+    same = F.regexp_replace("text", pieces.MARK, " ") == F.col("decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
 @query("op3_sharding")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(documents(spark, folder))
