@@ -67,17 +67,33 @@ def lattice(words: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFram
     return met.groupBy("word").agg(F.collect_list(edge).cast(_EDGE).alias("edges"))
 
 
-def _merged(word: Column, edges: Column) -> Column:
+def _place(begin: Column, stop: Column) -> Column:
+    """One number for a pair of borders."""
+    return begin * 64 + stop
+
+
+def _lookup(edges: Column) -> Column:
+    """Map from a pair of borders to its piece: rank above, id in the low 24 bits."""
+    return F.map_from_entries(F.transform(edges, lambda e: F.struct(_place(e["begin"], e["stop"]), e["rank"].cast("long") * 2**24 + e["id"])))
+
+
+def _merged(word: Column, lookup: Column) -> Column:
     """Borders of the pieces when the best-ranked, leftmost neighbouring pair is joined until none is a piece."""
-    borders = F.sequence(F.lit(0), F.length(word))
+    none = F.lit(2**60)
 
     def step(b: Column, _: Column) -> Column:
-        near = F.filter(edges, lambda e: F.get(b, F.array_position(b, e["begin"]).cast("int") + 1) == e["stop"])
-        best = F.array_min(F.transform(F.filter(near, lambda e: F.array_contains(b, e["begin"])), lambda e: F.struct(e["rank"], e["begin"], e["stop"])))
-        joined = F.filter(b, lambda x: (x <= best["begin"]) | (x >= best["stop"]))
-        return F.when(best.isNull(), b).otherwise(joined)
+        pairs = F.transform(
+            F.slice(b, F.lit(1), F.greatest(F.size(b) - 2, F.lit(0))),
+            lambda begin, i: F.struct(F.coalesce(F.try_element_at(lookup, _place(begin, F.get(b, i + 2))), none).alias("piece"), i.alias("at")),
+        )
+        # a list of one binds the best pair, which is otherwise searched for at each use
+        joined = F.transform(
+            F.array(F.array_min(pairs)),
+            lambda t: F.when(t.isNull() | (t["piece"] == none), b).otherwise(F.concat(F.slice(b, F.lit(1), t["at"] + 1), F.slice(b, t["at"] + 3, F.size(b)))),
+        )
+        return F.get(joined, F.lit(0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), borders, step)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), F.sequence(F.lit(0), F.length(word)), step)
 
 
 def _best_path(word: Column, edges: Column, missing: float = -1e6) -> Column:
@@ -97,15 +113,15 @@ def _best_path(word: Column, edges: Column, missing: float = -1e6) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: F.element_at(s, -1)["path"])
 
 
-def _ids(word: Column, edges: Column, borders: Column, first_byte: int) -> Column:
+def _ids(word: Column, lookup: Column, borders: Column, first_byte: int) -> Column:
     """Ids between the borders; a character without a piece becomes its UTF-8 bytes."""
 
     def part(begin: Column, i: Column) -> Column:
         stop = F.get(borders, i + 1)
-        found = F.filter(edges, lambda e: (e["begin"] == begin) & (e["stop"] == stop))
+        found = F.try_element_at(lookup, _place(begin, stop))
         raw = F.hex(F.encode(F.substring(word, begin + 1, stop - begin), "UTF-8"))
         octets = F.transform(F.sequence(F.lit(1), (F.length(raw) / 2).cast("int")), lambda j: F.conv(F.substring(raw, j * 2 - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
-        return F.when(F.size(found) > 0, F.array(F.get(found, F.lit(0))["id"])).otherwise(octets)
+        return F.when(found.isNotNull(), F.array((found % 2**24).cast("int"))).otherwise(octets)
 
     inner = F.slice(borders, F.lit(1), F.size(borders) - 1)
     return F.flatten(F.transform(inner, part))
@@ -129,11 +145,9 @@ def encode_words(words: DataFrame, path: str, fold: str = "merges") -> DataFrame
     """``word`` and ``ids`` of different words."""
     table, first, longest_piece = piece_table(words.sparkSession, path)
     short = words.where(F.length("word") <= LONGEST)
-    edged = lattice(short, table, longest_piece)
-    # kept as a table of its own: the folds refer to it many times
-    edges = F.coalesce(F.col("edges"), F.array().cast(_EDGE))
-    borders = (_merged if fold == "merges" else _best_path)(F.col("word"), edges)
-    folded = edged.withColumn("borders", borders).select("word", _ids(F.col("word"), edges, F.col("borders"), first).alias("ids"))
+    edged = lattice(short, table, longest_piece).withColumn("lookup", _lookup(F.col("edges")))
+    borders = _merged(F.col("word"), F.col("lookup")) if fold == "merges" else _best_path(F.col("word"), F.col("edges"))
+    folded = edged.withColumn("borders", borders).select("word", _ids(F.col("word"), F.col("lookup"), F.col("borders"), first).alias("ids"))
     long = words.where(F.length("word") > LONGEST).mapInArrow(_library(path), "word string, ids array<int>")
     return folded.unionByName(long)
 
