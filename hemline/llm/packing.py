@@ -4,15 +4,17 @@ Documents become token ids in tasks; only documents longer than a sequence are
 cut.  Whole sequences are done.  All other pieces are dealt out to groups of
 bounded size by a hash of their row; each group is packed by best-fit decreasing
 and compared with a lower bound from dual feasible functions.  A group whose
-bins equal its bound is certified.  From the others, every full bin is kept and
-the documents of bins with gaps are exchanged: pooled, dealt out anew to fewer
-groups, and packed again, until the pool certifies, stops shrinking, or is one group.
+bins equal its bound is certified and offers its emptiest bin only; the others
+keep their full bins and offer all bins with gaps.  What is offered is exchanged:
+pooled, dealt out anew to fewer groups, and packed again, until nothing is
+offered, the pool stops shrinking, or it is one group.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from hemline.session import materialize
 CAPACITY, END = 2048, 0
 #: Pieces of a group that one task packs at once.
 GROUP = 20_000
+#: Words that a worker remembers.
+CACHED = 1_000_000
 #: Most exchanges.
 ROUNDS = 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,18 +44,24 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 300_000:
-            self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        value = self[word] = np.array(ids, "<u4").tobytes()
+        value = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        # long strings are rare and would make the bound on entries useless
+        if len(self) < CACHED and len(word) <= 64:
+            self[word] = value
         return value
 
 
+@cache
+def _words(path: str) -> _Words:
+    """One dictionary for all tasks that a worker runs."""
+    return _Words(path)
+
+
 def _cut(path: str, capacity: int):
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(path)
+        words = _words(path)
         for batch in batches:
             out = []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -123,22 +133,23 @@ def _pack(capacity: int):
     def run(group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
-        bound = lower_bound(lengths, capacity)
+        certified = len(room) == lower_bound(lengths, capacity)
+        # a certified group still gives its emptiest bins, whose rest the group's own bound rounds up
+        offered = (room > 0) if not certified else (room > 0) & (room == room.max())
         columns = {
             "row": group.column("row"),
             "length": group.column("length"),
             "part": group.column("part"),
             "bin": pa.array(bins),
             "offset": pa.array(offsets),
-            "gap": pa.array(np.full(len(lengths), len(room) - bound)),
-            "room": pa.array(room[bins]),
+            "offered": pa.array(offered[bins]),
         }
         return pa.table(columns)
 
     return run
 
 
-_PACKED = "row long, length long, part long, bin long, offset long, gap long, room long"
+_PACKED = "row long, length long, part long, bin long, offset long, offered boolean"
 
 
 def _round(items: DataFrame, parts: int, nth: int, capacity: int) -> DataFrame:
@@ -162,16 +173,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: i
     while count:
         parts = -(-count // group)
         packed = _round(items, parts, nth, capacity)
-        # a certified group is done, and so is a full bin anywhere
-        done = (F.col("gap") == 0) | (F.col("room") == 0)
-        open_rows = 0 if parts == 1 or nth == rounds else packed.where(~done).count()
+        open_rows = 0 if parts == 1 or nth == rounds else packed.where("offered").count()
         # an exchange of all rows would pack the same pool again
         last = open_rows == 0 or open_rows == count
-        kept = packed if last else packed.where(done)
+        kept = packed if last else packed.where("NOT offered")
         places.append(kept.select("row", (F.col("part") * (2**40) + F.col("bin")).alias("bin"), "offset", F.lit(nth).alias("nth")))
         if last:
             break
-        items, count, nth = packed.where(~done).select("row", "length"), open_rows, nth + 1
+        items, count, nth = packed.where("offered").select("row", "length"), open_rows, nth + 1
     placed = places[0]
     for more in places[1:]:
         placed = placed.unionByName(more)
