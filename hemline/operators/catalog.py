@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemline.operators.ordering import OrderKey, global_index, ordered_groups
@@ -39,6 +39,18 @@ def _literal_map(mapping: Mapping) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
+def _side_table(spark: SparkSession, mapping: Mapping) -> DataFrame:
+    """A long dictionary as a table, with the types that the literal map would have."""
+
+    def widest(values: list) -> Column:
+        first = next((v for v in values if v is not None), None)
+        return F.lit(max(values, key=lambda v: abs(v or 0)) if type(first) is int else first)
+
+    kinds = spark.range(1).select(widest(list(mapping)).alias("key"), widest(list(mapping.values())).alias("value")).schema
+    side = spark.createDataFrame(list(mapping.items()), ["key", "value"])
+    return side.select(*[F.col(f.name).cast(f.dataType) for f in kinds])
+
+
 def map_values(
     df: DataFrame, col: str, mapping: Mapping | DataFrame, name: str | None = None, keep_unmapped: bool = False
 ) -> DataFrame:
@@ -48,7 +60,7 @@ def map_values(
     """
     name = name or col
     if isinstance(mapping, Mapping) and len(mapping) > LITERAL_MAP_LIMIT:
-        mapping = df.sparkSession.createDataFrame(list(mapping.items()), ["key", "value"])
+        mapping = _side_table(df.sparkSession, mapping)
     if isinstance(mapping, Mapping):
         mapped = F.try_element_at(_literal_map(mapping), F.col(col))
         return df.withColumn(name, F.coalesce(mapped, F.col(col)) if keep_unmapped else mapped)
@@ -116,23 +128,21 @@ def missing_files(
 
 
 def assign_color_folder(
-    files: DataFrame, colors: DataFrame, file_key: Sequence[str], name: str = "name"
+    files: DataFrame, colors: DataFrame, name: str = "name"
 ) -> DataFrame:
     """Folder of each file: the first colour its name starts with, else null.
 
-    ``colors`` holds ``color`` and ``priority``.  A short list becomes one
-    expression.  For a long one a file offers its prefixes of the lengths that
-    occur among the colours, and an equality join finds them.
+    ``colors`` holds ``color`` and ``priority``; null colours are left out.  Each
+    different name offers its prefixes of the lengths that occur among the
+    colours, and an equality join finds them.
     """
-    listed = colors.select("color").orderBy("priority").limit(LITERAL_MAP_LIMIT + 1).collect()
-    if len(listed) <= LITERAL_MAP_LIMIT:
-        hits = [F.when(F.startswith(F.col(name), F.lit(r["color"])), F.lit(r["color"])) for r in listed]
-        return files.withColumn("folder", F.coalesce(*hits, F.lit(None).cast("string")))
-    lengths = [r[0] for r in colors.select(F.length("color")).distinct().collect()]
+    known = colors.filter("color is not null").select("color", "priority")
+    lengths = [r[0] for r in known.select(F.length("color")).distinct().collect()]
     prefixes = F.array(*[F.when(F.length(name) >= n, F.left(F.col(name), F.lit(n))) for n in sorted(lengths)])
-    offered = files.select(*file_key, F.explode(prefixes).alias("color")).filter("color is not null")
-    found = offered.join(colors, "color").groupBy(*file_key).agg(F.min_by("color", "priority").alias("folder"))
-    return files.join(found, list(file_key), "left")
+    names = files.select(name).distinct()
+    offered = names.select(F.col(name).alias("__name"), F.explode(prefixes.cast("array<string>")).alias("color")).filter("color is not null")
+    found = offered.join(known, "color").groupBy("__name").agg(F.min_by("color", "priority").alias("folder"))
+    return files.join(found, F.col(name) == F.col("__name"), "left").drop("__name")
 
 
 def assign_black(
@@ -149,7 +159,9 @@ def assign_black(
     if mode != "folder":
         raise ValueError("mode must be 'contains' or 'folder'")
     has = files.groupBy(dir_col).agg(F.bool_or(F.col(name).startswith(word)).alias("__has"))
-    return files.join(has, dir_col).withColumn("folder", F.when(~F.col("__has"), F.lit(word))).drop("__has")
+    has = has.withColumnRenamed(dir_col, "__dir")
+    joined = files.join(has, F.col(dir_col).eqNullSafe(F.col("__dir")), "left")
+    return joined.withColumn("folder", F.when(~F.col("__has"), F.lit(word))).drop("__has", "__dir")
 
 
 def composite_key(df: DataFrame, cols: Sequence[str], sep: str = "_", name: str = "key") -> DataFrame:

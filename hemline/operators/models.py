@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemline.functions.metrics import rmse
-from hemline.operators.evaluation import nan_guard
+from hemline.session import materialize
 
 
 def split_score(key: str | Sequence[str], seed: int = 42) -> Column:
@@ -105,16 +105,31 @@ def leaderboard(
     """RMSE per model on the test table, with negative predictions set to 0.
 
     A fitter returns a fitted model, or a function from the test table to a
-    table with ``prediction``.  Rows a model answers with NaN are left out.
+    table with ``prediction``.  All models are scored on the same rows: those
+    that every model answers with a number.  ``rows`` counts them, ``skipped``
+    the rows that this model itself left without one.
     """
+    numbered = materialize(test.withColumn("__row", F.monotonically_increasing_id()))
     frames = []
     for name, fitter in fitters.items():
         fitted = fitter(train)
-        scored = fitted(test) if callable(fitted) else fitted.transform(test)
-        frames.append(scored.select(F.lit(name).alias("model"), F.col(label).alias("y"), "prediction"))
-    scored, _ = nan_guard(reduce(DataFrame.unionByName, frames), ["prediction"], by="model")
-    clipped = scored.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
-    return clipped.groupBy("model").agg(rmse("prediction", "y").alias("rmse"))
+        scored = fitted(numbered) if callable(fitted) else fitted.transform(numbered)
+        frames.append(scored.select("__row", F.lit(name).alias("model"), F.col(label).alias("y"), "prediction"))
+    scored = reduce(DataFrame.unionByName, frames)
+    answered = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    scored = scored.withColumn("answered", F.coalesce(answered, F.lit(False)))
+    by_row = scored.groupBy("__row").agg(
+        F.count_if("answered").alias("models"),
+        F.collect_list(F.struct("model", "y", "prediction", "answered")).alias("all"),
+    )
+    each = by_row.select("models", F.inline("all"))
+    common = F.col("models") == len(fitters)
+    clipped = F.when(common, F.greatest(F.col("prediction"), F.lit(0.0)))
+    return each.withColumn("prediction", clipped).groupBy("model").agg(
+        rmse("prediction", "y").alias("rmse"),
+        F.count_if(common).alias("rows"),
+        F.count_if(~F.col("answered")).alias("skipped"),
+    )
 
 
 def batch_score(df: DataFrame, path: str) -> DataFrame:

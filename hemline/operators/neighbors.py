@@ -155,10 +155,31 @@ def _search(q_cells: DataFrame, t_cells: DataFrame, k: int, metric: str, cells:
     return hits.groupBy("qid").agg(best.alias("neighbors"))
 
 
-def _sides(queries, train, id_col, vec_col, exclude_same):
-    grp = F.col(exclude_same).cast("long") if exclude_same else F.lit(None).cast("long")
+def _sides(queries, train, id_col, vec_col, exclude_same, metric="euclidean"):
+    """Both sides' usable rows, and the queries whose vector no distance is defined for.
+
+    A usable vector has finite components, the usual length of the training
+    vectors, and for a cosine a direction.  Training rows without one are
+    neighbours of nothing.
+    """
+    grp = F.lit(None).cast("long")
+    if exclude_same:
+        grp = F.when(F.col(exclude_same).isNotNull(), F.xxhash64(exclude_same))
     names = [F.col(id_col).alias("id"), grp.alias("grp"), F.col(vec_col).alias("vec")]
-    return queries.select(*names), train.select(*names)
+    q, t = queries.select(*names), train.select(*names)
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = F.coalesce(finite, F.lit(False)) & (F.size("vec") > 0)
+    if metric != "euclidean":
+        usable = usable & F.exists("vec", lambda x: x != 0)
+    usual = t.where(usable).agg(F.mode(F.size("vec"))).first()[0]
+    usable = usable & (F.size("vec") == F.lit(usual or 0))
+    return q.where(usable), t.where(usable), q.where(~F.coalesce(usable, F.lit(False)))
+
+
+def _unanswered(found: DataFrame, bad: DataFrame) -> DataFrame:
+    """``found`` with an empty answer for every query in ``bad``."""
+    empty = F.array().cast(found.schema["neighbors"].dataType)
+    return found.unionByName(bad.select(F.col("id").alias("qid"), empty.alias("neighbors")))
 
 
 def _spread(n: int, seed: int) -> Column:
@@ -191,11 +212,12 @@ def nearest(
 
     The row itself is excluded, and with ``exclude_same`` every training row
     that shares that column's value; equal distances go by id.  Ids are unique
-    per side.
+    per side.  A query whose vector is null, not finite, of unusual length or, for
+    a cosine, without direction gets no neighbours; such training rows are nobody's.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    q, t = _sides(queries, train, id_col, vec_col, exclude_same)
+    q, t, bad = _sides(queries, train, id_col, vec_col, exclude_same, metric)
     n = q.count()
     t_blocks = max(1, math.ceil(t.count() / block_rows))
     # Enough cells for every core, as long as each holds a fair number of queries.
@@ -206,7 +228,7 @@ def nearest(
     cell = (F.col("qb") * F.lit(t_blocks) + F.col("tb")).alias("cell")
     q_cells = q.withColumn("qb", _spread(q_blocks, 1)).withColumn("tb", t_no).select(cell, "id", "grp", "vec")
     t_cells = t.withColumn("tb", _spread(t_blocks, 2)).withColumn("qb", q_no).select(cell, "id", "grp", "vec")
-    return _search(q_cells, t_cells, k, metric, cells=q_blocks * t_blocks)
+    return _unanswered(_search(q_cells, t_cells, k, metric, cells=q_blocks * t_blocks), bad)
 
 
 def _pivot_distances(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
@@ -232,7 +254,8 @@ def nearest_pruned(
     ``block_rows`` are split, so a crowd of copies is several blocks.
     """
     q, visits, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
-    return _visit_blocks(q, visits, blocks, k, block_rows)
+    bad = _sides(queries, train, id_col, vec_col, None)[2]
+    return _unanswered(_visit_blocks(q, visits, blocks, k, block_rows), bad)
 
 
 def _visit_blocks(q: DataFrame, visits: DataFrame, blocks: DataFrame, k: int, block_rows: int) -> DataFrame:
@@ -272,7 +295,7 @@ def compared_share(
 
 def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
     """The queries, the blocks each must visit, and the training rows with their block."""
-    q, t = _sides(queries, train, id_col, vec_col, None)
+    q, t, _ = _sides(queries, train, id_col, vec_col, None)
     chosen = t.orderBy(F.xxhash64("id", F.lit(4))).limit(n_pivots).select("vec").collect()
     if not chosen:
         raise ValueError("the training side is empty")

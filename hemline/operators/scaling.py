@@ -22,21 +22,23 @@ from hemline.session import materialize
 LOG_LAMBDA = 1e-6
 # Up to so many distinct values are ranked in one place; beyond, in distributed order.
 QUANTILE_LIMIT = 100_000
+# Fits give up beyond this |lambda|.
+LAMBDA_LIMIT = 10_000.0
 # Rank error of the sketch that brackets a quantile: rows / accuracy.
 SKETCH_ACCURACY = 10_000
 
 
 def value_counts(df: DataFrame, y: str | Column) -> DataFrame:
-    """Distinct values ``y`` with their counts ``n``: all a fit needs."""
+    """Distinct values ``y`` with their counts ``n``: all a fit needs.  Null and NaN are left out."""
     col = F.col(y) if isinstance(y, str) else y
-    return df.select(col.cast("double").alias("y")).filter("y is not null").groupBy("y").agg(
+    return df.select(col.cast("double").alias("y")).filter("y is not null and not isnan(y)").groupBy("y").agg(
         F.count("*").alias("n")
     )
 
 
 def positive_shift(train: DataFrame, y: str) -> float:
     """1.0 when any training value is not positive, else 0.0."""
-    return _shift(train.agg(F.min(y)).first()[0])
+    return _shift(value_counts(train, y).agg(F.min("y")).first()[0])
 
 
 def _shift(low: float | None) -> float:
@@ -97,8 +99,9 @@ def boxcox_llf(values: DataFrame, lambdas: Sequence[float], logs: _Logs | None =
 def _fit_lambda(values: DataFrame, digits: int = 4) -> float:
     """Lambda of the highest likelihood over (y, n) rows.
 
-    A grid over [-2, 2] moves outward while the best sits on its edge, then is
-    refined tenfold per step around the best.
+    A grid over [-2, 2] moves outward, its step doubling, while the best sits on
+    its edge; it is then refined tenfold per step around the best.  A likelihood
+    that still rises at ``LAMBDA_LIMIT`` raises.
     """
     logs = _logs(values)
 
@@ -109,15 +112,20 @@ def _fit_lambda(values: DataFrame, digits: int = 4) -> float:
             raise ValueError("Box-Cox needs at least two different values")
         return top
 
-    center, reach = 0.0, 20
+    center, step = 0.0, 0.1
     while True:
-        grid = [round(center + i / 10, 1) for i in range(-reach, reach + 1)]
+        grid = [round(center + i * step, 1) for i in range(-20, 21)]
         top = best(grid)
-        if grid[0] < top < grid[-1] or abs(top) > 50:
+        if grid[0] < top < grid[-1]:
             break
-        center = top
-    for digit in range(2, digits + 1):
-        top = best([round(top + i / 10**digit, digit) for i in range(-10, 11)])
+        if abs(top) > LAMBDA_LIMIT:
+            raise ValueError(f"no maximum of the Box-Cox likelihood up to |lambda| = {LAMBDA_LIMIT:g}")
+        center, step = top, step * 2
+    while step > 10**-digits * 1.5:
+        finer = max(step / 10, 10**-digits)
+        reach = math.ceil(step / finer)
+        top = best([round(top + i * finer, digits) for i in range(-reach, reach + 1)])
+        step = finer
     return top
 
 
@@ -232,11 +240,7 @@ def fit_anchor(
     shift = _shift(values.agg(F.min("y")).first()[0])
     shifted = values.withColumn("y", F.col("y") + F.lit(shift))
     lam = _fit_lambda(shifted) if lam is None else lam
-    few = values.count() <= QUANTILE_LIMIT
-    if few:
-        lo, hi = shifted.agg(F.percentile("y", list(probs), F.col("n"))).first()[0]
-    if not few:
-        lo, hi = quantiles(train, F.col(y) + F.lit(shift), probs)
+    lo, hi = quantiles(train, F.col(y) + F.lit(shift), probs)
     if lo == hi:
         raise ValueError("both quantiles are equal; the anchors are undefined")
     low, high = (math.log(lo), math.log(hi)) if abs(lam) < LOG_LAMBDA else (lo**lam, hi**lam)

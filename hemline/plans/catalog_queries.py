@@ -194,7 +194,7 @@ def d12(t):
     short = t.part.filter("p_size > 25").select(F.left("p_name", F.lit(2)).alias("color"))
     colors = words.union(short).distinct().withColumn("priority", -F.length("color"))
     files = t.part.select("p_partkey", F.col("p_name").alias("name"))
-    return C.assign_color_folder(files, colors, ["p_partkey"])
+    return C.assign_color_folder(files, colors)
 
 
 def _part_files(t):

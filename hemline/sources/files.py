@@ -10,15 +10,17 @@ from pyspark.sql import types as T
 
 
 def write_mapping(df: DataFrame, path: str, key: str = "key", value: str = "value") -> None:
-    """Text lines ``key: value``."""
-    df.select(F.concat_ws(": ", key, value).alias("value")).write.text(path)
+    """Text lines ``key: value``; a null value is written as nothing, and a null key or one with a colon raises."""
+    bad = F.col(key).isNull() | F.col(key).cast("string").contains(":")
+    checked = F.when(bad, F.raise_error(F.lit("a mapping key is null or holds a colon"))).otherwise(F.col(key).cast("string"))
+    df.select(F.concat(checked, F.lit(": "), F.coalesce(F.col(value).cast("string"), F.lit(""))).alias("value")).write.text(path)
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Table (key, value) from ``key: value`` lines; only the first colon separates."""
+    """Table (key, value) from ``key: value`` lines; only the first colon separates, no value is null."""
     parts = F.split(F.trim("value"), ":", 2)
     lines = spark.read.text(path).filter(F.col("value").contains(":"))
-    return lines.select(parts[0].alias("key"), F.trim(parts[1]).alias("value"))
+    return lines.select(parts[0].alias("key"), F.nullif(F.trim(parts[1]), F.lit("")).alias("value"))
 
 
 def list_files(spark: SparkSession, root: str, relative: bool = False) -> DataFrame:
@@ -51,10 +53,18 @@ def read_metric_report(spark: SparkSession, path: str) -> DataFrame:
 _KINDS = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
 
 
+def _kind(value: object) -> T.DataType:
+    """Spark type of a setting; a list has the type of its first element."""
+    if isinstance(value, (list, tuple)):
+        return T.ArrayType(_kind(value[0]) if value else T.StringType())
+    return _KINDS[type(value)]
+
+
 def save_params(spark: SparkSession, params: Mapping, path: str) -> None:
     """One-row JSON of a run's settings or of fitted numbers."""
     known = {k: v for k, v in params.items() if v is not None}
-    schema = T.StructType([T.StructField(k, _KINDS[type(v)]) for k, v in known.items()])
+    known = {k: v.item() if hasattr(v, "item") else v for k, v in known.items()}
+    schema = T.StructType([T.StructField(k, _kind(v)) for k, v in known.items()])
     spark.createDataFrame([tuple(known.values())], schema).write.json(path)
 
 

@@ -45,7 +45,7 @@ def test_color_folder_takes_the_first_listed_color(spark, monkeypatch, limit):
     monkeypatch.setattr(C, "LITERAL_MAP_LIMIT", limit)
     files = spark.createDataFrame([(1, "BLACKRED_1.jpg"), (2, "RED.jpg"), (3, "x.jpg"), (4, "BL")], "i int, name string")
     colors = spark.createDataFrame([("BLACK", 0), ("BLACKRED", 1), ("RED", 2)], "color string, priority int")
-    got = {r.i: r.folder for r in C.assign_color_folder(files, colors, ["i"]).collect()}
+    got = {r.i: r.folder for r in C.assign_color_folder(files, colors).collect()}
     assert got == {1: "BLACK", 2: "RED", 3: None, 4: None}
 
 
