@@ -29,8 +29,8 @@ from hemline.session import materialize
 
 #: Words of an n-gram, least similarity, rows of a band, share of pairs at the threshold that must meet.
 WORDS, THRESHOLD, ROWS, RECALL = 5, Fraction(4, 5), 4, 0.99999
-#: Sets of a block.
-BLOCK = 512
+#: Sets of a block; members of small buckets that are compared in one group.
+BLOCK, TOGETHER = 512, 2000
 _WORD = re.compile(r"\w+")
 _CELLS = 8_000_000
 
@@ -118,8 +118,9 @@ def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresh
     column, owner = column[order], owner[order]
     column = np.cumsum(np.diff(column, prepend=column[:1]) > 0) if len(column) else column
     common = np.zeros((len(left), len(right)), np.float64)
-    wide = max(1, _CELLS // max(len(sets), 1))
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    wide = min(max(1, _CELLS // max(len(sets), 1)), max(columns, 1))
+    for begin in range(0, columns, wide):
         a, b = np.searchsorted(column, [begin, begin + wide])
         part = np.zeros((len(sets), wide), np.float32)
         part[owner[a:b], column[a:b] - begin] = 1
@@ -132,36 +133,48 @@ def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresh
 _FOUND = "row long, links long, root long"
 
 
+def _links(sets: list[np.ndarray], bands: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, ...]:
+    """Linked pairs of left and right sets, and which of them this band counts: those that share none before it."""
+    similar = _similar(sets, left, right, threshold)
+    if left is right:
+        similar = np.triu(similar, 1)
+    i, j = np.nonzero(similar)
+    a, b = left[i], right[j]
+    return a, b, ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+
+
 def _verify(threshold: Fraction):
     def run(group: pa.Table) -> pa.Table:
-        row, copies = group.column("row").to_numpy(), group.column("copies").to_numpy()
-        block, low, high = group.column("block").to_numpy(), group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        band = group.column("band")[0].as_py()
-        sets = [np.frombuffer(g, np.uint32) for g in group.column("grams").to_pylist()]
-        bands = np.array(group.column("bands").to_pylist(), np.int64)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(left) or not len(right):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("row", "links", "root")})
-        similar = _similar(sets, left, right, threshold)
-        if low == high:
-            np.fill_diagonal(similar, False)
-        i, j = np.nonzero(similar)
-        a, b = left[i], right[j]
-        counted = ~(bands[a, :band] == bands[b, :band]).any(axis=1)
-        links = np.bincount(a[counted], copies[b[counted]], len(row))
-        if low != high:
-            links += np.bincount(b[counted], copies[a[counted]], len(row))
-        # least row that can be reached, over links in both directions
-        root = row.copy()
-        while len(a):
-            before = root.copy()
-            np.minimum.at(root, a, root[b])
-            np.minimum.at(root, b, root[a])
-            if (before == root).all():
-                break
-        linked = np.zeros(len(row), bool)
-        linked[a] = linked[b] = True
-        return pa.table({"row": row[linked], "links": links[linked].astype(np.int64), "root": root[linked]})
+        group = group.sort_by("bucket").combine_chunks()
+        bucket, row, copies, block, low, high, band = (group.column(c).to_numpy() for c in ("bucket", "row", "copies", "block", "low", "high", "band"))
+        all_sets = [np.frombuffer(g, np.uint32) for g in group.column("grams").to_pylist()]
+        all_bands = group.column("bands").chunk(0).flatten().to_numpy().reshape(len(row), -1)
+        out = []
+        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] ^ 1))
+        for begin, stop in zip(starts, [*starts[1:], len(row)]):
+            here = slice(begin, stop)
+            own, times, n = row[here], copies[here], stop - begin
+            left = right = np.arange(n)
+            if low[begin] != high[begin]:
+                left, right = np.flatnonzero(block[here] == low[begin]), np.flatnonzero(block[here] == high[begin])
+            if n < 2 or not len(left) or not len(right):
+                continue
+            a, b, counted = _links(all_sets[begin:stop], all_bands[here], int(band[begin]), left, right, threshold)
+            if not len(a):
+                continue
+            links = np.bincount(a[counted], times[b[counted]], n) + np.bincount(b[counted], times[a[counted]], n)
+            # least row that can be reached, over links in both directions
+            root = own.copy()
+            while True:
+                before = root.copy()
+                np.minimum.at(root, a, root[b])
+                np.minimum.at(root, b, root[a])
+                if (before == root).all():
+                    break
+            linked = np.unique(np.concatenate([a, b]))
+            out.append((own[linked], links[linked].astype(np.int64), root[linked]))
+        names = ("row", "links", "root")
+        return pa.table(dict(zip(names, (np.concatenate(c) for c in zip(*out)) if out else [pa.array([], pa.int64())] * 3)))
 
     return run
 
@@ -209,13 +222,16 @@ def classes(docs: DataFrame, threshold: Fraction = THRESHOLD, rows: int = ROWS,
     # the members' sum of hashes tells buckets with the same members, which are treated in their first band
     same = F.sum(F.xxhash64("row") % (2**31)).alias("same")
     buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), same, F.min("row").alias("first"), F.min("band").alias("band")).where("n > 1")
-    once = buckets.groupBy("n", "same", "first").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "b.band", "b.bucket")
+    once = materialize(buckets.groupBy("n", "same", "first").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "b.band", "b.bucket"))
+    together = max(1, (once.where(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0) // TOGETHER)
     members = placed.select("row", "copies", "bucket").join(once, "bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
     cut = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("row"), blocks).cast("int")})
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "copies")
-    compared = cut.join(drawn.select("row", "bands", "grams"), "row").groupBy("bucket", "low", "high").applyInArrow(_verify(threshold), _FOUND)
+    # small buckets are compared one after another in common groups
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(together))).otherwise(F.col("bucket"))
+    cut = cut.select("bucket", "band", group.alias("group"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "row", "copies")
+    compared = cut.join(drawn.select("row", "bands", "grams"), "row").groupBy("group", "low", "high").applyInArrow(_verify(threshold), _FOUND)
     compared = materialize(compared)
     links = compared.groupBy("row").agg(F.sum("links").alias("links"))
     joined = components(compared.select("row", "root"))
