@@ -12,6 +12,8 @@ offered, the pool stops shrinking, or it is one group.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -34,22 +36,61 @@ ROUNDS = 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Fixed value: the letters of the short way in ``_Words``, whose lower case is one letter each and which no normal form changes.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Letters, then signs that are one token's text by themselves (no apostrophe, which may begin an ending).
+_PLAIN = re.compile(f"([{_LETTERS}]+)([.,;:!?$%#*()&@+=_~^|/-]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters of ``_LETTERS`` as byte-level letters: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256) if re.match(f"[{_LETTERS}]", chr(c))}
+
+
 class _Words(dict):
-    """Ids of a word as little-endian 32-bit bytes; blanks separate words for the tokenizer."""
+    """Ids of a word as little-endian 32-bit bytes; blanks separate words for the tokenizer.
+
+    A word of letters and signs behind them goes to the tokenizer's merges
+    directly, its lower case once for all spellings, where the tokenizer is
+    seen to lower-case, to part letters from signs and to work on bytes.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        value = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        cuts = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        pattern = cuts[0].get("pattern", {}).get("Regex", "")
+        on_bytes = cuts[-1].get("type") == "ByteLevel" and not cuts[-1].get("add_prefix_space") and not cuts[-1].get("use_regex")
+        self.short = steps == ["NFC", "Replace", "Lowercase"] and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and on_bytes
+        self.letters = _byte_letters()
+
+    def _keep(self, word: str, value: bytes) -> bytes:
         # long strings are rare and would make the bound on entries useless
         if len(self) < CACHED and len(word) <= 64:
             self[word] = value
         return value
 
+    def _encoded(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word) if self.short else None
+        if not plain:
+            return self._keep(word, self._encoded(word))
+        letters, signs = plain.groups()
+        low = letters.lower()
+        if low != word:
+            return self._keep(word, self[low] + (self[signs] if signs else b""))
+        merged = self.tokenizer.model.tokenize(low.translate(self.letters))
+        return self._keep(word, b"".join([t.id.to_bytes(4, "little") for t in merged]))
+
 
 @cache
 def _words(path: str) -> _Words:
