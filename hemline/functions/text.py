@@ -34,7 +34,7 @@ def fixed_length(col: str | Column, n: int = 2, pad: str = "last") -> Column:
 
 def _token_stages(col: str, dim: int, max_tokens: int | None) -> list:
     """Lower-cased words, and their hashed counts in ``__tf``."""
-    tokens = f"filter(split(lower(`{col}`), r'[^\\p{{L}}\\p{{N}}]+'), w -> w != '')"
+    tokens = f"filter(split(lower(coalesce(`{col}`, '')), r'[^\\p{{L}}\\p{{N}}]+'), w -> w != '')"
     if max_tokens:
         tokens = f"slice({tokens}, 1, {int(max_tokens)})"
     return [

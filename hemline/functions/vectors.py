@@ -63,9 +63,12 @@ def flatten_vectors(col: str | Column) -> Column:
 
 
 def sum_vectors(df: DataFrame, key: str, vec: str, name: str = "vector") -> DataFrame:
-    """Elementwise sum per key, combined before the shuffle."""
-    total = Summarizer.sum(array_to_vector(F.col(vec).cast(VECTOR)))
-    return df.groupBy(key).agg(vector_to_array(total).alias(name))
+    """Elementwise sum per key, combined before the shuffle; null vectors add nothing, a key with no other has null."""
+    v = F.col(vec).cast(VECTOR)
+    total = Summarizer.sum(array_to_vector(v))
+    sums = df.where(v.isNotNull()).groupBy(key).agg(vector_to_array(total).alias(name))
+    every = df.select(key).distinct()
+    return every.join(sums, every[key].eqNullSafe(sums[key]), "left").select(every[key], name)
 
 
 def relu(vec: str | Column) -> Column:
@@ -110,24 +113,24 @@ def activate(vec: str | Column, kind: str = "gelu") -> Column:
     return _gelu(vec.cast(VECTOR))
 
 
-WEIGHT_LIMIT = 16_000_000
+# Weights that the driver fetches and every task gets: 8 MB.
+WEIGHT_LIMIT = 1_000_000
 
 
 def read_weights(weights: DataFrame, n_out: int, n_in: int) -> np.ndarray:
     """Weight matrix from rows (out, in, w); its size is checked before it is fetched."""
     if n_out * n_in > WEIGHT_LIMIT:
         raise ValueError("the weight matrix is too large to broadcast")
-    rows = weights.select("out", "in", "w").limit(n_out * n_in + 1).collect()
-    if len(rows) > n_out * n_in:
+    rows = weights.select(F.col("out").cast("int"), F.col("in").cast("int"), F.col("w").cast("double")).limit(n_out * n_in + 1).toArrow()
+    if rows.num_rows > n_out * n_in:
         raise ValueError("more weights than the stated shape")
     matrix = np.zeros((n_out, n_in))
-    for r in rows:
-        matrix[r["out"], r["in"]] = r["w"]
+    matrix[rows["out"].to_numpy(), rows["in"].to_numpy()] = rows["w"].to_numpy()
     return matrix
 
 
 def linear_project(vec: str | Column, weights: np.ndarray, bias: np.ndarray | None = None) -> Column:
-    """Dense projection ``W x + b`` as one matrix product per Arrow batch."""
+    """Dense projection ``W x + b`` as one matrix product per Arrow batch; null stays null."""
     matrix = np.asarray(weights, dtype=np.float64)
     if matrix.size > WEIGHT_LIMIT:
         raise ValueError("the weight matrix is too large to broadcast")
@@ -135,9 +138,11 @@ def linear_project(vec: str | Column, weights: np.ndarray, bias: np.ndarray | No
 
     @F.pandas_udf(VECTOR)
     def project(vectors: pd.Series) -> pd.Series:
-        if vectors.empty:
+        present = vectors[vectors.notna()]
+        if present.empty:
             return vectors
-        return pd.Series(list(np.vstack(vectors.to_list()) @ matrix.T + offset), index=vectors.index)
+        product = np.vstack(present.to_list()) @ matrix.T + offset
+        return pd.Series(list(product), index=present.index).reindex(vectors.index)
 
     vec = F.col(vec) if isinstance(vec, str) else vec
     return project(vec.cast(VECTOR))

@@ -12,9 +12,10 @@ from hemline.functions.metrics import METRICS, adjusted_smape
 from hemline.operators.ordering import OrderKey, global_index
 
 
-def nan_guard(df: DataFrame, cols: Sequence[str], by: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows without NaN in ``cols``, and a report of how many were skipped."""
-    bad = reduce(lambda a, b: a | b, [F.coalesce(F.isnan(c), F.lit(False)) for c in cols])
+def nan_guard(df: DataFrame, cols: Sequence[str], by: str | None = None, nulls: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows without NaN in ``cols``, and a report of how many were skipped; with ``nulls``, nulls count as NaN."""
+    missing = [F.isnan(c) | F.col(c).isNull() if nulls else F.coalesce(F.isnan(c), F.lit(False)) for c in cols]
+    bad = reduce(lambda a, b: a | b, missing)
     report = (df.groupBy(by) if by else df.groupBy()).agg(
         F.count_if(bad).alias("skipped"), F.count("*").alias("rows")
     )

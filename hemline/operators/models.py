@@ -65,9 +65,9 @@ def fit_linear(
 
 
 def fit_forest(
-    train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, seed: int = 0
+    train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 30, seed: int = 0
 ) -> PipelineModel:
-    """Random forest that considers every feature at every split."""
+    """Random forest that considers every feature at every split; 30 is the deepest that Spark grows."""
     regressor = RandomForestRegressor(
         featuresCol="__features",
         labelCol=label,
@@ -75,12 +75,14 @@ def fit_forest(
         maxDepth=depth,
         featureSubsetStrategy="all",
         seed=seed,
+        # nodes that one pass over the rows may split together
+        maxMemoryInMB=1024,
     )
     return _fit(train, features, regressor)
 
 
 def fit_bagging(
-    train: DataFrame, features: Sequence[str], label: str, trees: int = 10, depth: int = 10, seed: int = 0
+    train: DataFrame, features: Sequence[str], label: str, trees: int = 10, depth: int = 30, seed: int = 0
 ) -> PipelineModel:
     """Bagged trees: bootstrap samples, all features."""
     return fit_forest(train, features, label, trees, depth, seed)

@@ -191,7 +191,9 @@ def head(df: DataFrame, order: OrderKey | Sequence[OrderKey], n: int = 5) -> Dat
 def tail(df: DataFrame, order: OrderKey | Sequence[OrderKey], n: int = 5) -> DataFrame:
     """Last ``n`` rows in ``order``, returned in ascending order."""
     keys = _columns(order)
-    return df.orderBy(*[k.desc() for k in keys]).limit(n).orderBy(*keys)
+    # the order turned around as a whole, as a key may be descending already
+    last = ordered_table(df, order)
+    return last.orderBy(F.desc(ROW_ID)).limit(n).orderBy(ROW_ID).select(*df.columns)
 
 
 def slice_rows(

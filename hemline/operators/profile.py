@@ -26,15 +26,18 @@ def item_totals(df: DataFrame, keys: str | Sequence[str], qty: str, name: str =
 
 
 def item_totals_by_season(
-    df: DataFrame, item: str, qty: str, season: str = "season", name: str = "total"
+    df: DataFrame, item: str, qty: str, season: str = "season", name: str = "total", overall: str | None = None
 ) -> DataFrame:
     """Item sums per season plus one row per item over all seasons (null season).
 
+    ``overall`` names a flag that tells those rows from rows whose season is null.
+
     The rollup runs over the season sums, so raw lines are not multiplied.
     """
     by_season = item_totals(df, [item, season], qty, name)
     rolled = by_season.groupingSets([[item, season], [item]], item, season)
-    return rolled.agg(F.sum(name).alias(name))
+    flag = [(F.grouping(season) == 1).alias(overall)] if overall else []
+    return rolled.agg(F.sum(name).alias(name), *flag)
 
 
 def distinct_values(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
@@ -142,8 +145,8 @@ def one_hot_sparse(df: DataFrame, col: str, name: str, limit: int = 1_000_000) -
     """Sparse indicator vector for columns with many values; null is all zero."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
 
-    if df.agg(F.approx_count_distinct(col)).first()[0] > limit:
-        raise ValueError(f"{col} has more than about {limit} values; keep it long")
+    if df.select(col).distinct().count() > limit:
+        raise ValueError(f"{col} has more than {limit} values; keep it long")
     index = StringIndexer(
         inputCol=col, outputCol="__index", handleInvalid="keep", stringOrderType="alphabetAsc"
     )

@@ -4,6 +4,7 @@ from hemline.plans import (  # noqa: F401
     catalog_queries,
     evaluation_queries,
     feature_queries,
+    flow_queries,
     neighbor_queries,
     profile_queries,
     sales_queries,

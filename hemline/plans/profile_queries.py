@@ -122,13 +122,18 @@ def c8(t):
     return P.one_hot(t.part.select("p_partkey", "p_type"), "p_type", "Type").drop("p_type")
 
 
-@query("c8_one_hot_sparse", "SELECT p_partkey, 1.0::DOUBLE AS total FROM part")
+@query(
+    "c8_one_hot_sparse",
+    "SELECT p_partkey, 1.0::DOUBLE AS total, dense_rank() OVER (ORDER BY p_type) - 1 AS level FROM part",
+)
 def c8_sparse(t):
     from pyspark.ml.functions import vector_to_array
 
     coded = P.one_hot_sparse(t.part, "p_type", "coded")
-    total = F.aggregate(vector_to_array("coded"), F.lit(0.0), lambda a, x: a + x)
-    return coded.select("p_partkey", total.alias("total"))
+    dense = vector_to_array("coded")
+    total = F.aggregate(dense, F.lit(0.0), lambda a, x: a + x)
+    level = F.array_position(dense, 1.0) - 1
+    return coded.select("p_partkey", total.alias("total"), level.alias("level"))
 
 
 @query(

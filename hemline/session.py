@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,11 +66,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scope whose tables are deleted at its end; results that outlive it are written inside it."""
+    written = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(written)
+    try:
+        yield
+    finally:
+        inside, written[before:] = written[before:], []
+        _delete(spark, inside)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the tables this application wrote with ``materialize``."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
-    return len(paths)
