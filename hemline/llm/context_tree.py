@@ -8,10 +8,11 @@ probability of a decision mixes the estimates along the path of its context.
 
 Spark counts runs of ``DEPTH`` + 1 bytes.  Subtrees below two context bytes are
 weighed in groups, one for each pair of bytes; the two levels above them are small
-and weighed on the driver.  What a subtree adds to the mix is put into a table of
-fixed size by a hash of context and decision, so that a model of any corpus
-takes the same memory; contexts that share a slot share their mean, weighted by
-count, and every decision's probability stays proper.
+and weighed on the driver.  Every group also takes the different runs to be scored
+that end in its pair and keeps what its deepest counted context gives each of
+their decisions, so that every context of the training texts is used and no
+machine holds the whole tree.  The scores of the runs are joined back to chunks of
+documents and summed there.
 
 The words' base score needs each word's count in the training texts: the most
 frequent words, of a bounded number, are looked up in the task, all others joined.
@@ -29,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemline.llm.common import crc_mod, mix, regroup
+from hemline.llm.common import crc_mod, regroup
 from hemline.session import materialize
 
-#: Context bytes; slots of the table as a power of two; words that are looked up in the task.
-DEPTH, SLOT_BITS, FREQUENT = 5, 24, 65536
+#: Context bytes; words that are looked up in the task.
+DEPTH, FREQUENT = 5, 65536
 #: Ends a text and stands before its beginning; no byte of UTF-8.
 END = 0xFF
-#: Characters handled at once in a task.
-CHUNK = 6_000_000
+#: Characters handled at once in a task, and of the documents that share a list of runs.
+CHUNK, SHARED = 6_000_000, 16_000_000
 
 
 def _mask(depth: int) -> np.uint64:
@@ -92,18 +93,6 @@ def nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return name, np.bincount(inverse, weight, len(name)) - n1, n1
 
 
-def slot(node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of a node, and a tag of 16 bits that is never 0."""
-    spread = mix(node ^ mix(np.array([depth], np.uint64)))
-    return (spread >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (spread.astype(np.uint32) & np.uint32(0xFFFF)) | np.uint32(1)
-
-
-def _packed(count: np.ndarray, tag: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Count, tag and share as one number that is larger for a larger count."""
-    half = np.log(share / (1 - share)).astype(np.float16).view(np.uint16)
-    return (np.minimum(count, 2**31 - 1).astype(np.int64) << 32) | (tag.astype(np.int64) << 16) | half.astype(np.int64)
-
-
 def weigh(name: list[np.ndarray], n0: list[np.ndarray], n1: list[np.ndarray], top: int, below: np.ndarray | None = None):
     """Levels from ``top`` down: (log Pw, weight of a node's own estimate), given the sums below the last level."""
     out: list[tuple[np.ndarray, np.ndarray]] = [None] * len(name)
@@ -120,21 +109,24 @@ def weigh(name: list[np.ndarray], n0: list[np.ndarray], n1: list[np.ndarray], to
     return out
 
 
-_TREE = "depth int, slot long, node long, n0 double, n1 double, weighed double, entry long"
+_SHARES = [f"s{k}" for k in range(8)]
+#: Rows of runs have the shares of their decisions (NaN where no context of two bytes is known), rows of nodes their counts.
+_TREE = "run long, node long, n0 double, n1 double, weighed double, " + ", ".join(f"{s} double" for s in _SHARES)
 
 
 def _subtree(group: pa.Table) -> pa.Table:
-    """All nodes below one pair of context bytes; ``entry`` has what the subtree's mix gives the bit 1."""
-    keys, counts = group.column("run").to_numpy().view(np.uint64), group.column("n").to_numpy()
+    """All runs that end in one pair of context bytes: its nodes, and what the subtree's mix gives the bit 1 in each run's decisions."""
+    asked, counts = group.column("run").to_numpy().view(np.uint64), group.column("n").to_numpy()
+    keys, counts = asked[counts > 0], counts[counts > 0]
     levels = []
     for depth in range(2, DEPTH + 1):
         short, inverse = np.unique(keys & _mask(depth), return_inverse=True)
-        levels.append(nodes(short, np.bincount(inverse, counts)))
+        levels.append(nodes(short, np.bincount(inverse, counts, len(short))))
     name, n0, n1 = (list(x) for x in zip(*levels))
     weighed = weigh(name, n0, n1, 2)
     sums, mass = np.zeros(len(name[0])), np.ones(len(name[0]))
     next_sums, next_mass = sums, mass
-    parts = []
+    mixed = []
     for i, depth in enumerate(range(2, DEPTH + 1)):
         if i:
             parent = np.searchsorted(name[i - 1], name[i] & _mask(depth - 1))
@@ -142,11 +134,25 @@ def _subtree(group: pa.Table) -> pa.Table:
         estimate = (n1[i] + 0.5) / (n0[i] + n1[i] + 1)
         own = weighed[i][1]
         next_sums, next_mass = sums + mass * own * estimate, mass * (1 - own)
-        place, tag = slot(name[i], depth)
-        entry = _packed(n0[i] + n1[i], tag, sums + mass * estimate)
-        parts.append((np.full(len(name[i]), depth, np.int32), place, name[i].view(np.int64), n0[i], n1[i], weighed[i][0], entry))
-    names = [f.split()[0] for f in _TREE.split(", ")]
-    return pa.table(dict(zip(names, (np.concatenate(c) for c in zip(*parts)))))
+        mixed.append(sums + mass * estimate)
+    shares = []
+    for node, _ in decisions(asked):
+        share = np.full(len(asked), np.nan)
+        left = np.arange(len(asked) if len(keys) else 0)
+        for i in range(DEPTH - 2, -1, -1):
+            wanted = node[left] & _mask(i + 2)
+            place = np.minimum(np.searchsorted(name[i], wanted), len(name[i]) - 1)
+            seen = name[i][place] == wanted
+            share[left[seen]] = mixed[i][place[seen]]
+            left = left[~seen]
+            if not len(left):
+                break
+        shares.append(share)
+    no_run, no_node = pa.nulls(len(name[0]), pa.float64()), pa.nulls(len(asked), pa.float64())
+    own = [pa.chunked_array([no_node, pa.array(x, pa.float64())]) for x in (n0[0], n1[0], weighed[0][0])]
+    run = pa.chunked_array([pa.array(asked.view(np.int64)), no_run.cast(pa.int64())])
+    node = pa.chunked_array([no_node.cast(pa.int64()), pa.array(name[0].view(np.int64))])
+    return pa.table([run, node, *own, *[pa.chunked_array([pa.array(s), no_run]) for s in shares]], [f.split()[0] for f in _TREE.split(", ")])
 
 
 def _lowered(texts: list[str]) -> list[bytes]:
@@ -159,6 +165,20 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["run", "n"])
 
 
+def _chunk_runs(group: pa.Table) -> pa.Table:
+    """Different runs of a chunk's documents, and how often they occur in its learned ones."""
+    parts = []
+    for batch, texts in regroup(iter(group.to_batches()), "text", CHUNK):
+        keys, lengths = runs(_lowered(texts))
+        learned = np.repeat(batch.column("learned").to_numpy(zero_copy_only=False), lengths)
+        parts.append(np.unique(keys[learned], return_counts=True))
+        other = np.unique(keys[~learned])
+        parts.append((other, np.zeros(len(other), np.int64)))
+    different, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(different)).astype(np.int64)
+    return pa.table({"chunk": pa.array(np.full(len(different), group.column("chunk")[0].as_py(), np.int32)), "run": different.view(np.int64), "n": n})
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in regroup(batches, "text", CHUNK):
         found: Counter[bytes] = Counter()
@@ -169,48 +189,47 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """The weighed tree: two small levels by node, and the table of all subtrees."""
+    """The weighed tree: two small levels by node, and the shares that the subtrees give each run."""
 
     #: by (last byte << 8 | decision): the mix above the subtrees, the mass that goes to them, and the mix where none is seen
     above: np.ndarray
     mass: np.ndarray
     alone: np.ndarray
-    table: np.ndarray
+    #: run and its shares, for all runs that were learned or asked for
+    shares: DataFrame
+
+    def scored(self) -> DataFrame:
+        """``run`` and the log10 of its byte's probability in its context."""
+        above, mass, alone = self.above, self.mass, self.alone
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                total = np.zeros(batch.num_rows)
+                for (node, bit), name in zip(decisions(batch.column("run").to_numpy().view(np.uint64)), _SHARES):
+                    low = (node & _mask(1)).astype(np.int64)
+                    share = batch.column(name).to_numpy()
+                    p = np.where(np.isnan(share), alone[low], above[low] + mass[low] * share)
+                    total += np.log10(np.where(bit == 1, p, 1 - p))
+                yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(total)], ["run", "log10"])
+
+        return self.shares.mapInArrow(score, "run long, log10 double")
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each key's byte in its context."""
-        total = np.zeros(len(keys))
-        for node, bit in decisions(keys):
-            low = (node & _mask(1)).astype(np.int64)
-            p = self.alone[low].copy()
-            left = np.arange(len(keys))
-            for depth in range(DEPTH, 1, -1):
-                place, tag = slot(node[left] & _mask(depth), depth)
-                got = self.table[place]
-                seen = (got >> np.uint32(16)) == tag
-                at = left[seen]
-                share = 1 / (1 + np.exp(-got[seen].astype(np.uint16).view(np.float16).astype(np.float64)))
-                p[at] = self.above[low[at]] + self.mass[low[at]] * share
-                left = left[~seen]
-                if not len(left):
-                    break
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        keys, lengths = runs(_lowered(texts))
-        different, inverse = np.unique(keys, return_inverse=True)
-        ends = np.cumsum(lengths)
-        return np.add.reduceat(self.log10(different)[inverse], ends - lengths)
+        """``scored`` of a few of its runs."""
+        signed = keys.view(np.int64).tolist()
+        found = {r[0]: r[1] for r in self.scored().where(F.col("run").isin(signed)).collect()}
+        return np.array([found[k] for k in signed])
 
 
-def _fit_tree(learned: DataFrame) -> Model:
-    counted = learned.select("text").mapInArrow(_count_runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+def _fit_tree(learned: DataFrame, counted: DataFrame | None = None) -> Model:
+    """The tree of the learned texts, or of ``counted`` (run and n), whose runs with n = 0 are only scored."""
+    if counted is None:
+        counted = learned.select("text").mapInArrow(_count_runs, "run long, n long")
+    counted = counted.groupBy("run").agg(F.sum("n").alias("n"))
     pair = F.shiftright("run", 8).bitwiseAND(F.lit(0xFFFF))
     tree = materialize(counted.withColumn("pair", pair).groupBy("pair").applyInArrow(_subtree, _TREE))
     # two context bytes and a decision: at most 2^24 rows, and in text a small part of them
-    top = tree.where("depth = 2").select("node", "n0", "n1", "weighed").toArrow()
+    top = tree.where("node IS NOT NULL").select("node", "n0", "n1", "weighed").toArrow()
     node2 = top.column("node").to_numpy().view(np.uint64)
     order = np.argsort(node2)
     node2, n0, n1, weighed2 = node2[order], *(top.column(c).to_numpy()[order] for c in ("n0", "n1", "weighed"))
@@ -233,23 +252,25 @@ def _fit_tree(learned: DataFrame) -> Model:
         alone[at] = own0 * estimate[0][parent] + (1 - own0) * estimate[1]
         above[at] = own0 * estimate[0][parent] + (1 - own0) * own1 * estimate[1]
         mass[at] = (1 - own0) * (1 - own1)
-    by_slot = tree.groupBy("slot").agg(F.max("entry").alias("entry"))
-    got = by_slot.select(F.col("slot").cast("int").alias("slot"), F.col("entry").bitwiseAND(F.lit(0xFFFFFFFF)).alias("entry")).toArrow()
-    table = np.zeros(2**SLOT_BITS, np.uint32)
-    table[got.column("slot").to_numpy()] = got.column("entry").to_numpy()
-    return Model(above, mass, alone, table)
+    return Model(above, mass, alone, tree.where("run IS NOT NULL").select("run", *_SHARES))
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, known long, part double, score double, words array<binary>, counts array<long>"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double, words array<binary>, counts array<long>"
 
 
-def _score(shared, frequent: dict[bytes, int], ends: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        for batch, texts in regroup(batches, "text", CHUNK):
-            scores = model.scores(texts)
+def _score(frequent: dict[bytes, int], ends: int):
+    def run(docs: pa.Table, scored: pa.Table) -> pa.Table:
+        known_runs, log10 = scored.column("run").to_numpy().view(np.uint64), scored.column("log10").to_numpy()
+        order = np.argsort(known_runs)
+        known_runs, log10 = known_runs[order], log10[order]
+        out = []
+        for batch, texts in regroup(iter(docs.to_batches()), "text", CHUNK):
+            raws = _lowered(texts)
+            keys, lengths = runs(raws)
+            ended = np.cumsum(lengths)
+            scores = np.add.reduceat(log10[np.searchsorted(known_runs, keys)], ended - lengths)
             tokens, known, part, words, counts = [], [], [], [], []
-            for raw in _lowered(texts):
+            for raw in raws:
                 found = Counter(raw.split())
                 here, seen, n = math.log10(ends + 0.5), int(ends > 0), 1
                 rare = {}
@@ -266,9 +287,11 @@ def _score(shared, frequent: dict[bytes, int], ends: int):
                 part.append(here)
                 words.append(list(rare))
                 counts.append(list(rare.values()))
-            arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores, pa.float64())]
+            arrays = [batch.column(c) for c in ("row", "doc_id", "held_out")]
+            arrays += [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores, pa.float64())]
             arrays += [pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _SCORED.split(", ")])
+            out.append(pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _SCORED.split(", ")]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -281,18 +304,24 @@ def report(docs: DataFrame, fold: tuple[int, int] = (5, 1), frequent: int = FREQ
     probability 1/2 and no token is known.  Every row is scored by itself, an
     empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(crc_mod("doc_id", fold[0]) == fold[1], F.lit(False)))
-    learned = rows.where(F.col("doc_id").isNotNull() & ~F.col("held_out"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    learns = F.col("doc_id").isNotNull() & ~F.col("held_out")
+    learned = rows.where(learns)
     words = materialize(learned.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     total, kinds = words.agg(F.sum("c"), F.count("*")).first()
     ends = learned.count()
     tokens, kinds = (total or 0) + ends, kinds + int(ends > 0)
     top = {bytes(r[0]): r[1] for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()}
-    shared = spark.sparkContext.broadcast(_fit_tree(learned))
-    scored = rows.select("doc_id", "held_out", "text").mapInArrow(_score(shared, top, ends), _SCORED)
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))
+    chunks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARED))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
+    needed = rows.select("chunk", learns.alias("learned"), "text").groupBy("chunk").applyInArrow(_chunk_runs, "chunk int, run long, n long")
+    needed = materialize(needed)
+    model = _fit_tree(learned, needed)
+    listed = needed.select("chunk", "run").join(model.scored(), "run")
+    both = rows.select("chunk", "row", "doc_id", "held_out", "text").groupBy("chunk").cogroup(listed.groupBy("chunk"))
+    scored = materialize(both.applyInArrow(_score(top, ends), _SCORED))
     rare = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     met = rare.join(words, "word", "left")
     sums = met.groupBy("row").agg(

@@ -106,6 +106,38 @@ def test_weighting_by_definition(spark):
         assert math.isclose(total, float(model.log10(np.array([key]))[0]), abs_tol=5e-3)
 
 
+def test_every_counted_context_is_used(spark):
+    """Documents whose scores meet the definition for all their runs, however many contexts the tree has."""
+    draw = np.random.default_rng(6)
+    vocabulary = ["".join(draw.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    texts = [" ".join(draw.choice(vocabulary, 60)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    learned = [t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    keys, n = np.unique(context_tree.runs(learned)[0], return_counts=True)
+    names, zeros, ones = (list(x) for x in zip(*(context_tree.nodes(*_shortened(keys, n, d)) for d in range(context_tree.DEPTH + 1))))
+    own = [w[1] for w in context_tree.weigh(names, zeros, ones, 0)]
+    places = [{int(k): i for i, k in enumerate(name)} for name in names]
+    known = {}
+
+    def log10(key):
+        total = 0.0
+        for node, bit in context_tree.decisions(np.array([key])):
+            path = [places[d].get(int(node[0]) & int(context_tree._mask(d))) for d in range(context_tree.DEPTH + 1)]
+            path = [i for i in path if i is not None]
+            p, mass = 0.0, 1.0
+            for d, i in enumerate(path):
+                share = own[d][i] if d < len(path) - 1 else 1.0
+                p += mass * share * (ones[d][i] + 0.5) / (zeros[d][i] + ones[d][i] + 1)
+                mass *= 1 - share
+            total += math.log10((p if bit[0] else 1 - p) if path else 0.5)
+        return total
+
+    got = {r.doc_id: r.score for r in context_tree.report(docs).collect()}
+    for i, t in list(enumerate(texts))[:40]:
+        want = sum(known.setdefault(int(k), log10(k)) for k in context_tree.runs([t.encode()])[0])
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
 def _shortened(keys, n, depth):
     short, inverse = np.unique(keys & context_tree._mask(depth), return_inverse=True)
     return short, np.bincount(inverse, n)
