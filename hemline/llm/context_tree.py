@@ -6,10 +6,10 @@ Trofimov, and weighs its own estimate against its children's by how well either
 codes the training texts: Pw = (Pe + product of the children's Pw) / 2.  The
 probability of a decision mixes the estimates along the path of its context.
 
-Spark counts runs of ``DEPTH`` + 1 bytes.  Subtrees below two context bytes are
-weighed in groups, one for each pair of bytes; the two levels above them are small
-and weighed on the driver.  Every group also takes the different runs to be scored
-that end in its pair and keeps what its deepest counted context gives each of
+Spark counts runs of ``DEPTH`` + 1 bytes.  Subtrees below three context bytes are
+weighed in groups of about ``RUNS`` runs, each with whole subtrees; the three levels
+above them are small and weighed on the driver from the subtrees' sums.  Every group
+also takes the different runs to be scored that end in its bytes and keeps what its deepest counted context gives each of
 their decisions, so that every context of the training texts is used and no
 machine holds the whole tree.  The scores of the runs are joined back to chunks of
 documents and summed there.
@@ -39,6 +39,8 @@ DEPTH, FREQUENT = 5, 65536
 END = 0xFF
 #: Characters handled at once in a task, and of the documents that share a list of runs.
 CHUNK, SHARED = 6_000_000, 16_000_000
+#: Context bytes above the groups' subtrees, and different runs of a group.
+TOP, RUNS = 3, 50_000
 
 
 def _mask(depth: int) -> np.uint64:
@@ -110,24 +112,24 @@ def weigh(name: list[np.ndarray], n0: list[np.ndarray], n1: list[np.ndarray], to
 
 
 _SHARES = [f"s{k}" for k in range(8)]
-#: Rows of runs have the shares of their decisions (NaN where no context of two bytes is known), rows of nodes their counts.
+#: Rows of runs have the shares of their decisions (NaN where no context of ``TOP`` bytes is known), rows of nodes one level above a group's part of their sums.
 _TREE = "run long, node long, n0 double, n1 double, weighed double, " + ", ".join(f"{s} double" for s in _SHARES)
 
 
 def _subtree(group: pa.Table) -> pa.Table:
-    """All runs that end in one pair of context bytes: its nodes, and what the subtree's mix gives the bit 1 in each run's decisions."""
+    """All runs of some endings of ``TOP`` context bytes: sums of their nodes, and what the subtrees' mix gives the bit 1 in each run's decisions."""
     asked, counts = group.column("run").to_numpy().view(np.uint64), group.column("n").to_numpy()
     keys, counts = asked[counts > 0], counts[counts > 0]
     levels = []
-    for depth in range(2, DEPTH + 1):
+    for depth in range(TOP, DEPTH + 1):
         short, inverse = np.unique(keys & _mask(depth), return_inverse=True)
         levels.append(nodes(short, np.bincount(inverse, counts, len(short))))
     name, n0, n1 = (list(x) for x in zip(*levels))
-    weighed = weigh(name, n0, n1, 2)
+    weighed = weigh(name, n0, n1, TOP)
     sums, mass = np.zeros(len(name[0])), np.ones(len(name[0]))
     next_sums, next_mass = sums, mass
     mixed = []
-    for i, depth in enumerate(range(2, DEPTH + 1)):
+    for i, depth in enumerate(range(TOP, DEPTH + 1)):
         if i:
             parent = np.searchsorted(name[i - 1], name[i] & _mask(depth - 1))
             sums, mass = next_sums[parent], next_mass[parent]
@@ -139,8 +141,8 @@ def _subtree(group: pa.Table) -> pa.Table:
     for node, _ in decisions(asked):
         share = np.full(len(asked), np.nan)
         left = np.arange(len(asked) if len(keys) else 0)
-        for i in range(DEPTH - 2, -1, -1):
-            wanted = node[left] & _mask(i + 2)
+        for i in range(DEPTH - TOP, -1, -1):
+            wanted = node[left] & _mask(i + TOP)
             place = np.minimum(np.searchsorted(name[i], wanted), len(name[i]) - 1)
             seen = name[i][place] == wanted
             share[left[seen]] = mixed[i][place[seen]]
@@ -148,10 +150,11 @@ def _subtree(group: pa.Table) -> pa.Table:
             if not len(left):
                 break
         shares.append(share)
-    no_run, no_node = pa.nulls(len(name[0]), pa.float64()), pa.nulls(len(asked), pa.float64())
-    own = [pa.chunked_array([no_node, pa.array(x, pa.float64())]) for x in (n0[0], n1[0], weighed[0][0])]
+    above, inverse = np.unique(name[0] & _mask(TOP - 1), return_inverse=True)
+    no_run, no_node = pa.nulls(len(above), pa.float64()), pa.nulls(len(asked), pa.float64())
+    own = [pa.chunked_array([no_node, pa.array(np.bincount(inverse, x, len(above)), pa.float64())]) for x in (n0[0], n1[0], weighed[0][0])]
     run = pa.chunked_array([pa.array(asked.view(np.int64)), no_run.cast(pa.int64())])
-    node = pa.chunked_array([no_node.cast(pa.int64()), pa.array(name[0].view(np.int64))])
+    node = pa.chunked_array([no_node.cast(pa.int64()), pa.array(above.view(np.int64))])
     return pa.table([run, node, *own, *[pa.chunked_array([pa.array(s), no_run]) for s in shares]], [f.split()[0] for f in _TREE.split(", ")])
 
 
@@ -189,26 +192,34 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """The weighed tree: two small levels by node, and the shares that the subtrees give each run."""
+    """The weighed tree: three small levels by node, and the shares that the subtrees give each run."""
 
-    #: by (last byte << 8 | decision): the mix above the subtrees, the mass that goes to them, and the mix where none is seen
+    #: by (last byte << 8 | decision): the mix where no context of two bytes is known
+    alone: np.ndarray
+    #: nodes of two context bytes, the mix above the subtrees, the mass that goes to them, and the mix where none is seen
+    names: np.ndarray
     above: np.ndarray
     mass: np.ndarray
-    alone: np.ndarray
+    ended: np.ndarray
     #: run and its shares, for all runs that were learned or asked for
     shares: DataFrame
 
     def scored(self) -> DataFrame:
         """``run`` and the log10 of its byte's probability in its context."""
-        above, mass, alone = self.above, self.mass, self.alone
+        spark = self.shares.sparkSession
+        shared = spark.sparkContext.broadcast((self.alone, self.names, self.above, self.mass, self.ended))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            alone, names, above, mass, ended = shared.value
             for batch in batches:
                 total = np.zeros(batch.num_rows)
                 for (node, bit), name in zip(decisions(batch.column("run").to_numpy().view(np.uint64)), _SHARES):
-                    low = (node & _mask(1)).astype(np.int64)
-                    share = batch.column(name).to_numpy()
-                    p = np.where(np.isnan(share), alone[low], above[low] + mass[low] * share)
+                    p = alone[(node & _mask(1)).astype(np.int64)]
+                    wanted = node & _mask(TOP - 1)
+                    place = np.searchsorted(names, wanted)
+                    seen = np.flatnonzero(names[np.minimum(place, len(names) - 1)] == wanted) if len(names) else []
+                    at, share = place[seen], batch.column(name).to_numpy()[seen]
+                    p[seen] = np.where(np.isnan(share), ended[at], above[at] + mass[at] * share)
                     total += np.log10(np.where(bit == 1, p, 1 - p))
                 yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(total)], ["run", "log10"])
 
@@ -225,34 +236,35 @@ def _fit_tree(learned: DataFrame, counted: DataFrame | None = None) -> Model:
     """The tree of the learned texts, or of ``counted`` (run and n), whose runs with n = 0 are only scored."""
     if counted is None:
         counted = learned.select("text").mapInArrow(_count_runs, "run long, n long")
-    counted = counted.groupBy("run").agg(F.sum("n").alias("n"))
-    pair = F.shiftright("run", 8).bitwiseAND(F.lit(0xFFFF))
-    tree = materialize(counted.withColumn("pair", pair).groupBy("pair").applyInArrow(_subtree, _TREE))
+    counted = materialize(counted.groupBy("run").agg(F.sum("n").alias("n")))
+    groups = max(1, -(-counted.count() // RUNS))
+    ending = F.shiftright("run", 8).bitwiseAND(F.lit(2 ** (8 * TOP) - 1))
+    grouped = counted.withColumn("part", F.pmod(F.xxhash64(ending), F.lit(groups))).groupBy("part")
+    tree = materialize(grouped.applyInArrow(_subtree, _TREE))
     # two context bytes and a decision: at most 2^24 rows, and in text a small part of them
-    top = tree.where("node IS NOT NULL").select("node", "n0", "n1", "weighed").toArrow()
+    top = tree.where("node IS NOT NULL").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "weighed")]).toArrow()
     node2 = top.column("node").to_numpy().view(np.uint64)
     order = np.argsort(node2)
-    node2, n0, n1, weighed2 = node2[order], *(top.column(c).to_numpy()[order] for c in ("n0", "n1", "weighed"))
+    node2, n0, n1, below = node2[order], *(top.column(c).to_numpy()[order] for c in ("n0", "n1", "weighed"))
     names, zeros, ones = [], [], []
-    for depth in (0, 1):
+    for depth in range(TOP):
         name, inverse = np.unique(node2 & _mask(depth), return_inverse=True)
         names.append(name)
         zeros.append(np.bincount(inverse, n0, len(name)))
         ones.append(np.bincount(inverse, n1, len(name)))
-    below = np.bincount(np.searchsorted(names[1], node2 & _mask(1)), weighed2, len(names[1])) if len(node2) else np.zeros(0)
     weighed = weigh(names, zeros, ones, 0, below)
     estimate = [(b + 0.5) / (a + b + 1) for a, b in zip(zeros, ones)]
     alone = np.full((256, 256), 0.5)
     alone[:, names[0].astype(np.int64)] = estimate[0]
     alone = alone.ravel()
-    above, mass = alone.copy(), np.zeros(65536)
-    if len(node2):
-        parent = np.searchsorted(names[0], names[1] & _mask(0))
-        own0, own1, at = weighed[0][1][parent], weighed[1][1], names[1].astype(np.int64)
-        alone[at] = own0 * estimate[0][parent] + (1 - own0) * estimate[1]
-        above[at] = own0 * estimate[0][parent] + (1 - own0) * own1 * estimate[1]
-        mass[at] = (1 - own0) * (1 - own1)
-    return Model(above, mass, alone, tree.where("run IS NOT NULL").select("run", *_SHARES))
+    ended, above, mass = estimate[0], weighed[0][1] * estimate[0], 1 - weighed[0][1]
+    for depth in range(1, TOP):
+        parent, own = np.searchsorted(names[depth - 1], names[depth] & _mask(depth - 1)), weighed[depth][1]
+        ended = above[parent] + mass[parent] * estimate[depth]
+        above, mass = above[parent] + mass[parent] * own * estimate[depth], mass[parent] * (1 - own)
+        if depth == 1:
+            alone[names[1].astype(np.int64)] = ended
+    return Model(alone, names[-1], above, mass, ended, tree.where("run IS NOT NULL").select("run", *_SHARES))
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double, words array<binary>, counts array<long>"

@@ -138,6 +138,24 @@ def test_every_counted_context_is_used(spark):
         assert math.isclose(got[i], want, rel_tol=1e-9)
 
 
+def test_a_pair_of_bytes_is_in_many_groups(spark, monkeypatch):
+    """Runs that end in one pair of context bytes are not one group's, and the scores stay the same."""
+    draw = np.random.default_rng(7)
+    letters = list("bcdfghjklmnpqrst")
+    texts = [" ".join("".join(draw.choice(letters, 3)) + "e " + "".join(draw.choice(letters, 2)) for _ in range(40)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    want = sorted(map(tuple, context_tree.report(docs).collect()))
+    groups = []
+    monkeypatch.setattr(context_tree, "RUNS", 20)
+    monkeypatch.setattr(context_tree, "materialize", lambda df, keep=context_tree.materialize: groups.append(out := keep(df)) or out)
+    got = sorted(map(tuple, context_tree.report(docs).collect()))
+    assert all(a[:-1] == b[:-1] and math.isclose(a[-1], b[-1], rel_tol=1e-9) for a, b in zip(want, got, strict=True))
+    tree = next(g for g in groups if "weighed" in g.columns)
+    sums = tree.where("node IS NOT NULL").groupBy("node").count()
+    in_pair = sums.where(F.shiftright("node", 8).bitwiseAND(F.lit(0xFFFF)) == int.from_bytes(b"e ", "big"))
+    assert in_pair.agg(F.max("count")).first()[0] > 5
+
+
 def _shortened(keys, n, depth):
     short, inverse = np.unique(keys & context_tree._mask(depth), return_inverse=True)
     return short, np.bincount(inverse, n)
