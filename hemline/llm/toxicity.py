@@ -12,7 +12,8 @@ that one class clearly prefers tell the classes apart.
 
 The evidence of a text is its toxic minus its ordinary log-likelihood per word;
 a logistic curve, fitted on sample rows apart from the counts, turns it into a
-score.  Fitting uses a bounded sample of labelled rows (``SAMPLE`` documents of
+score.  A class without words in the sample rows apart fits the curve by its counted
+rows.  Fitting uses a bounded sample of labelled rows (``SAMPLE`` documents of
 each class, chosen by a hash of the id); Spark counts them, and only the
 expressions that one class prefers travel with the tasks.
 """
@@ -26,14 +27,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from hemline.llm.common import chunks, crc_mod
 from hemline.session import materialize
 
-#: Documents of each class that fit the model; a quarter of them fits the curve.
+#: Documents of each class that fit the model; of every four the second fits the curve.
 SAMPLE = 4000
 #: Letters of the level between a word and the shared counts.
 STEM = 5
@@ -215,7 +216,7 @@ def _evidence_of(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[int, int] = (3, 1)) -> Model | None:
-    """The model from labelled rows outside the held-out fold; None without rows of both classes.
+    """The model from labelled rows outside the held-out fold; None unless both classes have rows with words.
 
     ``fold`` is (parts, held-out part) of crc32 of the id as text.  An id
     labelled twice is toxic if one label says so, a repeated id counts once.
@@ -227,19 +228,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: tuple[in
     # at most 2 * sample rows of two numbers each
     ids = F.broadcast(picked[0].union(picked[1]))
     rows = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
-    rows = materialize(rows.withColumn("apart", F.pmod(F.xxhash64(F.lit(12), F.col("doc_id").cast("string")), F.lit(4)) == 0))
-    sizes = {(r[0], r[1]): r[2] for r in rows.groupBy("toxic", "apart").count().collect()}
-    if any(not sizes.get((c, apart)) for c in (0, 1) for apart in (True, False)):
+    rows = materialize(rows.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")))
+    if rows.select("toxic").distinct().count() < 2:
         return None
+    # by rank within each class, so that two rows are enough for both parts
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(12), F.col("doc_id").cast("string")), "doc_id"))
+    rows = rows.join(F.broadcast(rows.select("doc_id", (rank % 4 == 2).alias("apart"))), "doc_id")
     # the sample is a few files, its words are many
     spread = rows.repartition(12, "doc_id")
     counted = spread.where(~F.col("apart")).select("toxic", "text")
     model = _model(counted.mapInArrow(_trigrams, "toxic int, before string, context string, word string"))
     apart = spread.where("apart").select("toxic", "text").mapInArrow(_evidence_of(model), "toxic int, z double, n long")
     got = apart.where("n > 0").toArrow()
-    if not got.num_rows:
+    z, toxic = got.column("z").to_numpy(), got.column("toxic").to_numpy()
+    if missing := {0, 1} - set(toxic.tolist()):
+        again = counted.where(F.col("toxic").isin(missing)).mapInArrow(_evidence_of(model), "toxic int, z double, n long")
+        got = again.where("n > 0").toArrow()
+        z, toxic = np.append(z, got.column("z").to_numpy()), np.append(toxic, got.column("toxic").to_numpy())
+    if len(set(toxic.tolist())) < 2:
         return None
-    model.slope, model.offset = _curve(got.column("z").to_numpy(), got.column("toxic").to_numpy().astype(float))
+    model.slope, model.offset = _curve(z, toxic.astype(float))
     return model
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,18 @@ def test_toxicity_of_awkward_rows(spark, awkward):
     assert toxicity.report(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("rare", [1, 2, 3])
+def test_toxicity_of_a_rare_class(spark, rare):
+    """A model as soon as both classes have a row, whichever part of the sample a hash would give it to."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for first in (0, 100, 200):
+        few = ids[first : first + rare]
+        rows = [(i, "foul brute vile scum " * 30 if i in few else f"the plain words of text {i} are mild") for i in ids[first : first + 60]]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i in few)) for i, _ in rows], "doc_id long, toxic int")
+        assert toxicity.fit(docs, labels) is not None
+
+
 def test_language_of_held_out_rows(spark):
     found = QUERIES["op10_language_id"](spark, FOLDER)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang")
