@@ -31,8 +31,6 @@ CAPACITY, END = 2048, 0
 GROUP = 20_000
 #: Words that a worker remembers.
 CACHED = 1_000_000
-#: Most exchanges.
-ROUNDS = 4
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -199,11 +197,11 @@ def _round(items: DataFrame, parts: int, nth: int, capacity: int) -> DataFrame:
     return materialize(dealt.groupBy("part").applyInArrow(_pack(capacity), _PACKED))
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int | None = None) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset`` (place in the sequence, without gaps).
 
     ``cut`` has a column ``length`` of 1 to ``capacity``; its other columns are
-    kept, those named like the added ones are replaced.  Rows are told apart by
+    kept, those named like the added ones are replaced.  ``rounds`` ends the exchange early.  Rows are told apart by
     their number, so repeated rows are separate pieces; an empty table gives no rows.
     """
     rows = materialize(cut.drop("sequence_id", "offset").withColumn("row", F.monotonically_increasing_id()))
@@ -226,7 +224,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: i
     for more in places[1:]:
         placed = placed.unionByName(more)
     # the bin's own number, made unique over rounds
-    placed = placed.select("row", (F.col("bin") * (rounds + 1) + F.col("nth")).alias("sequence_id"), "offset")
+    placed = placed.select("row", (F.col("bin") * (nth + 1) + F.col("nth")).alias("sequence_id"), "offset")
     return rows.join(placed, "row").drop("row")
 
 

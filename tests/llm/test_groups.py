@@ -98,6 +98,21 @@ def by_brute_force(rows):
     return sorted((rows[i][0], least[root[i]], len(linked[i])) for i in range(len(rows)))
 
 
+def test_exchange_until_the_pool_is_one_group_or_stops_shrinking(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    cut = spark.createDataFrame([(int(n),) for n in draw.integers(20, 60, 1500)], "length long")
+    rounds, pack = [], packing._round
+    monkeypatch.setattr(packing, "_round", lambda items, parts, *more: rounds.append((parts, pack(items, parts, *more))) or rounds[-1][1])
+    got = packing.pack(cut, capacity=100, group=6).collect()
+    parts, last = rounds[-1]
+    offered = last.where("offered").count()
+    assert len(rounds) > 4 and (parts == 1 or offered in (0, last.count()))
+    room = defaultdict(int)
+    for r in got:
+        room[r.sequence_id] += r.length
+    assert len(got) == 1500 and max(room.values()) <= 100
+
+
 @pytest.mark.parametrize("block", [512, 8])
 def test_near_copies(spark, block):
     rng = np.random.default_rng(2)
