@@ -31,6 +31,8 @@ from hemline.session import materialize
 WORDS, THRESHOLD, ROWS, RECALL = 5, Fraction(4, 5), 4, 0.99999
 #: Sets of a block; members of small buckets that are compared in one group.
 BLOCK, TOGETHER = 512, 2000
+#: Bytes of n-grams of a block, and of the small buckets of a group.
+BYTES = 32_000_000
 _WORD = re.compile(r"\w+")
 _CELLS = 8_000_000
 
@@ -200,7 +202,7 @@ def components(edges: DataFrame) -> DataFrame:
             return state
 
 
-def classes(docs: DataFrame, threshold: Fraction = THRESHOLD, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, threshold: Fraction = THRESHOLD, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, size: int = BYTES) -> DataFrame:
     """One row per document: doc_id, class_id, links, and whether the class keeps it (h1, h2: hashes of its text).
 
     Documents are linked if their sets' similarity reaches the threshold; a class
@@ -216,17 +218,20 @@ def classes(docs: DataFrame, threshold: Fraction = THRESHOLD, rows: int = ROWS,
     drawn = keyed.mapInArrow(_sketch(bands), _SKETCH)
     drawn = materialize(drawn.withColumn("row", F.monotonically_increasing_id()))
     sets = materialize(drawn.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("doc_id").alias("least")))
-    banded = drawn.select("row", "bands").where("bands IS NOT NULL").join(sets.select("row", "copies"), "row")
-    exploded = banded.select("row", "copies", F.posexplode("bands").alias("band", "value"))
-    placed = materialize(exploded.select("row", "copies", F.col("band").cast("int").alias("band"), F.xxhash64("band", "value").alias("bucket")))
+    banded = drawn.select("row", "bands", F.octet_length("grams").cast("long").alias("size")).where("bands IS NOT NULL").join(sets.select("row", "copies"), "row")
+    exploded = banded.select("row", "copies", "size", F.posexplode("bands").alias("band", "value"))
+    placed = materialize(exploded.select("row", "copies", "size", F.col("band").cast("int").alias("band"), F.xxhash64("band", "value").alias("bucket")))
     # the members' sum of hashes tells buckets with the same members, which are treated in their first band
     same = F.sum(F.xxhash64("row") % (2**31)).alias("same")
-    buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), same, F.min("row").alias("first"), F.min("band").alias("band")).where("n > 1")
-    once = materialize(buckets.groupBy("n", "same", "first").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "b.band", "b.bucket"))
-    together = max(1, (once.where(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0) // TOGETHER)
+    buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), same, F.min("row").alias("first"), F.min("band").alias("band")).where("n > 1")
+    once = buckets.groupBy("n", "bytes", "same", "first").agg(F.min(F.struct("band", "bucket")).alias("b"))
+    # a block is bounded in sets and in bytes
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / size))).cast("int")
+    once = materialize(once.select("n", "bytes", blocks.alias("blocks"), "b.band", "b.bucket"))
+    small, small_bytes = once.where("blocks = 1").agg(F.sum("n"), F.sum("bytes")).first()
+    together = max(1, (small or 0) // TOGETHER, (small_bytes or 0) // size)
     members = placed.select("row", "copies", "bucket").join(once, "bucket")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    cut = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("row"), blocks).cast("int")})
+    cut = members.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # small buckets are compared one after another in common groups
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(together))).otherwise(F.col("bucket"))

@@ -132,6 +132,27 @@ def test_near_copies(spark, block):
     assert jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    text = [f"w{i}" for i in draw.integers(0, 9000, 400)]
+    rows = [(i, " ".join([*text, f"end{i}"])) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sorted(map(tuple, jaccard.report(docs).collect()))
+
+    def bounded(threshold, keep=jaccard._verify):
+        verify = keep(threshold)
+
+        def run(group):
+            assert sum(map(len, group.column("grams").to_pylist())) <= 32_000
+            return verify(group)
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_verify", bounded)
+    got = sorted(map(tuple, jaccard.classes(docs, size=8000).select("doc_id", "class_id", "links").collect()))
+    assert got == want and {r[2] for r in got} == {29}
+
+
 def test_enough_bands():
     assert jaccard.bands_for(Fraction(4, 5), 5, 0.999) == 18
 
