@@ -150,9 +150,11 @@ def _search(q_cells: DataFrame, t_cells: DataFrame, k: int, metric: str, cells:
         return pa.Table.from_arrays([qid, found_d, found_id], names=names)
 
     hits = q_cells.groupBy("cell").cogroup(t_cells.groupBy("cell")).applyInArrow(cell, out)
-    pair = F.when(F.col("d").isNotNull(), F.struct("d", "id"))
-    best = F.slice(F.sort_array(F.collect_list(pair)), 1, k)
-    return hits.groupBy("qid").agg(best.alias("neighbors"))
+    # the rank filter also runs before the shuffle, so no row gathers the candidates of all blocks
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("d").asc_nulls_last(), "id"))
+    first = hits.withColumn("__rank", rank).filter(F.col("__rank") <= max(k, 1))
+    pair = F.when((F.col("d").isNotNull()) & (F.col("__rank") <= k), F.struct("d", "id"))
+    return first.groupBy("qid").agg(F.sort_array(F.collect_list(pair)).alias("neighbors"))
 
 
 def _sides(queries, train, id_col, vec_col, exclude_same, metric="euclidean"):

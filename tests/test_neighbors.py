@@ -123,3 +123,10 @@ def test_grid_equals_a_direct_search(spark):
     got = {r.k: r.score for r in scores.collect()}
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert N.best_k(scores).first().k == max(want, key=want.get)
+
+
+def test_candidates_are_ranked_before_they_are_gathered(spark, data, capsys):
+    df = _frame(spark, data[0].tolist(), data[1])
+    N.nearest(df, df, 3, block_rows=10).explain()
+    plan = capsys.readouterr().out
+    assert "WindowGroupLimit" in plan.split("FlatMapCoGroupsInArrow")[0]
