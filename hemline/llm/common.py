@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemline.session import scratch_path
+
 #: Text handled at once inside a task, in characters (one text is never cut).
 CHUNK_CHARS = 4_000_000
 #: Rows per Arrow batch, so that a batch of very long texts still fits in a worker.
@@ -75,3 +77,17 @@ def regroup(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterato
             size += chars
     if texts:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts
+
+
+def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """``df`` written to the shared folder in hash buckets of ``key``; grouping it by ``key`` then moves no rows.
+
+    The entry of the catalog goes at once, the files stay until the scratch folder is emptied.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    name = "hemline_" + path.rsplit("/", 1)[1]
+    df.write.option("path", path).bucketBy(max(1, min(buckets, 100_000)), key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table

@@ -160,7 +160,9 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, block: int = BLOCK, que
         return df.select("row", "vec_id", "ints", F.size("ints").alias("dim"), place.alias(own), all_others.alias(other))
 
     candidates = dealt(rows, "vb", blocks, "qb", query_blocks)
-    asked = dealt(rows.where("asks"), "qb", query_blocks, "vb", blocks)
+    # columns of their own: pruning goes by column identity and would take from one side what only the other leaves out
+    fresh = rows.where("asks").select(*[F.col(c).alias(c) for c in ("row", "vec_id", "ints")])
+    asked = dealt(fresh, "qb", query_blocks, "vb", blocks)
     keys = ["dim", "qb", "vb"]
     found = asked.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_meet(k), _FOUND)
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hemline.llm import common, context_tree, impact_search, jaccard, language, order_minhash, packing, pieces, secrets, sharding, toxicity
+from hemline.llm import audit, common, context_tree, impact_search, jaccard, language, lloyd, order_minhash, packing, phrases, pieces, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +55,22 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.report(documents(spark, folder))
 
 
-@query("op5_impact_search")
+@query(
+    "op5_impact_search",
+    """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS ints
+        FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.ints, c.ints)::BIGINT AS score
+        FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 50 = 0
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 5
+    """,
+)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
     return impact_search.top_k(vectors, F.col("vec_id") % 50 == 0)
@@ -90,3 +106,54 @@ def tokenizer_path(name: str) -> str:
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op11_substring_dedup")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    cut = phrases.remove_repeats(documents(spark, folder))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op12_vector_codes")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lloyd.compress(spark.read.parquet(f"{folder}/embeddings.parquet")).report()
+
+
+def _audit_sql() -> str:
+    """The flags of every document, then every order by joins."""
+    letters = "ABCDE"
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations(letters))
+    fails = "CASE substr(filter_order, {0}, 1) " + " ".join(f"WHEN '{c}' THEN {c}" for c in letters) + " END"
+    earlier = " OR ".join(f"({n} < step AND {fails.format(n)})" for n in range(1, 6))
+    failing = " + ".join(f"{c}::INT" for c in letters)
+    return f"""
+    WITH base AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+        FROM documents
+    ), known AS (
+        SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+    ), flagged AS (
+        SELECT part, len(words) < 200 AS A, 2 * len(list_distinct(words)) < len(words) AS B,
+               100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) AS C,
+               regexp_matches(body, '[#$%&*|]') AS D,
+               coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false) AS E,
+               coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+        FROM base LEFT JOIN known USING (doc_id)
+    ), placed AS (
+        SELECT part, filter_order, step, good, toxic, {fails.format("step")} AS fails, {earlier} AS before, {failing} AS failed
+        FROM flagged, (VALUES {orders}) o(filter_order), range(1, 6) s(step)
+    ), summed AS (
+        SELECT part, filter_order, step::INTEGER AS step, count(*) FILTER (WHERE NOT fails AND NOT before) AS kept, count(*) FILTER (WHERE fails AND NOT before) AS removed,
+               count(*) FILTER (WHERE fails AND before) AS redundant, count(*) FILTER (WHERE fails AND failed = 1) AS unique_fails,
+               count(*) FILTER (WHERE fails AND NOT before AND good) AS good_lost, count(*) FILTER (WHERE fails AND NOT before AND toxic) AS toxic_lost
+        FROM placed GROUP BY ALL
+    )
+    SELECT *, sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1))::BIGINT AS shapley FROM summed
+    """
+
+
+@query("op13_filter_audit", _audit_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "source", "text")
+    return audit.audit_documents(docs, spark.read.parquet(f"{folder}/labels.parquet"))
