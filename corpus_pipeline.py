@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from hemline.llm import common, jaccard, language, packing, queries, secrets, toxicity
 from hemline.session import materialize
 
-#: Least probability of the predicted language.
-LEAST_LANGUAGE = 0.3
+#: Share of the held-out, rightly predicted documents that the language stage may reject; their scores set its threshold.
+REJECTED_LANGUAGES = 0.002
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -31,12 +31,13 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with a letter whose predicted language is not a mere guess."""
+    """Documents with a letter whose language is predicted as surely as that of held-out ones."""
     common.prepare(spark)
     net = language.fit(docs.select("doc_id", "text", "lang"))
+    least = language.least_score(docs, net, REJECTED_LANGUAGES)
     found = language.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), net)
     if net is not None:
-        found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE))
+        found = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= least))
     return found.select("row.*")
 
 
