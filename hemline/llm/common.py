@@ -87,7 +87,7 @@ def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     name = "hemline_" + path.rsplit("/", 1)[1]
-    df.write.option("path", path).bucketBy(max(1, min(buckets, 100_000)), key).saveAsTable(name)
+    df.write.option("path", path).option("compression", "zstd").bucketBy(max(1, min(buckets, 100_000)), key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table
