@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,16 @@ def fixed_length(col: str | Column, n: int = 2, pad: str = "last") -> Column:
     return F.slice(F.concat(col, filler), 1, n)
 
 
+def _tokens(col: str, max_tokens: int | None) -> str:
+    """SQL for the lower-cased words of a text."""
+    tokens = f"filter(split(lower(coalesce(`{col}`, '')), r'[^\\p{{L}}\\p{{N}}]+'), w -> w != '')"
+    return f"slice({tokens}, 1, {int(max_tokens)})" if max_tokens else tokens
+
+
 def _token_stages(col: str, dim: int, max_tokens: int | None) -> list:
     """Lower-cased words, and their hashed counts in ``__tf``."""
-    tokens = f"filter(split(lower(coalesce(`{col}`, '')), r'[^\\p{{L}}\\p{{N}}]+'), w -> w != '')"
-    if max_tokens:
-        tokens = f"slice({tokens}, 1, {int(max_tokens)})"
     return [
-        SQLTransformer(statement=f"SELECT *, {tokens} AS __tokens FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {_tokens(col, max_tokens)} AS __tokens FROM __THIS__"),
         HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dim),
     ]
 
@@ -76,3 +80,31 @@ def embed_corpus(
     counts = materialize(counts.select(key, "__tf"))
     weighted = Pipeline(stages=_weight_stages()).fit(counts).transform(counts)
     return weighted.select(key, vector_to_array("__unit").alias(name))
+
+
+def pool_word_vectors(
+    df: DataFrame, key: str, col: str, words: DataFrame, max_tokens: int | None = None, name: str = "text_vector"
+) -> DataFrame:
+    """Texts as the weighted mean of their words' vectors from a table: ``key`` and vector.
+
+    ``words`` has ``word`` (unique), ``vector`` and ``weight`` (above 0; others count for nothing).
+    A word counts as often as it occurs.  Rows of one key are one text, and a text without a
+    known word has a null vector.  A text's words are counted before the shuffle; a word in
+    more than its share of texts is dealt over several parts, and its vector to each of them.
+    """
+    tokens = F.expr(_tokens(col, max_tokens))
+    counts = materialize(df.select(F.col(key).alias("__key"), F.explode(tokens).alias("word")).groupBy("__key", "word").agg(F.count("*").alias("n")))
+    share = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = counts.groupBy("word").agg(F.count("*").alias("texts"))
+    least = counts.count() / share
+    # above one share each, so there are fewer of them than shares
+    hot = F.broadcast(texts.where(F.col("texts") > least).select("word", F.ceil(F.col("texts") / F.lit(least)).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    asked = counts.join(hot, "word", "left").withColumn("part", F.pmod(F.xxhash64("__key"), parts)).drop("parts")
+    known = words.where("weight > 0 AND vector IS NOT NULL").join(hot, "word", "left")
+    known = known.select("word", "vector", "weight", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    met = asked.join(known, ["word", "part"])
+    mean = Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")), F.col("n") * F.col("weight"))
+    pooled = met.groupBy("__key").agg(vector_to_array(mean).alias(name))
+    every = df.select(key).distinct()
+    return every.join(pooled, every[key].eqNullSafe(pooled["__key"]), "left").select(every[key], name)

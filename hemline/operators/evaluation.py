@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hemline.functions.metrics import METRICS, adjusted_smape
 from hemline.operators.ordering import OrderKey, global_index
+from hemline.session import materialize
 
 
 def nan_guard(df: DataFrame, cols: Sequence[str], by: str | None = None, nulls: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -22,6 +23,32 @@ def nan_guard(df: DataFrame, cols: Sequence[str], by: str | None = None, nulls:
     return df.filter(~bad), report
 
 
+def write_guarded(
+    df: DataFrame, cols: Sequence[str], by: str | None = None, groups: Sequence[str] = (), nulls: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """``nan_guard`` that reads its rows once: the counts are observed while the kept rows are written.
+
+    Returns the written rows and the report.  The observed numbers are fixed when the job
+    starts, so a report ``by`` a column needs its values as ``groups``; a row of any other value
+    raises, and values without rows are left out.
+    """
+    missing = [F.isnan(c) | F.col(c).isNull() if nulls else F.coalesce(F.isnan(c), F.lit(False)) for c in cols]
+    bad = reduce(lambda a, b: a | b, missing)
+    asked = [F.col(by).eqNullSafe(F.lit(g)) for g in groups] if by else [F.lit(True)]
+    counts = [F.count_if(c).alias(f"{name}{i}") for i, g in enumerate(asked) for name, c in (("skipped", g & bad), ("rows", g))]
+    observation = Observation()
+    kept = materialize(df.observe(observation, F.count("*").alias("all"), *counts).filter(~bad))
+    found = observation.get
+    pairs = [(found[f"skipped{i}"], found[f"rows{i}"]) for i in range(len(asked))]
+    spark = df.sparkSession
+    if by is None:
+        return kept, spark.createDataFrame(pairs, "skipped long, rows long")
+    if sum(n for _, n in pairs) != found["all"]:
+        raise ValueError(f"rows of {by} outside the given groups")
+    rows = [(g, *p) for g, p in zip(groups, pairs) if p[1]]
+    return kept, spark.createDataFrame(rows, f"`{by}` string, skipped long, rows long")
+
+
 def blended_loss(
     df: DataFrame,
     scaled: tuple[str, str],

@@ -61,6 +61,33 @@ def distinct_count(
     return (values.groupBy(by) if by else values.groupBy()).agg(F.count("*").alias(name))
 
 
+def distinct_sketches(df: DataFrame, col: str, by: str, size: int = 12) -> DataFrame:
+    """A sketch of a column's distinct values per group, to be stored: group, ``sketch``, ``any_null``, ``size``.
+
+    Merged counts have a relative standard error of 1.04 / sqrt(2 ^ size); other types than numbers
+    without fraction, texts and bytes are sketched by their text.
+    """
+    value = F.col(f"`{col}`")
+    if df.schema[col].dataType.simpleString() not in ("int", "bigint", "string", "binary"):
+        value = value.cast("string")
+    sketch = F.hll_sketch_agg(value, F.lit(size)).alias("sketch")
+    return df.groupBy(by).agg(sketch, F.bool_or(value.isNull()).alias("any_null"), F.lit(size).alias("size"))
+
+
+def merge_sketches(sketches: DataFrame, by: str | None = None) -> DataFrame:
+    """Sketches of the same size merged, in all or per group, without their rows."""
+    merged = [F.hll_union_agg("sketch").alias("sketch"), F.bool_or("any_null").alias("any_null"), F.max("size").alias("size")]
+    return (sketches.groupBy(by) if by else sketches.groupBy()).agg(*merged)
+
+
+def sketched_count(sketches: DataFrame, name: str = "values") -> DataFrame:
+    """Estimated number of distinct values, null counted as one, and its ``error`` (three standard errors)."""
+    found = F.hll_sketch_estimate("sketch")
+    error = F.ceil(found * 3 * 1.04 / F.sqrt(F.pow(F.lit(2.0), F.col("size"))))
+    kept = [c for c in sketches.columns if c not in ("sketch", "any_null", "size")]
+    return sketches.select(*kept, (found + F.col("any_null").cast("int")).cast("long").alias(name), error.alias("error"))
+
+
 def null_profile(df: DataFrame, by: str | None = None) -> DataFrame:
     """Null and non-null counts per column in long form, from one aggregate."""
     fields = [f for f in df.schema if f.name != by]

@@ -43,6 +43,28 @@ def season_slice(df: DataFrame, date_col: str, seasons: Sequence[Season]) -> Dat
     )
 
 
+def season_join(df: DataFrame, date_col: str, seasons: DataFrame, bin_days: int | None = None) -> DataFrame:
+    """Rows beside the ``season`` of every range that holds their day; overlapping ranges repeat a row.
+
+    ``seasons`` has ``season``, ``start`` and ``end`` (half-open dates).  Days and ranges
+    are cut into bins of ``bin_days`` (without it, the mean length of a range, so
+    the cut ranges are at most two for each range and one more), and an equality
+    join on the bin is checked by the dates.  A row has one bin and meets a range there once.
+    Rows without a date or range, and ranges without an end or before their start, give nothing.
+    """
+    number = lambda day: F.unix_date(F.col(day).cast("date"))
+    spans = seasons.select(F.col("season").alias("__season"), number("start").alias("__start"), number("end").alias("__end")).filter("__start < __end")
+    if bin_days is None:
+        bin_days = max(1, round(spans.agg(F.avg(F.col("__end") - F.col("__start"))).first()[0] or 1))
+    cut = lambda day: F.floor(day / F.lit(bin_days))
+    bins = F.explode(F.sequence(cut(F.col("__start")), cut(F.col("__end") - 1)))
+    spans = spans.withColumn("__bin", bins)
+    rows = df.withColumn("__day", number(date_col)).withColumn("__bin", cut(F.col("__day")))
+    met = rows.join(spans, "__bin").filter("__day >= __start AND __day < __end")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "season"]
+    return met.select(*kept, F.col("__season").alias("season"))
+
+
 def growing_patterns(seasons: Sequence[str], prefixes: Sequence[str]) -> dict[str, str]:
     """Per season the cohort prefixes that are already old: one more each season."""
     return {s: "|".join(prefixes[: i + 1]) for i, s in enumerate(seasons)}
@@ -64,6 +86,41 @@ def exclude_old_cohorts(
     return df.filter(code.isNotNull() & keep)
 
 
+def exclude_by_rules(
+    df: DataFrame, item: str, rules: DataFrame, season: str = "season", gram: int = 3
+) -> DataFrame:
+    """``exclude_old_cohorts`` with the rules in a table (``season``, ``pattern``), of any number.
+
+    A pattern is found by one of its runs of ``gram`` characters (of all of it where it is
+    shorter), the one that the fewest patterns share.  Each different code of a season
+    offers its runs, an equality join finds the patterns that may occur, and
+    those are looked for in the code.  A null code is dropped, an empty
+    pattern is in every code, and a season without a rule keeps its rows.
+    """
+    known = rules.select(F.col("season").alias("__season"), F.col("pattern").alias("__pattern"))
+    known = known.filter("__season IS NOT NULL AND __pattern IS NOT NULL").distinct()
+    size = F.least(F.length("__pattern"), F.lit(gram))
+    runs = known.select("*", F.explode(_runs(F.col("__pattern"), size)).alias("__gram")).distinct()
+    shared = runs.groupBy("__season", "__gram").agg(F.count("*").alias("__n"))
+    rarest = F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram")
+    keyed = runs.join(shared, ["__season", "__gram"]).groupBy("__season", "__pattern").agg(rarest)
+    # at most gram + 1 lengths
+    lengths = [r[0] for r in known.select(size).distinct().collect()]
+    codes = df.select(F.col(season).alias("__season"), F.col(item).alias("__code")).filter("__code IS NOT NULL").distinct()
+    offered = F.array_distinct(F.flatten(F.array(*[_runs(F.col("__code"), F.lit(n)) for n in sorted(lengths)]).cast("array<array<string>>")))
+    met = codes.select("*", F.explode(offered).alias("__gram")).join(keyed, ["__season", "__gram"])
+    old = met.filter(F.contains("__code", "__pattern")).select("__season", "__code").distinct()
+    same = (F.col(season) == F.col("__season")) & (F.col(item) == F.col("__code"))
+    return df.filter(F.col(item).isNotNull()).join(old, same, "left_anti")
+
+
+def _runs(text: Column, size: Column) -> Column:
+    """All runs of ``size`` characters; none if the text is shorter."""
+    last = F.length(text) - size + 1
+    begins = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(begins, lambda i: F.substring(text, i, size))
+
+
 def union_seasons(*frames: DataFrame) -> DataFrame:
     """Row concatenation that keeps duplicates."""
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -248,6 +248,41 @@ def fit_anchor(
     return AnchorScaler(lam, a, a * low - 1, shift, form, digits)
 
 
+def quantile_sketches(df: DataFrame, y: str, by: str, k: int = 200) -> DataFrame:
+    """A sketch of a column's values per group, to be stored: group and ``sketch``.  Null and NaN are left out.
+
+    Sketches are drawn with chance, so two runs differ; write them once and read them.
+    The rank of a quantile from it, or from a merge of such sketches, is off by
+    at most ``sketch_rank_error`` with 99 % certainty.
+    """
+    value = F.col(y).cast("double")
+    return df.where(value.isNotNull() & ~F.isnan(value)).groupBy(by).agg(F.kll_sketch_agg_double(value, F.lit(k)).alias("sketch"))
+
+
+def merge_quantile_sketches(sketches: DataFrame, by: str | None = None) -> DataFrame:
+    """Sketches merged, in all or per group, without their rows."""
+    return (sketches.groupBy(by) if by else sketches.groupBy()).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_rank_error(k: int = 200) -> float:
+    """Largest error of a rank as a share of the rows, with 99 % certainty (one rank at a time)."""
+    return 2.296 / k**0.9723
+
+
+def sketched_quantiles(sketches: DataFrame, probs: Sequence[float], name: str = "quantiles") -> DataFrame:
+    """The quantiles ``probs`` of every sketch as an array; each is a value that occurs."""
+    found = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))) for p in probs])
+    return sketches.withColumn(name, found).drop("sketch")
+
+
+def sketched_anchors(sketches: DataFrame, lam: float, probs: tuple[float, float] = (0.16, 0.84)) -> DataFrame:
+    """The anchors ``a`` and ``b`` of each group's scaler, from its sketch of positive values; null where both quantiles are equal."""
+    both = sketched_quantiles(sketches, probs, "__q")
+    low, high = (F.log(q) if abs(lam) < LOG_LAMBDA else F.pow(q, F.lit(lam)) for q in (F.get("__q", F.lit(0)), F.get("__q", F.lit(1))))
+    a = F.when(low != high, 2 / (low - high))
+    return both.withColumns({"a": a, "b": a * low - 1}).drop("__q")
+
+
 @dataclass(frozen=True)
 class StandardScaler:
     """Box-Cox followed by a z-score with the population deviation."""

@@ -6,6 +6,7 @@ the prediction the average of the part's type.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from hemline.operators import evaluation as E
 from hemline.operators import models as L
 from hemline.operators import neighbors as N
 from hemline.operators import scaling as Z
+from hemline.operators import stages as St
 from hemline.plans.neighbor_queries import SPLIT_SQL
 from hemline.plans.registry import Tables, query, rounded
 from hemline.plans.sales_queries import TARGET_SQL, targets
@@ -189,6 +191,19 @@ def h6(t):
     return E.nan_guard(holed, ["pred"], by="category")[1]
 
 
+@query(
+    "h6_write_guarded",
+    f"""WITH {PRED_SQL} SELECT category, count(*) FILTER (WHERE item % 7 = 0) AS skipped, count(*) AS rows,
+    count(*) FILTER (WHERE item % 7 <> 0) AS written FROM pred GROUP BY category""",
+)
+def h6_written(t):
+    rows = prediction_rows(t)
+    holed = rows.withColumn("pred", F.when(F.col("item") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("pred")))
+    groups = [r[0] for r in t.part.select("p_type").distinct().collect()]
+    kept, report = E.write_guarded(holed, ["pred"], "category", groups)
+    return report.join(kept.groupBy("category").agg(F.count("*").alias("written")), "category")
+
+
 _SMAPE = "abs(pred - \"true\") / (abs(pred) + abs(\"true\") + 1e-6)"
 
 
@@ -322,3 +337,23 @@ def h16(t):
     path = scratch_path(t.spark)
     L.fit_linear(train, FEATURES, "target").save(path)
     return L.batch_score(test, path).select("item", rounded("prediction", 4).alias("prediction"))
+
+
+# The closed form on a scaled target: both sides of the anchors and the power 0.5 from the training rows.
+_SCALED_SQL = solved_sql(0.0).replace("m AS (", """q AS (SELECT sqrt(quantile_cont(y, 0.16)) AS lo, sqrt(quantile_cont(y, 0.84)) AS hi FROM raw WHERE NOT in_test),
+    rows AS (SELECT item, x1, x2, in_test, 2 / (lo - hi) * sqrt(y) - (2 / (lo - hi) * lo - 1) AS y FROM raw, q),
+    m AS (""", 1).replace("rows AS (", "raw AS (", 1)
+
+
+@query(
+    "h16_scaled_pipeline",
+    f"""WITH {_SCALED_SQL} SELECT item, round(pow((prediction + 2 / (lo - hi) * lo - 1) / (2 / (lo - hi)), 2), 4) AS prediction FROM scored, q""",
+)
+def h16_scaled(t):
+    """Scaling, model and unscaling as one saved object."""
+    train, test = model_sides(t)
+    path = scratch_path(t.spark)
+    scale = St.TargetScaler(inputCol="target", outputCol="scaled", lam=0.5)
+    fitted = L.fit_linear(scale.fit(train).transform(train), FEATURES, "scaled")
+    St.unscaled(PipelineModel([scale.fit(train), *fitted.stages])).save(path)
+    return L.batch_score(test.drop("target"), path).select("item", rounded("prediction", 4).alias("prediction"))

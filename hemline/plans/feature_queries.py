@@ -155,3 +155,28 @@ def e9(t):
     norm = F.sqrt(V.dot("text_vector", "text_vector"))
     used = F.size(F.filter("text_vector", lambda x: x != 0))
     return embedded.select("doc_id", rounded(norm).alias("norm"), used.alias("used"))
+
+
+# Words of plain letters have the vector that their md5 points to, and weigh by the texts without them.
+@query(
+    "e9_word_vectors",
+    """WITH tokens AS (
+      SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents),
+    counts AS (SELECT doc_id, word, count(*) AS n FROM tokens WHERE word <> '' GROUP BY ALL),
+    vocabulary AS (SELECT word, ln((SELECT count(*) + 1.0 FROM documents) / count(*)) AS weight,
+        CAST(('0x' || substr(md5(word), 1, 8)) AS UBIGINT) % (SELECT count(*) FROM embeddings) AS vec_id
+      FROM counts WHERE regexp_full_match(word, '[a-z]+') GROUP BY word),
+    parts AS (SELECT doc_id, n * weight AS w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place
+      FROM counts JOIN vocabulary USING (word) JOIN embeddings USING (vec_id))
+    SELECT doc_id, CAST(place AS INTEGER) AS place, round(sum(w * x::DOUBLE) / sum(w), 6) + 0.0 AS value FROM parts GROUP BY doc_id, place""",
+)
+def e9_words(t):
+    texts, vectors = t.documents, t.embeddings
+    tokens = texts.select("doc_id", F.explode(F.array_distinct(F.expr(X._tokens("text", None)))).alias("word"))
+    used = tokens.where(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count("*").alias("texts"))
+    n_texts, n_vectors = texts.count(), vectors.count()
+    at = F.conv(F.left(F.md5("word"), F.lit(8)), 16, 10).cast("long") % n_vectors
+    weight = F.log(F.lit(n_texts + 1.0) / F.col("texts"))
+    words = used.select("word", weight.alias("weight"), at.alias("vec_id")).join(vectors, "vec_id").select("word", "weight", F.col("embedding").alias("vector"))
+    pooled = X.pool_word_vectors(texts, "doc_id", "text", words)
+    return pooled.select("doc_id", F.posexplode("text_vector").alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("place"), rounded("x").alias("value"))

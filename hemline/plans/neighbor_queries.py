@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hemline.operators import hashing as H
 from hemline.operators import neighbors as N
 from hemline.operators.models import split
 from hemline.operators.scaling import fit_linear_scaler
@@ -101,6 +104,40 @@ def g4_share(t):
     return N.compared_share(rows, train, 3)
 
 
+def clusters(rows: DataFrame, copies: int, centres: int = 50, spread: float = 0.3) -> DataFrame:
+    """``copies`` rows of every vector, turned by as many places, each near one of the first ``centres`` vectors."""
+    centre = rows.where(F.col("id") < centres).select(F.col("id").alias("c"), F.col("vec").alias("around"))
+    turned = rows.withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    own = F.concat(F.slice("vec", F.col("by") + 1, F.size("vec")), F.slice("vec", F.lit(1), F.col("by")))
+    placed = turned.select((F.col("id") * copies + F.col("by")).alias("id"), (F.col("id") % centres).alias("c"), own.alias("own"))
+    return placed.join(centre, "c").select("id", F.zip_with("around", "own", lambda a, b: a + b * F.lit(spread)).alias("vec"))
+
+
+def lsh_quality(t: Tables, tables: int = 6, probes: int = 16) -> DataFrame:
+    """Recall of the hash index and the share of pairs it compares, on clusters at three sizes."""
+    frames = []
+    for copies in (1, 4, 16):
+        rows = materialize(clusters(vectors(t), copies))
+        asked, train = split(rows, "id", 0.9)[1], rows
+        index = H.build_lsh(train, 3, tables)
+        exact = N.nearest(asked, train, 3)
+        found = index.nearest(asked, 3, probes)
+        share = index.compared(asked, probes).select((F.col("compared") / F.col("pairs")).alias("share"))
+        frames.append(H.recall(found, exact).crossJoin(share).select(F.lit(copies).alias("copies"), "recall", "share"))
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query("g4_lsh_quality")
+def g4_lsh(t):
+    return lsh_quality(t)
+
+
+@query("g4_lsh_holds", "SELECT CAST(unnest([1, 4, 16]) AS INTEGER) AS copies, true AS recalled, true AS pruned")
+def g4_lsh_holds(t):
+    found = materialize(lsh_quality(t))
+    return found.select("copies", (F.col("recall") >= 0.9).alias("recalled"), (F.col("share") < 0.3).alias("pruned"))
+
+
 @query(
     "g5_neighbor_targets",
     f"""WITH {VECTORS_SQL}, {near_sql(3)} SELECT qid, string_agg(CAST(CAST(y AS INTEGER) AS VARCHAR), ',' ORDER BY pos) AS targets

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from hemline.operators import profile as P
 from hemline.plans.registry import query, rounded
-from hemline.plans.sales_queries import SEASON_SQL, seasonal_lines
+from hemline.plans.sales_queries import SEASON_SQL, SEASONS, seasonal_lines
+from hemline.session import materialize
 
 
 @query("c1_item_totals", "SELECT l_partkey, sum(l_quantity) AS total FROM lineitem GROUP BY l_partkey")
@@ -57,6 +58,25 @@ def c4_all(t):
     return P.distinct_count(holes, "item")
 
 
+@query(
+    "c4_merged_sketches",
+    f"""WITH s AS ({SEASON_SQL}), h AS (SELECT season, {_HOLED} AS item FROM s)
+    SELECT coalesce(season, 'all') AS season, count(DISTINCT item) + max(CASE WHEN item IS NULL THEN 1 ELSE 0 END) AS "values", true AS within
+    FROM h GROUP BY GROUPING SETS ((season), ())""",
+)
+def c4_sketches(t):
+    """Stored sketches per season; the last season is added from its own rows, the total from the sketches."""
+    holes = seasonal_lines(t).withColumn("item", F.when(F.col("l_suppkey") % 10 != 0, F.col("l_partkey")))
+    last = SEASONS[-1][0]
+    stored = materialize(P.distinct_sketches(holes.where(F.col("season") != last), "item", "season"))
+    stored = stored.unionByName(materialize(P.distinct_sketches(holes.where(F.col("season") == last), "item", "season")))
+    total = P.merge_sketches(stored).withColumn("season", F.lit("all"))
+    found = P.sketched_count(stored.unionByName(total), "estimate")
+    exact = P.distinct_count(holes, "item", by="season").unionByName(P.distinct_count(holes, "item").select(F.lit("all").alias("season"), "values"))
+    within = F.abs(F.col("estimate") - F.col("values")) <= F.col("error")
+    return exact.join(found, "season").select("season", "values", within.alias("within"))
+
+
 def _order_holes(t):
     return t.orders.select(
         F.year("o_orderdate").cast("string").alias("season"),

@@ -98,6 +98,44 @@ def b4(t):
     return kept.groupBy("season", "p_brand").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
 
 
+@query(
+    "b3_season_join",
+    """WITH months AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS start FROM orders),
+    seasons AS (
+      SELECT strftime(start, '%Y-%m') AS season, start, CAST(start + INTERVAL 45 DAY AS DATE) AS "end" FROM months
+      UNION ALL SELECT DISTINCT strftime(start, '%Y'), CAST(date_trunc('year', start) AS DATE), CAST(date_trunc('year', start) + INTERVAL 1 YEAR AS DATE) FROM months)
+    SELECT season, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN seasons ON l_shipdate >= start AND l_shipdate < "end" GROUP BY season""",
+)
+def b3_join(t):
+    months = t.orders.select(F.trunc("o_orderdate", "month").alias("start")).distinct()
+    promotions = months.select(F.date_format("start", "yyyy-MM").alias("season"), "start", F.date_add("start", 45).alias("end"))
+    year = F.trunc("start", "year")
+    years = months.select(F.date_format("start", "yyyy").alias("season"), year.alias("start"), F.add_months(year, 12).alias("end")).distinct()
+    placed = S.season_join(t.lineitem, "l_shipdate", promotions.unionByName(years))
+    return placed.groupBy("season").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+# Suppliers turn old one year after the other; an old one's two numbers, written together, rule codes out.
+_RULES_SQL = """rules AS (SELECT CAST(y AS VARCHAR) AS season, CAST(s_suppkey AS VARCHAR) || CAST(s_nationkey AS VARCHAR) AS pattern
+  FROM supplier, range(1992, 2003) r(y) WHERE 1992 + s_nationkey % 9 <= y)"""
+
+
+@query(
+    "b4_rule_table",
+    f"""WITH {_RULES_SQL}, codes AS (
+      SELECT CAST(year(o_orderdate) AS VARCHAR) AS season, c_name AS code, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+    SELECT season, count(*) AS codes, CAST(sum(n) AS BIGINT) AS orders FROM codes c
+    WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.season = c.season AND contains(c.code, r.pattern)) GROUP BY season""",
+)
+def b4_table(t):
+    years = F.explode(F.sequence(F.lit(1992) + F.col("s_nationkey") % 9, F.lit(2002)))
+    rules = t.supplier.select(years.alias("season"), F.concat(F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")).alias("pattern"))
+    rules = rules.withColumn("season", F.col("season").cast("string"))
+    sold = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.year("o_orderdate").cast("string").alias("season"), F.col("c_name").alias("code"))
+    kept = S.exclude_by_rules(sold, "code", rules)
+    return kept.groupBy("season").agg(F.count_distinct("code").alias("codes"), F.count("*").alias("orders"))
+
+
 @query(
     "b5_union_seasons",
     """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem

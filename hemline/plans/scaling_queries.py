@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hemline.operators import scaling as Z
 from hemline.plans.registry import query, rounded
-from hemline.plans.sales_queries import TARGET_SQL
+from hemline.plans.sales_queries import SEASON_SQL, TARGET_SQL, seasonal_lines
 from hemline.plans.sales_queries import targets as lazy_targets
 from hemline.session import materialize
 
@@ -183,3 +183,29 @@ def f9_zscore(t):
     items = fit_input(t)
     scaler = Z.fit_linear_scaler(items, "target", "standard")
     return scaler.scale(items, "target").select("item", rounded("scaled").alias("scaled"))
+
+
+_RANKED = (0.16, 0.5, 0.84)
+
+
+@query(
+    "f4_merged_sketches",
+    f"""WITH s AS ({SEASON_SQL}), q AS (SELECT unnest([0.16, 0.5, 0.84]::DOUBLE[]) AS p)
+    SELECT coalesce(season, 'all') AS season, p, n, true AS within FROM (
+      SELECT season, count(*) AS n FROM s GROUP BY GROUPING SETS ((season), ())) CROSS JOIN q""",
+)
+def f4_sketches(t):
+    """Stored sketches per season and their merge, held against the ranks of all values."""
+    lines = materialize(seasonal_lines(t).select("season", F.col("l_extendedprice").alias("y")))
+    stored = materialize(Z.quantile_sketches(lines, "y", "season"))
+    total = Z.merge_quantile_sketches(stored).select(F.lit("all").alias("season"), "sketch")
+    found = Z.sketched_quantiles(stored.unionByName(total), _RANKED).select("season", F.posexplode("quantiles").alias("i", "value"))
+    found = found.select("season", F.element_at(F.array(*[F.lit(p) for p in _RANKED]), F.col("i") + 1).alias("p"), "value")
+    rows = lines.unionByName(lines.withColumn("season", F.lit("all")))
+    ranked = rows.join(F.broadcast(found), "season").groupBy("season", "p").agg(
+        F.count("*").alias("n"), F.count_if(F.col("y") < F.col("value")).alias("below"), F.count_if(F.col("y") <= F.col("value")).alias("upto")
+    )
+    # the stated error holds for one rank with 99 % certainty, twice of it for all of these
+    slack = F.col("n") * F.lit(2 * Z.sketch_rank_error())
+    within = (F.col("below") <= F.col("p") * F.col("n") + slack) & (F.col("upto") >= F.col("p") * F.col("n") - slack)
+    return ranked.select("season", "p", "n", within.alias("within"))

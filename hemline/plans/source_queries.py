@@ -14,6 +14,7 @@ from hemline.plans.sales_queries import targets
 from hemline.plans.scaling_queries import ANCHOR_SQL
 from hemline.session import materialize, scratch_path
 from hemline.sources import files as Fi
+from hemline.sources import sheets as Sh
 from hemline.sources import tables as Ta
 
 PREAMBLE = ["sales export", "", "vendor;all", "period;all", "unit;pieces"]
@@ -43,6 +44,31 @@ def a1(t):
     return Ta.read_table(t.spark, path, "csv", lines.schema, skip_rows=len(PREAMBLE))
 
 
+def _broken(name: str) -> str:
+    return f"{name} || ' \"' || p_type || '\",' || chr(10) || chr(10) || p_size"
+
+
+@query("a1_sheet_format", f"SELECT p_partkey, {_broken('p_name')} AS note, p_retailprice, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS brand FROM part")
+def a1_sheet(t):
+    # cells with line breaks, quotes and delimiters, in small blocks that cut through records and preamble
+    note = F.concat(F.col("p_name"), F.lit(' "'), F.col("p_type"), F.lit('",\n\n'), F.col("p_size"))
+    rows = t.part.select("p_partkey", note.alias("note"), "p_retailprice", F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("brand"))
+    quoted = rows.withColumn("note", F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"')))
+    lines = quoted.select(F.concat_ws(",", "p_partkey", "note", "p_retailprice", F.coalesce("brand", F.lit(""))).alias("value"))
+    head = "\n".join([*PREAMBLE * 40, ",".join(rows.columns)])
+
+    def lead(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
+
+    path = scratch_path(t.spark)
+    lines.repartition(3).mapInArrow(lead, "value string").write.text(path)
+    Sh.register(t.spark)
+    reader = t.spark.read.format("sheet").option("skip_rows", len(PREAMBLE) * 40).option("block_bytes", 512)
+    return reader.schema(rows.schema).load(path)
+
+
 @query("a1_read_parquet", _LINES)
 def a1_parquet(t):
     path = scratch_path(t.spark)
