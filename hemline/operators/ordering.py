@@ -11,8 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,12 +190,24 @@ def head(df: DataFrame, order: OrderKey | Sequence[OrderKey], n: int = 5) -> Dat
     return slice_rows(df, order, n)
 
 
+def _reversed(key: OrderKey) -> Column:
+    """The key in the opposite direction, its nulls at the opposite end."""
+    if isinstance(key, str):
+        return F.col(key).desc_nulls_last()
+    node = key._jc.node()
+    if node.getClass().getSimpleName() != "SortOrder":
+        return key.desc_nulls_last()
+    child = Column(SparkContext._active_spark_context._jvm.org.apache.spark.sql.Column(node.child()))
+    descending = "Descending" in node.sortDirection().getClass().getName()
+    first = "NullsFirst" in node.nullOrdering().getClass().getName()
+    names = {(True, True): "asc_nulls_last", (True, False): "asc_nulls_first", (False, True): "desc_nulls_last", (False, False): "desc_nulls_first"}
+    return getattr(child, names[descending, first])()
+
+
 def tail(df: DataFrame, order: OrderKey | Sequence[OrderKey], n: int = 5) -> DataFrame:
-    """Last ``n`` rows in ``order``, returned in ascending order."""
-    keys = _columns(order)
-    # the order turned around as a whole, as a key may be descending already
-    last = ordered_table(df, order)
-    return last.orderBy(F.desc(ROW_ID)).limit(n).orderBy(ROW_ID).select(*df.columns)
+    """Last ``n`` rows in ``order``, returned in ascending order: the first ones of the order turned around."""
+    keys = [order] if isinstance(order, (str, Column)) else list(order)
+    return df.orderBy(*[_reversed(k) for k in keys]).limit(n).orderBy(*_columns(order))
 
 
 def slice_rows(
@@ -204,23 +218,48 @@ def slice_rows(
     return ordered.offset(offset).limit(n) if offset else ordered.limit(n)
 
 
+def _pieces(keys: Sequence[str]):
+    """Runs of rows with equal keys as one row each, its non-null values in a list; a run may go on in the next batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for key in keys:
+                codes = pc.fill_null(batch.column(key).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts, values = np.flatnonzero(new), batch.column("__value")
+            held = pc.is_valid(values).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(held)])
+            offsets = pa.array(np.append(ends[starts], ends[-1]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, values.filter(pa.array(held)))
+            firsts = batch.take(pa.array(starts))
+            yield pa.RecordBatch.from_arrays([*[firsts.column(k) for k in keys], lists], names=[*keys, "__piece"])
+
+    return run
+
+
 def ordered_groups(
     df: DataFrame, key: str | Sequence[str], order: OrderKey | Sequence[OrderKey], value: str | Column
 ) -> DataFrame:
     """One array per key with the non-null values in ``order``.
 
-    Each key's rows are first gathered and sorted per range partition, so a
-    key holding much of the table is sorted in pieces; the last step only puts
-    finished pieces behind each other.  Columns: the keys and ``pieces``, an
-    array of arrays.
+    The rows are range-partitioned by key and order and sorted, so a key holding
+    much of the table is sorted in pieces; each run of a key becomes a piece where it lies, and the
+    only further shuffle puts finished pieces behind each other.  Columns: the keys and
+    ``pieces``, an array of arrays.
     """
     keys = [key] if isinstance(key, str) else list(key)
     value = F.col(value) if isinstance(value, str) else value
-    orders = _columns(order)
-    named = [o.alias(f"o{i}") for i, o in enumerate(orders)]
+    named = [o.alias(f"o{i}") for i, o in enumerate(_columns(order))]
     rows = df.select(*keys, F.struct(*named).alias("__order"), value.alias("__value"))
-    placed = rows.repartitionByRange(*keys, "__order").withColumn("__part", F.spark_partition_id())
-    pairs = F.sort_array(F.collect_list(F.when(F.col("__value").isNotNull(), F.struct("__order", "__value"))))
-    pieces = placed.groupBy(*keys, "__part").agg(F.transform(pairs, lambda p: p["__value"]).alias("__piece"))
+    place = [*keys, "__order", "__value"]
+    placed = rows.repartitionByRange(*place).sortWithinPartitions(*place).select(*keys, "__value")
+    fields = {f.name: f for f in placed.schema}
+    shape = T.StructType([*[fields[k] for k in keys], T.StructField("__piece", T.ArrayType(fields["__value"].dataType))])
+    pieces = placed.mapInArrow(_pieces(keys), shape).withColumn("__part", F.monotonically_increasing_id())
     ordered = F.sort_array(F.collect_list(F.struct("__part", "__piece")))
     return pieces.groupBy(*keys).agg(F.transform(ordered, lambda p: p["__piece"]).alias("pieces"))

@@ -68,3 +68,24 @@ def test_ordered_groups_keeps_order_of_a_hot_key(spark):
     got = {r.k: [x for p in r.pieces for x in p] for r in O.ordered_groups(df, "k", "o", "v").collect()}
     for key in {r[0] for r in rows}:
         assert got[key] == [v for k, _, v in rows if k == key and v is not None]
+
+
+def test_tail_of_mixed_directions(spark):
+    df = spark.createDataFrame([(i if i % 4 else None, i % 3) for i in range(12)], "i int, j int")
+    mixed = [F.desc("j"), F.asc_nulls_last("i")], [F.col("j") + 0, F.desc_nulls_first("i")], [F.asc_nulls_first("j"), F.desc_nulls_last("i")]
+    for order in (["j", "i"], *mixed):
+        want = df.orderBy(*order).collect()[-5:]
+        last = O.tail(df, order, 5)
+        assert last.collect() == want and "Exchange rangepartitioning" not in last._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ordered_groups_with_null_keys_in_one_shuffle_more(spark):
+    rows = [(draw, i % 7, f"v{i}" if i % 3 else None) for i in range(50) for draw in (None, "a", "b")]
+    df = spark.createDataFrame(rows, "k string, o int, v string").repartition(5)
+    found = O.ordered_groups(df, "k", "o", "v")
+    got = {r.k: [x for p in r.pieces for x in p] for r in found.collect()}
+    want = {k: [v for _, v in sorted((o, v) for kk, o, v in rows if kk == k and v)] for k in (None, "a", "b")}
+    assert got == want
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    only = O.ordered_groups(df.where("v IS NULL"), "k", "o", "v").collect()
+    assert len(only) == 3 and not any(x for r in only for p in r.pieces for x in p)
