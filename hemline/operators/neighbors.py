@@ -26,8 +26,9 @@ METRICS = ("euclidean", "cosine", "cosine_similarity_asc")
 # Most rows per block.  Every query is shipped once per block of training rows,
 # so blocks are as large as a task can hold comfortably.
 BLOCK_ROWS = 16_384
-# Smaller blocks leave more to prune.
+# Smaller blocks leave more to prune; most pivots, whose distances from each other every task gets.
 PRUNED_BLOCK_ROWS = 2_048
+MOST_PIVOTS = 1_024
 # Fewest query rows worth a task of their own.
 _LEAST_QUERIES = 128
 # Bounds of the working arrays: queries per product, numbers per exact pass.
@@ -245,19 +246,23 @@ def nearest_pruned(
     k: int = 3,
     id_col: str = "id",
     vec_col: str = "vec",
-    pivots: int = 64,
+    pivots: int | None = None,
     block_rows: int = PRUNED_BLOCK_ROWS,
 ) -> DataFrame:
     """Same result as ``nearest`` (Euclidean), comparing fewer blocks.
 
-    Training rows belong to the cell of their closest pivot.  A first search in
-    one block of the query's own cell bounds its k-th distance; the triangle
-    inequality then rules out every cell that lies farther away.  Cells above
-    ``block_rows`` are split, so a crowd of copies is several blocks.
+    Rows of both sides belong to the cell of their closest pivot; there are twice as many
+    pivots as the root of the training rows, up to ``MOST_PIVOTS``.  Cells above
+    ``block_rows`` are split, so a crowd of similar rows is several blocks.  A first search in one block
+    near by bounds the k-th distance of every query in a block of queries; the triangle inequality
+    then rules out every cell that lies farther from all of them.
     """
-    q, visits, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
+    q, pairs, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
     bad = _sides(queries, train, id_col, vec_col, None)[2]
-    return _unanswered(_visit_blocks(q, visits, blocks, k, block_rows), bad)
+    cell = F.struct("home", "chunk", "block").alias("cell")
+    q_cells = q.join(pairs, ["home", "chunk"]).select(cell, "id", "grp", "vec")
+    t_cells = blocks.join(pairs, "block").select(cell, "id", "grp", "vec")
+    return _unanswered(_search(q_cells, t_cells, k, "euclidean"), bad)
 
 
 def _visit_blocks(q: DataFrame, visits: DataFrame, blocks: DataFrame, k: int, block_rows: int) -> DataFrame:
@@ -284,24 +289,35 @@ def compared_share(
     k: int = 3,
     id_col: str = "id",
     vec_col: str = "vec",
-    pivots: int = 64,
+    pivots: int | None = None,
     block_rows: int = PRUNED_BLOCK_ROWS,
 ) -> DataFrame:
-    """Share of all query-train pairs that ``nearest_pruned`` still compares."""
-    _, visits, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
-    asked = visits.groupBy("block").agg(F.count("*").alias("q"))
+    """Share of all query-train pairs that ``nearest_pruned`` still compares after its first search in one block near by."""
+    _, pairs, blocks = _pruned_plan(queries, train, k, id_col, vec_col, pivots, block_rows)
     held = blocks.groupBy("block").agg(F.count("*").alias("t"))
     total = float(queries.count() * train.count())
-    return asked.join(held, "block").agg((F.sum(F.col("q") * F.col("t")) / F.lit(total)).alias("share"))
+    return pairs.join(held, "block").agg((F.sum(F.col("q") * F.col("t")) / F.lit(total)).alias("share"))
+
+
+def _far_apart(rows: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the rows, each the farthest from those chosen before it."""
+    chosen, far = [0], np.full(len(rows), np.inf)
+    while len(chosen) < n:
+        far = np.minimum(far, np.square(rows - rows[chosen[-1]]).sum(axis=1))
+        if not far.max() > 0:
+            break
+        chosen.append(int(far.argmax()))
+    return rows[chosen]
 
 
 def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
-    """The queries, the blocks each must visit, and the training rows with their block."""
+    """Queries with their block (home, chunk), the pairs of blocks to be compared, and the training blocks."""
     q, t, _ = _sides(queries, train, id_col, vec_col, None)
-    chosen = t.orderBy(F.xxhash64("id", F.lit(4))).limit(n_pivots).select("vec").collect()
-    if not chosen:
+    n_pivots = n_pivots or min(MOST_PIVOTS, max(16, 2 * math.isqrt(t.count())))
+    sample = t.orderBy(F.xxhash64("id", F.lit(4)), "id").limit(4 * n_pivots).select("vec").collect()
+    if not sample:
         raise ValueError("the training side is empty")
-    pivot = np.array([r["vec"] for r in chosen], dtype=np.float64)
+    pivot = _far_apart(np.array([r["vec"] for r in sample], dtype=np.float64), n_pivots)
 
     @F.pandas_udf("home int, reach double")
     def assign(vectors: pd.Series) -> pd.DataFrame:
@@ -309,52 +325,50 @@ def _pruned_plan(queries, train, k, id_col, vec_col, n_pivots, block_rows):
         home = d.argmin(axis=1)
         return pd.DataFrame({"home": home.astype(np.int32), "reach": d[np.arange(len(d)), home]})
 
-    t = _fold_copies(t, k).withColumn("at", assign("vec")).select("id", "grp", "vec", "at.home", "at.reach")
-    # Written once: the statistics and both searches read it.
-    t = materialize(t)
-    stats = t.groupBy("home").agg(F.count("*").alias("rows"), F.max("reach").alias("radius")).collect()
-    parts = np.zeros(len(pivot), dtype=np.int64)
-    radius = np.full(len(pivot), -np.inf)
-    for r in stats:
-        parts[r["home"]] = math.ceil(r["rows"] / block_rows)
-        radius[r["home"]] = r["radius"]
-    # Block number: first block of the cell plus a part given by the id.
+    # written once: the statistics and both searches read them
+    placed = ("id", "grp", "vec", "at.home", "at.reach")
+    t = materialize(_fold_copies(t, k).withColumn("at", assign("vec")).select(*placed))
+    q = materialize(q.withColumn("at", assign("vec")).select(*placed))
+    held, radius, asked = np.zeros(len(pivot), np.int64), np.full(len(pivot), -np.inf), np.zeros(len(pivot), np.int64)
+    for r in t.groupBy("home").agg(F.count("*").alias("rows"), F.max("reach").alias("radius")).collect():
+        held[r["home"]], radius[r["home"]] = r["rows"], r["radius"]
+    for r in q.groupBy("home").agg(F.count("*").alias("rows")).collect():
+        asked[r["home"]] = r["rows"]
+    parts, chunks = -(-held // block_rows), np.maximum(1, -(-asked // block_rows))
+    # block number: first block of the cell plus a part given by the id
     first = np.concatenate([[0], np.cumsum(parts)[:-1]])
-    firsts = F.array(*[F.lit(int(x)) for x in first])
-    sizes = F.array(*[F.lit(max(1, int(x))) for x in parts])
-    part = F.pmod(F.xxhash64("id", F.lit(5)), sizes[F.col("home")])
-    block = (firsts[F.col("home")] + part).cast("long")
-    blocks = t.select(block.alias("block"), "id", "grp", "vec")
-
-    homes = q.withColumn("home", assign("vec")["home"]).select("id", block.alias("block"))
-    near = _visit_blocks(q, homes, blocks, k, block_rows)
-    bound = near.filter(F.size("neighbors") == k).select(
-        F.col("qid").alias("id"), F.element_at("neighbors", -1)["d"].alias("bound")
-    )
     between = _pivot_distances(pd.Series(list(pivot)), pivot)
+    # the nearest cell with enough rows to bound a k-th distance, or with any
+    candidates = (held > k) if (held > k).any() else (held > 0)
+    near = np.where(candidates[None, :], between, np.inf).argmin(axis=1)
+
+    def of(values: np.ndarray, home: Column) -> Column:
+        return F.get(F.array(*[F.lit(int(x)) for x in values]), home)
+
+    def block(home: Column) -> Column:
+        part = F.pmod(F.xxhash64("id", F.lit(5)), F.greatest(of(parts, home), F.lit(1)))
+        return (of(first, home) + part).cast("long").alias("block")
+
+    blocks = t.select(block(F.col("home")), "id", "grp", "vec")
+    q = q.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), of(chunks, F.col("home"))).cast("int"))
+    visits = q.select("id", block(of(near, F.col("home"))))
+    found = _visit_blocks(q.select("id", "grp", "vec"), visits, blocks, k, block_rows)
+    bound = found.select(F.col("qid").alias("id"), F.when(F.size("neighbors") == k, F.try_element_at("neighbors", F.lit(k))["d"]).alias("bound"))
+    # no row of a cell is nearer to a query than the pivots' distance less the query's and the row's from theirs
+    most = F.max(F.col("reach") + F.coalesce("bound", F.lit(float("inf")))).alias("most")
+    asking = q.join(bound, "id", "left").groupBy("home", "chunk").agg(F.count("*").alias("q"), most)
 
     @F.pandas_udf("array<long>")
-    def visits(vectors: pd.Series, bounds: pd.Series) -> pd.Series:
-        d = _pivot_distances(vectors, pivot)
-        home = d.argmin(axis=1)
-        own = d[np.arange(len(d)), home]
-        gap = 2.0 * between[home]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(gap > 0, (np.square(d) - np.square(own)[:, None]) / gap, 0.0)
-        least = np.maximum(d - radius[None, :], plane)
-        limit = bounds.fillna(np.inf).to_numpy()
-        keep = (least <= (limit * (1 + 1e-9) + 1e-7)[:, None]) & (parts > 0)[None, :]
-        return pd.Series(
-            [
-                np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in np.nonzero(row)[0]])
-                for row in keep
-            ],
-            index=vectors.index,
-        )
-
-    asked = q.join(bound, "id", "left").select("id", F.explode(visits("vec", "bound")).alias("block"))
-    # Written once: the first search must not run again for each use.
-    return q, materialize(asked), blocks
+    def reached(home: pd.Series, most: pd.Series) -> pd.Series:
+        out = []
+        for h, m in zip(home, most):
+            cells = np.flatnonzero((parts > 0) & (between[h] - radius <= m * (1 + 1e-9) + 1e-7))
+            out.append(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells] or [np.zeros(0, np.int64)]))
+        return pd.Series(out, index=home.index, dtype=object)
+
+    pairs = asking.select("home", "chunk", "q", F.explode(reached("home", "most")).alias("block"))
+    # written once: the first search must not run again for each use
+    return q, materialize(pairs), blocks
 
 
 def neighbor_targets(
