@@ -22,6 +22,7 @@ HEADLINE = [
     "e6_sum_vectors", "e7_activate_gelu", "e8_linear_project", "e9_embed_text",
     "f1_fit_boxcox", "f4_quantiles_of_lines", "f6_unscale", "f8_fit_standard",
     "g2_nearest", "g3_nearest_cosine", "g4_nearest_pruned", "g6_neighbor_residual", "g8_knn_regress", "g9_knn_grid",
+    "b3_season_join", "b4_rule_table", "b15_tail", "e9_word_vectors", "h16_scaled_pipeline", "flow_neighbors",
     "h2_fit_linear", "h5_leaderboard", "h7_adjusted_smape", "h11_batched_mean", "h13_metric_by_category",
 ]
 

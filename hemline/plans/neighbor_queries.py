@@ -129,8 +129,8 @@ def lsh_quality(t: Tables, tables: int = 6, probes: int = 16) -> DataFrame:
 
 @query("g4_pruned_clusters", "SELECT CAST(4 AS INTEGER) AS copies, true AS pruned, CAST(0 AS BIGINT) AS differing")
 def g4_clusters(t):
-    """On clusters half as wide as those of the hash index, most blocks are ruled out and every answer is that of the plain search."""
-    rows = materialize(clusters(vectors(t), 4, spread=0.15))
+    """On clusters, most blocks are ruled out and every answer is that of the plain search."""
+    rows = materialize(clusters(vectors(t), 4))
     exact = _listed(N.nearest(rows, rows, 3))
     pruned = _listed(N.nearest_pruned(rows, rows, 3))
     differing = exact.exceptAll(pruned).agg(F.count("*").alias("differing"))
