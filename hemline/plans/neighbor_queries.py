@@ -123,7 +123,8 @@ def lsh_quality(t: Tables, tables: int = 6, probes: int = 16) -> DataFrame:
         exact = N.nearest(asked, train, 3)
         found = index.nearest(asked, 3, probes)
         share = index.compared(asked, probes).select((F.col("compared") / F.col("pairs")).alias("share"))
-        frames.append(H.recall(found, exact).crossJoin(share).select(F.lit(copies).alias("copies"), "recall", "share"))
+        both = H.recall(found, exact).unionByName(share, allowMissingColumns=True)
+        frames.append(both.agg(F.lit(copies).alias("copies"), F.max("recall").alias("recall"), F.max("share").alias("share")))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -135,7 +136,8 @@ def g4_clusters(t):
     pruned = _listed(N.nearest_pruned(rows, rows, 3))
     differing = exact.exceptAll(pruned).agg(F.count("*").alias("differing"))
     share = N.compared_share(rows, rows, 3).select((F.col("share") < 0.5).alias("pruned"))
-    return differing.crossJoin(share).select(F.lit(4).alias("copies"), "pruned", "differing")
+    both = differing.unionByName(share, allowMissingColumns=True)
+    return both.agg(F.lit(4).alias("copies"), F.bool_or("pruned").alias("pruned"), F.max("differing").alias("differing"))
 
 
 @query("g4_lsh_quality")
