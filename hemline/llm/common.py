@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,24 @@ def regroup(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterato
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], texts
 
 
+def dealt(limit: int, text: str = "text"):
+    """For ``mapInArrow``: rows of a task in chunks of about ``limit`` bytes of text, their number in a first column ``chunk``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            numbers = []
+            for value in batch.column(text):
+                more = value.as_buffer().size
+                if size and size + more > limit:
+                    chunk, size = chunk + 1, 0
+                size += more
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], ["chunk", *batch.schema.names])
+
+    return run
+
+
 def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
     """``df`` written to the shared folder in hash buckets of ``key``; grouping it by ``key`` then moves no rows.
 
@@ -91,3 +110,10 @@ def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table
+
+
+def compressed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder in less space, and read back."""
+    path = scratch_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,8 +11,9 @@ weighed in groups of about ``RUNS`` runs, each with whole subtrees; the three le
 above them are small and weighed on the driver from the subtrees' sums.  Every group
 also takes the different runs to be scored that end in its bytes and keeps what its deepest counted context gives each of
 their decisions, so that every context of the training texts is used and no
-machine holds the whole tree.  The scores of the runs are joined back to chunks of
-documents and summed there.
+machine holds the whole tree.  Documents are dealt to chunks by the tasks that read them and
+written in buckets of chunks, so that their texts are never shuffled.  The scores of the runs
+are joined back to the chunks and summed there.
 
 The words' base score needs each word's count in the training texts: the most
 frequent words, of a bounded number, are looked up in the task, all others joined.
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemline.llm.common import crc_mod, regroup
+from hemline.llm.common import bucketed, compressed, crc_mod, dealt, regroup
 from hemline.session import materialize
 
 #: Context bytes; words that are looked up in the task.
 DEPTH, FREQUENT = 5, 65536
 #: Ends a text and stands before its beginning; no byte of UTF-8.
 END = 0xFF
-#: Characters handled at once in a task, and of the documents that share a list of runs.
+#: Characters handled at once in a task, and bytes of the documents that share a list of runs.
 CHUNK, SHARED = 6_000_000, 16_000_000
 #: Context bytes above the groups' subtrees, and different runs of a group.
 TOP, RUNS = 3, 50_000
@@ -51,16 +52,54 @@ def _mask(depth: int) -> np.uint64:
 def runs(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For every byte and end of the texts: itself in the low byte, its context above it, newest first; and bytes of each text."""
     pad = bytes([END]) * DEPTH
-    flat = np.frombuffer(pad.join([b"", *raw, b""]), np.uint8)
+    out = np.frombuffer(pad.join([b"", *raw, b""]), np.uint8).astype(np.uint64)
     lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    out = np.zeros(int(lengths.sum()), np.uint64)
+    # pairs of bytes first, then three pairs
+    older = np.zeros_like(out)
+    np.left_shift(out[:-1], np.uint64(8), out=older[1:])
+    out |= older
+    far = np.zeros_like(out)
+    np.left_shift(out[:-2], np.uint64(16), out=older[2:])
+    np.left_shift(out[:-4], np.uint64(32), out=far[4:])
+    out[2:] |= older[2:]
+    out |= far
     # a text's end is the first byte of the padding that follows it
-    spaced = lengths - 1 + DEPTH
-    starts = np.cumsum(spaced) - spaced + DEPTH
-    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(out))
-    for j in range(DEPTH + 1):
-        out |= flat[at - j].astype(np.uint64) << np.uint64(8 * j)
-    return out, lengths
+    stops = np.cumsum(lengths - 1 + DEPTH) + 1
+    wanted = np.ones(len(out), bool)
+    wanted[:DEPTH] = False
+    wanted[(stops[:, None] + np.arange(DEPTH - 1)).ravel()] = False
+    return out[wanted], lengths
+
+
+def _distinct(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of their counts (one each if not given)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _sums(keys: np.ndarray, lengths: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the keys' values over every text; ``known`` is in order and has all keys.
+
+    A key leaves 16 bits for the number of its text: sorted together, equal
+    keys look up their value once.
+    """
+    ended = np.cumsum(lengths)
+    out = []
+    for begin in range(0, len(lengths), 65536):
+        here = lengths[begin : begin + 65536]
+        first = ended[begin] - here[0]
+        tagged = keys[first : first + here.sum()] << np.uint64(16) | np.repeat(np.arange(len(here), dtype=np.uint64), here)
+        tagged.sort()
+        run = tagged >> np.uint64(16)
+        new = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        each = np.repeat(values[np.searchsorted(known, run[new])], np.diff(np.append(new, len(run))))
+        out.append(np.bincount((tagged & np.uint64(0xFFFF)).astype(np.int64), each, len(here)))
+    return np.concatenate(out)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -164,7 +203,7 @@ def _lowered(texts: list[str]) -> list[bytes]:
 
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in regroup(batches, "text", CHUNK):
-        keys, n = np.unique(runs(_lowered(texts))[0], return_counts=True)
+        keys, n = _distinct(runs(_lowered(texts))[0])
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["run", "n"])
 
 
@@ -174,16 +213,15 @@ def _chunk_runs(group: pa.Table) -> pa.Table:
     for batch, texts in regroup(iter(group.to_batches()), "text", CHUNK):
         keys, lengths = runs(_lowered(texts))
         learned = np.repeat(batch.column("learned").to_numpy(zero_copy_only=False), lengths)
-        parts.append(np.unique(keys[learned], return_counts=True))
-        other = np.unique(keys[~learned])
+        parts.append(_distinct(keys[learned]))
+        other = _distinct(keys[~learned])[0]
         parts.append((other, np.zeros(len(other), np.int64)))
-    different, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(different)).astype(np.int64)
-    return pa.table({"chunk": pa.array(np.full(len(different), group.column("chunk")[0].as_py(), np.int32)), "run": different.view(np.int64), "n": n})
+    different, n = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    return pa.table({"chunk": pa.array(np.full(len(different), group.column("chunk")[0].as_py(), np.int64)), "run": different.view(np.int64), "n": n})
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in regroup(batches, "text", CHUNK):
+    for _, texts in regroup(batches, "text", SHARED):
         found: Counter[bytes] = Counter()
         for raw in _lowered(texts):
             found.update(raw.split())
@@ -279,8 +317,7 @@ def _score(frequent: dict[bytes, int], ends: int):
         for batch, texts in regroup(iter(docs.to_batches()), "text", CHUNK):
             raws = _lowered(texts)
             keys, lengths = runs(raws)
-            ended = np.cumsum(lengths)
-            scores = np.add.reduceat(log10[np.searchsorted(known_runs, keys)], ended - lengths)
+            scores = _sums(keys, lengths, known_runs, log10)
             tokens, known, part, words, counts = [], [], [], [], []
             for raw in raws:
                 found = Counter(raw.split())
@@ -318,7 +355,11 @@ def report(docs: DataFrame, fold: tuple[int, int] = (5, 1), frequent: int = FREQ
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(crc_mod("doc_id", fold[0]) == fold[1], F.lit(False)))
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    # several buckets a chunk, so that few share one; a chunk is one file
+    rows = rows.mapInArrow(dealt(SHARED), "chunk long, row long, doc_id long, held_out boolean, text string")
+    rows = bucketed(rows, 4 * max(1, -(-size // SHARED)), "chunk")
     learns = F.col("doc_id").isNotNull() & ~F.col("held_out")
     learned = rows.where(learns)
     words = materialize(learned.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
@@ -326,10 +367,8 @@ def report(docs: DataFrame, fold: tuple[int, int] = (5, 1), frequent: int = FREQ
     ends = learned.count()
     tokens, kinds = (total or 0) + ends, kinds + int(ends > 0)
     top = {bytes(r[0]): r[1] for r in words.orderBy(F.desc("c"), "word").limit(frequent).collect()}
-    chunks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARED))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
-    needed = rows.select("chunk", learns.alias("learned"), "text").groupBy("chunk").applyInArrow(_chunk_runs, "chunk int, run long, n long")
-    needed = materialize(needed)
+    needed = rows.select("chunk", learns.alias("learned"), "text").groupBy("chunk").applyInArrow(_chunk_runs, "chunk long, run long, n long")
+    needed = compressed(needed)
     model = _fit_tree(learned, needed)
     listed = needed.select("chunk", "run").join(model.scored(), "run")
     both = rows.select("chunk", "row", "doc_id", "held_out", "text").groupBy("chunk").cogroup(listed.groupBy("chunk"))
