@@ -1,16 +1,18 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts become words that begin with the blank mark; no piece crosses their
-borders.  The corpus's different words are exploded into substrings of at most
+Texts become words that begin with the blank mark, and words are cut between two
+characters that no piece holds beside each other; no piece crosses their borders.  The corpus's different words are exploded into substrings of at most
 the longest piece's length, which are joined to the piece table; the edges that
 match are grouped by word.  A higher-order aggregate folds each lattice to the
-word's pieces.  Texts then get their ids from the dictionary of their chunk.
+word's pieces.  Texts then get their ids from the dictionary of their chunk: the tasks that
+read the documents deal them to chunks and write them in buckets of chunks, so that texts
+are never shuffled.  Decoding looks up the bytes of every id in the piece table.
 
 Two folds share the lattice: ``viterbi`` takes the path of the highest total
 score, as unigram models do; ``merges`` joins the best neighbouring pair again
 and again, as models of byte-pair kind do, and is what gives their library ids.
-Words longer than ``LONGEST`` go to the library, whose cost does not grow
-with the square of their length.
+Words that are longer than ``LONGEST`` after the cuts go to the library, whose cost does not
+grow with the square of their length.
 """
 
 from __future__ import annotations
@@ -22,15 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from hemline.session import materialize
+from hemline.llm.common import bucketed, compressed, dealt
 
 #: The mark for a blank, and the longest word that is folded.
 MARK, LONGEST = "▁", 24
-#: Characters of text, about, that share a dictionary.
-CHUNK_CHARS = 16_000_000
+#: Bytes of text, about, that share a dictionary; different words, about, in a task of the lattice.
+CHUNK_CHARS, LATTICE_WORDS = 32_000_000, 5_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
+#: A control character, which no piece holds beside another.
+_APART = "\x01"
 _EDGE = "array<struct<begin:int,stop:int,rank:int,id:int,score:double>>"
 
 
@@ -61,10 +64,10 @@ def lattice(words: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFram
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest_piece), F.length("word") - F.col("begin")))).alias("size")
     cut = words.select("word", begins).select("word", "begin", lengths)
     cut = cut.withColumn("piece", F.substring("word", F.col("begin") + 1, F.col("size")))
-    # the piece table is bounded by the model's vocabulary; words without any piece stay
-    met = cut.join(F.broadcast(pieces), "piece")
+    # the piece table is bounded by the model's vocabulary; a word's characters stay, so that one without any piece does
+    met = cut.join(F.broadcast(pieces), "piece", "left").where((F.col("size") == 1) | F.col("id").isNotNull())
     edge = F.struct("begin", (F.col("begin") + F.col("size")).alias("stop"), "rank", "id", "score")
-    return met.groupBy("word").agg(F.collect_list(edge).cast(_EDGE).alias("edges"))
+    return met.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).cast(_EDGE).alias("edges"))
 
 
 def _place(begin: Column, stop: Column) -> Column:
@@ -132,17 +135,18 @@ def _library(path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        # a word has its own mark, or is cut from one that has: the library's mark goes before a character that no piece holds
+        before = len(model.encode(_APART))
         for batch in batches:
             words = batch.column("word").to_pylist()
-            # the library puts the first mark back
-            ids = [model.encode(w[1:].replace(MARK, " ")) if len(w) > 1 else [model.piece_to_id(MARK)] for w in words]
+            ids = [model.encode(_APART + w.replace(MARK, " "))[before:] for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     return run
 
 
 def encode_words(words: DataFrame, path: str, fold: str = "merges") -> DataFrame:
-    """``word`` and ``ids`` of different words."""
+    """``word`` and ``ids`` of different words, each with the marks that it has."""
     table, first, longest_piece = piece_table(words.sparkSession, path)
     short = words.where(F.length("word") <= LONGEST)
     edged = lattice(short, table, longest_piece).withColumn("lookup", _lookup(F.col("edges")))
@@ -155,43 +159,97 @@ def encode_words(words: DataFrame, path: str, fold: str = "merges") -> DataFrame
 _ENCODED = "doc_id long, ids array<int>, text string"
 
 
-def _apply(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
-    """Ids of a chunk's texts from its dictionary."""
-    known = dict(zip(dictionary.column("word").to_pylist(), dictionary.column("ids").to_pylist()))
-    rows = []
-    for text in docs.column("text").to_pylist():
-        marked = _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
-        rows.append(np.array([i for w in marked for i in known[w]], np.int32))
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(rows, pa.list_(pa.int32())), "text": docs.column("text")})
+def _marked(text: str | None) -> list[str]:
+    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def beside(path: str) -> frozenset[str]:
+    """Pairs of neighbouring characters in the pieces: as bounded as the vocabulary."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = (model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unused(i)))
+    return frozenset(p[j : j + 2] for p in plain for j in range(len(p) - 1))
+
+
+def _cut(word: str, pairs: frozenset[str]) -> list[str]:
+    """The parts of a word between which no piece can lie."""
+    borders = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs], len(word)]
+    return [word[a:b] for a, b in zip(borders, borders[1:])]
+
+
+def _words(pairs: frozenset[str]):
+    def run(group: pa.Table) -> pa.Table:
+        """The different parts of a chunk's words."""
+        found: set[str] = set()
+        for batch in group.to_batches():
+            for text in batch.column("text"):
+                found.update(_marked(text.as_py()))
+        parts = sorted({part for word in found for part in _cut(word, pairs)})
+        return pa.table({"chunk": pa.array(np.full(len(parts), group.column("chunk")[0].as_py(), np.int64)), "word": pa.array(parts, pa.string())})
+
+    return run
+
+
+def _apply(pairs: frozenset[str]):
+    def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
+        """Ids of a chunk's texts from its dictionary."""
+        known = dict(zip(dictionary.column("word").to_pylist(), (np.array(i, np.int32) for i in dictionary.column("ids").to_pylist())))
+        whole: dict[str, np.ndarray] = {}
+        rows = []
+        for text in docs.column("text"):
+            words = _marked(text.as_py())
+            for word in set(words) - whole.keys():
+                whole[word] = np.concatenate([known[part] for part in _cut(word, pairs)])
+            rows.append(np.concatenate([whole[w] for w in words]) if words else np.zeros(0, np.int32))
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(rows, pa.list_(pa.int32())), "text": docs.column("text")})
+
+    return run
 
 
 def encode(docs: DataFrame, path: str, fold: str = "merges", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, ids and text of every document.
+    """doc_id, ids and text of every document; its other columns are left out.
 
-    A null text is treated as empty and has no ids.  Rows are dealt out to
-    chunks by a hash of their text and number; a repeated row is encoded again.
+    A null text is treated as empty and has no ids.  A row with a null id and a
+    repeated row are encoded like any other; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(1, -(-chars // chunk_chars))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("text", "doc_id"), F.lit(chunks)).cast("int"))
-    needed = materialize(rows.select("chunk", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct())
-    encoded = materialize(encode_words(needed.select("word").distinct(), path, fold))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # several buckets a chunk, so that few share one; a chunk is one file
+    buckets = 4 * max(1, -(-size // chunk_chars))
+    rows = bucketed(rows.mapInArrow(dealt(chunk_chars), "chunk long, doc_id long, text string"), buckets, "chunk")
+    pairs = beside(path)
+    needed = compressed(rows.groupBy("chunk").applyInArrow(_words(pairs), "chunk long, word string"))
+    # a task's lattices stay small: a word has many edges
+    parts = max(1, -(-needed.agg(F.approx_count_distinct("word")).first()[0] // LATTICE_WORDS))
+    encoded = compressed(encode_words(needed.select("word").repartition(parts, "word").distinct(), path, fold))
     dictionary = needed.join(encoded, "word").select("chunk", "word", "ids")
-    return rows.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(_apply, _ENCODED)
+    return rows.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(_apply(pairs), _ENCODED)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with a column ``decoded``; no ids give an empty text."""
+def piece_bytes(path: str) -> list[str]:
+    """The bytes of every id in hexadecimal; control pieces have none."""
+    import sentencepiece
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def octets(i: int) -> str:
+        if model.is_control(i) or model.is_unused(i):
+            return ""
+        if model.is_byte(i):
+            return model.id_to_piece(i)[3:5]
+        return (" \u2047 " if model.is_unknown(i) else model.id_to_piece(i).replace(MARK, " ")).encode().hex()
+
+    return [octets(i) for i in range(model.vocab_size())]
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        for batch in batches:
-            texts = [model.decode(ids) if ids else "" for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` with a column ``decoded``, which replaces one of that name; null or no ids give an empty text.
+
+    The piece table, bounded by the vocabulary, is a constant that ids index;
+    the blank before the first word is taken off.
+    """
+    table = F.split(F.lit(",".join(piece_bytes(path))), ",")
+    raw = F.unhex(F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get(table, i)), "")).cast("string")
+    return encoded.withColumn("decoded", F.when(F.substring(raw, 1, 1) == " ", F.substring(raw, F.lit(2), F.length(raw))).otherwise(raw))

@@ -172,6 +172,21 @@ def test_pieces_agree_with_the_library(spark):
     assert all(r.ids == library.encode(r.text) and r.decoded == r.text.replace("▁", " ") for r in got)
 
 
+def test_pieces_of_awkward_texts(spark):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["漢字かな交じり文" * 9, "a" * 70, "x" + " " * 60 + "y", "ab\n\ncd\te", "\U0001f600é\u0301ß", "Ω≠中", " ", "  ", "x ", "q9" * 40 + " z", None, ""]
+    rows = [(None if i == 1 else i, t, "1") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, ids string")
+    got = pieces.decode(pieces.encode(docs, path, chunk_chars=200), path).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in [*rows, rows[0]])
+    assert {r.text for r in got} == {t or "" for t in texts}
+    assert all(r.ids == library.encode(r.text) and r.decoded == r.text for r in got)
+    assert pieces.decode(pieces.encode(docs.limit(0), path), path).count() == 0
+
+
 def test_best_path_by_brute_force(spark):
     table = spark.createDataFrame([("a", 0, 1, -1.0), ("b", 1, 2, -1.5), ("ab", 2, 3, -2.0), ("aba", 3, 4, -2.8), ("ba", 4, 5, -2.2)], "piece string, rank int, id int, score double")
     words = spark.createDataFrame([(w,) for w in ("abab", "ababa", "bbaab", "a")], "word string")
