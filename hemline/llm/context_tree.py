@@ -39,7 +39,7 @@ DEPTH, FREQUENT = 5, 65536
 #: Ends a text and stands before its beginning; no byte of UTF-8.
 END = 0xFF
 #: Characters handled at once in a task, and bytes of the documents that share a list of runs.
-CHUNK, SHARED = 6_000_000, 16_000_000
+CHUNK, SHARED = 2_000_000, 16_000_000
 #: Context bytes above the groups' subtrees, and different runs of a group.
 TOP, RUNS = 3, 50_000
 
