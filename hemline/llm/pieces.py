@@ -30,7 +30,7 @@ from hemline.llm.common import bucketed, compressed, dealt
 #: The mark for a blank, and the longest word that is folded.
 MARK, LONGEST = "▁", 24
 #: Bytes of text, about, that share a dictionary; different words, about, in a task of the lattice.
-CHUNK_CHARS, LATTICE_WORDS = 32_000_000, 5_000
+CHUNK_CHARS, LATTICE_WORDS = 16_000_000, 5_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: A control character, which no piece holds beside another.
 _APART = "\x01"
@@ -194,13 +194,16 @@ def _words(pairs: frozenset[str]):
 def _apply(pairs: frozenset[str]):
     def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
         """Ids of a chunk's texts from its dictionary."""
-        known = dict(zip(dictionary.column("word").to_pylist(), (np.array(i, np.int32) for i in dictionary.column("ids").to_pylist())))
+        known = {word: i for i, word in enumerate(dictionary.column("word").to_pylist())}
+        listed = dictionary.column("ids").combine_chunks()
+        listed = pa.concat_arrays(listed.chunks) if isinstance(listed, pa.ChunkedArray) else listed
+        flat, at = listed.values.to_numpy(), listed.offsets.to_numpy()
         whole: dict[str, np.ndarray] = {}
         rows = []
         for text in docs.column("text"):
             words = _marked(text.as_py())
             for word in set(words) - whole.keys():
-                whole[word] = np.concatenate([known[part] for part in _cut(word, pairs)])
+                whole[word] = np.concatenate([flat[at[i] : at[i + 1]] for i in (known[part] for part in _cut(word, pairs))])
             rows.append(np.concatenate([whole[w] for w in words]) if words else np.zeros(0, np.int32))
         return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(rows, pa.list_(pa.int32())), "text": docs.column("text")})
 
