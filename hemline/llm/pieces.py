@@ -202,7 +202,9 @@ def _apply(pairs: frozenset[str]):
         rows = []
         for text in docs.column("text"):
             words = _marked(text.as_py())
-            for word in set(words) - whole.keys():
+            for word in set(words):
+                if word in whole:
+                    continue
                 whole[word] = np.concatenate([flat[at[i] : at[i + 1]] for i in (known[part] for part in _cut(word, pairs))])
             rows.append(np.concatenate([whole[w] for w in words]) if words else np.zeros(0, np.int32))
         return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(rows, pa.list_(pa.int32())), "text": docs.column("text")})
