@@ -30,11 +30,13 @@ from hemline.llm.common import bucketed, compressed, dealt
 #: The mark for a blank, and the longest word that is folded.
 MARK, LONGEST = "▁", 24
 #: Bytes of text, about, that share a dictionary; different words, about, in a task of the lattice.
-CHUNK_CHARS, LATTICE_WORDS = 16_000_000, 5_000
+CHUNK_CHARS, LATTICE_WORDS = 32_000_000, 5_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: A control character, which no piece holds beside another.
 _APART = "\x01"
-_EDGE = "array<struct<begin:int,stop:int,rank:int,id:int,score:double>>"
+_EDGE = "array<struct<rank:int,begin:int,stop:int,id:int,score:double>>"
+#: Lone surrogates, which no text holds: the end of a word, and of a part within it.
+_END, _PART = "\ud800", "\ud801"
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -59,44 +61,54 @@ def words_of(text: Column) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
-    """``word`` with ``edges``: all pieces within it by place."""
+    """``word`` with ``edges``: all pieces within it, the best ranked first and equal ones by place."""
     begins = F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("begin")
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest_piece), F.length("word") - F.col("begin")))).alias("size")
     cut = words.select("word", begins).select("word", "begin", lengths)
     cut = cut.withColumn("piece", F.substring("word", F.col("begin") + 1, F.col("size")))
     # the piece table is bounded by the model's vocabulary; a word's characters stay, so that one without any piece does
     met = cut.join(F.broadcast(pieces), "piece", "left").where((F.col("size") == 1) | F.col("id").isNotNull())
-    edge = F.struct("begin", (F.col("begin") + F.col("size")).alias("stop"), "rank", "id", "score")
-    return met.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), edge)).cast(_EDGE).alias("edges"))
+    edge = F.struct("rank", "begin", (F.col("begin") + F.col("size")).alias("stop"), "id", "score")
+    return met.groupBy("word").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge)).cast(_EDGE)).alias("edges"))
 
 
-def _place(begin: Column, stop: Column) -> Column:
-    """One number for a pair of borders."""
-    return begin * 64 + stop
+def _bits(count: Column) -> Column:
+    """The lowest ``count`` bits."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), count) - 1
 
 
-def _lookup(edges: Column) -> Column:
-    """Map from a pair of borders to its piece: rank above, id in the low 24 bits."""
-    return F.map_from_entries(F.transform(edges, lambda e: F.struct(_place(e["begin"], e["stop"]), e["rank"].cast("long") * 2**24 + e["id"])))
+def _merged(word: Column, edges: Column) -> Column:
+    """Borders of the pieces when the best-ranked, leftmost neighbouring pair is joined until none is a piece.
 
+    The borders are the bits of a number.  A piece is a pair while both its ends are borders and one
+    border lies within; pieces that have lost an end, or hold no border any more, leave the list.
+    """
 
-def _merged(word: Column, lookup: Column) -> Column:
-    """Borders of the pieces when the best-ranked, leftmost neighbouring pair is joined until none is a piece."""
-    none = F.lit(2**60)
+    def inside(e: Column) -> Column:
+        return _bits(e["stop"]) - _bits(e["begin"] + 1)
+
+    def alive(mask: Column, e: Column) -> Column:
+        return (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inside"]) != 0)
+
+    def step(state: Column, _: Column) -> Column:
+        mask, left = state["mask"], state["left"]
+        pairs = F.filter(left, lambda e: F.bit_count(mask.bitwiseAND(e["inside"])) == 1)
+
+        def join(e: Column) -> Column:
+            joined = mask.bitwiseAND(F.bitwise_not(e["inside"]))
+            return F.when(e.isNull(), F.struct(mask.alias("mask"), F.slice(left, 1, 0).alias("left"))).otherwise(
+                F.struct(joined.alias("mask"), F.filter(left, lambda o: alive(joined, o)).alias("left"))
+            )
 
-    def step(b: Column, _: Column) -> Column:
-        pairs = F.transform(
-            F.slice(b, F.lit(1), F.greatest(F.size(b) - 2, F.lit(0))),
-            lambda begin, i: F.struct(F.coalesce(F.try_element_at(lookup, _place(begin, F.get(b, i + 2))), none).alias("piece"), i.alias("at")),
-        )
         # a list of one binds the best pair, which is otherwise searched for at each use
-        joined = F.transform(
-            F.array(F.array_min(pairs)),
-            lambda t: F.when(t.isNull() | (t["piece"] == none), b).otherwise(F.concat(F.slice(b, F.lit(1), t["at"] + 1), F.slice(b, t["at"] + 3, F.size(b)))),
-        )
-        return F.get(joined, F.lit(0))
+        return F.when(F.size(left) == 0, state).otherwise(F.get(F.transform(F.array(F.get(pairs, 0)), join), 0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), F.sequence(F.lit(0), F.length(word)), step)
+    ends = lambda e: _bits(e["begin"] + 1) - _bits(e["begin"]) + _bits(e["stop"] + 1) - _bits(e["stop"])
+    longer = F.filter(edges, lambda e: e["stop"] - e["begin"] > 1)
+    start = F.struct(_bits(F.length(word) + 1).alias("mask"), F.transform(longer, lambda e: F.struct(ends(e).alias("ends"), inside(e).alias("inside"))).alias("left"))
+    places = F.sequence(F.lit(0), F.length(word))
+    mask = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), start, step, lambda s: s["mask"])
+    return F.get(F.transform(F.array(mask), lambda m: F.filter(places, lambda i: F.getbit(m, i) == 1)), 0)
 
 
 def _best_path(word: Column, edges: Column, missing: float = -1e6) -> Column:
@@ -116,15 +128,15 @@ def _best_path(word: Column, edges: Column, missing: float = -1e6) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: F.element_at(s, -1)["path"])
 
 
-def _ids(word: Column, lookup: Column, borders: Column, first_byte: int) -> Column:
+def _ids(word: Column, edges: Column, borders: Column, first_byte: int) -> Column:
     """Ids between the borders; a character without a piece becomes its UTF-8 bytes."""
 
     def part(begin: Column, i: Column) -> Column:
         stop = F.get(borders, i + 1)
-        found = F.try_element_at(lookup, _place(begin, stop))
+        found = F.get(F.filter(edges, lambda e: (e["begin"] == begin) & (e["stop"] == stop)), 0)["id"]
         raw = F.hex(F.encode(F.substring(word, begin + 1, stop - begin), "UTF-8"))
         octets = F.transform(F.sequence(F.lit(1), (F.length(raw) / 2).cast("int")), lambda j: F.conv(F.substring(raw, j * 2 - 1, F.lit(2)), 16, 10).cast("int") + first_byte)
-        return F.when(found.isNotNull(), F.array((found % 2**24).cast("int"))).otherwise(octets)
+        return F.get(F.transform(F.array(found), lambda n: F.when(n.isNotNull(), F.array(n)).otherwise(octets)), 0)
 
     inner = F.slice(borders, F.lit(1), F.size(borders) - 1)
     return F.flatten(F.transform(inner, part))
@@ -149,9 +161,11 @@ def encode_words(words: DataFrame, path: str, fold: str = "merges") -> DataFrame
     """``word`` and ``ids`` of different words, each with the marks that it has."""
     table, first, longest_piece = piece_table(words.sparkSession, path)
     short = words.where(F.length("word") <= LONGEST)
-    edged = lattice(short, table, longest_piece).withColumn("lookup", _lookup(F.col("edges")))
-    borders = _merged(F.col("word"), F.col("lookup")) if fold == "merges" else _best_path(F.col("word"), F.col("edges"))
-    folded = edged.withColumn("borders", borders).select("word", _ids(F.col("word"), F.col("lookup"), F.col("borders"), first).alias("ids"))
+    edged = lattice(short, table, longest_piece)
+    borders = (_merged if fold == "merges" else _best_path)(F.col("word"), F.col("edges"))
+    # a list of one binds the borders, which are otherwise folded again at each use
+    ids = F.get(F.transform(F.array(borders), lambda b: _ids(F.col("word"), F.col("edges"), b, first)), 0)
+    folded = edged.select("word", ids.alias("ids"))
     long = words.where(F.length("word") > LONGEST).mapInArrow(_library(path), "word string, ids array<int>")
     return folded.unionByName(long)
 
@@ -172,10 +186,20 @@ def beside(path: str) -> frozenset[str]:
     return frozenset(p[j : j + 2] for p in plain for j in range(len(p) - 1))
 
 
-def _cut(word: str, pairs: frozenset[str]) -> list[str]:
-    """The parts of a word between which no piece can lie."""
-    borders = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs], len(word)]
-    return [word[a:b] for a, b in zip(borders, borders[1:])]
+def _cutter(pairs: frozenset[str]):
+    """Function of words to the parts of each, between which no piece can lie."""
+    codes = np.array(sorted((ord(p[0]) << 21) | ord(p[1]) for p in pairs), np.int64)
+
+    def cut(words: list[str]) -> list[list[str]]:
+        points = np.frombuffer((_END.join(words) + _END).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        both = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(codes, both), max(len(codes) - 1, 0))
+        apart = codes[at] != both if len(codes) else np.ones(len(both), bool)
+        apart &= (points[:-1] != ord(_END)) & (points[1:] != ord(_END))
+        marked = np.insert(points, np.flatnonzero(apart) + 1, ord(_PART)).astype(np.uint32)
+        return [w.split(_PART) for w in marked.tobytes().decode("utf-32-le", "surrogatepass").split(_END)[:-1]]
+
+    return cut
 
 
 def _words(pairs: frozenset[str]):
@@ -185,29 +209,39 @@ def _words(pairs: frozenset[str]):
         for batch in group.to_batches():
             for text in batch.column("text"):
                 found.update(_marked(text.as_py()))
-        parts = sorted({part for word in found for part in _cut(word, pairs)})
+        parts = list({part for cut in _cutter(pairs)(list(found)) for part in cut}) if found else []
         return pa.table({"chunk": pa.array(np.full(len(parts), group.column("chunk")[0].as_py(), np.int64)), "word": pa.array(parts, pa.string())})
 
     return run
 
 
+def _gather(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``rows`` of a flat array with its offsets, one behind the other, and their offsets."""
+    sizes = at[rows + 1] - at[rows]
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(at[rows] - stops[:-1], sizes) + np.arange(stops[-1])], stops
+
+
 def _apply(pairs: frozenset[str]):
     def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
         """Ids of a chunk's texts from its dictionary."""
         known = {word: i for i, word in enumerate(dictionary.column("word").to_pylist())}
         listed = dictionary.column("ids").combine_chunks()
         listed = pa.concat_arrays(listed.chunks) if isinstance(listed, pa.ChunkedArray) else listed
-        flat, at = listed.values.to_numpy(), listed.offsets.to_numpy()
-        whole: dict[str, np.ndarray] = {}
+        flat, at = listed.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64)
+        # words get numbers as they come, and every text is a list of numbers
+        numbers: dict[str, int] = {}
         rows = []
         for text in docs.column("text"):
-            words = _marked(text.as_py())
-            for word in set(words):
-                if word in whole:
-                    continue
-                whole[word] = np.concatenate([flat[at[i] : at[i + 1]] for i in (known[part] for part in _cut(word, pairs))])
-            rows.append(np.concatenate([whole[w] for w in words]) if words else np.zeros(0, np.int32))
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(rows, pa.list_(pa.int32())), "text": docs.column("text")})
+            rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in _marked(text.as_py())], np.int32))
+        cut = _cutter(pairs)(list(numbers)) if numbers else []
+        parts = np.array([known[part] for word in cut for part in word], np.int64)
+        ids, ends = _gather(flat, at, parts)
+        whole = ends[np.concatenate([[0], np.cumsum([len(word) for word in cut])]).astype(np.int64)]
+        lists = []
+        for row in rows:
+            lists.append(_gather(ids, whole, row)[0].astype(np.int32))
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(lists, pa.list_(pa.int32())), "text": docs.column("text")})
 
     return run
 
