@@ -17,11 +17,11 @@ grow with the square of their length.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +30,12 @@ from hemline.llm.common import bucketed, compressed, dealt
 #: The mark for a blank, and the longest word that is folded.
 MARK, LONGEST = "▁", 24
 #: Bytes of text, about, that share a dictionary; different words, about, in a task of the lattice.
-CHUNK_CHARS, LATTICE_WORDS = 32_000_000, 5_000
-_WORD = re.compile(f"{MARK}+[^{MARK}]*")
+CHUNK_CHARS, LATTICE_WORDS = 24_000_000, 20_000
 #: A control character, which no piece holds beside another.
 _APART = "\x01"
 _EDGE = "array<struct<rank:int,begin:int,stop:int,id:int,score:double>>"
-#: Lone surrogates, which no text holds: the end of a word, and of a part within it.
-_END, _PART = "\ud800", "\ud801"
+#: A lone surrogate, which no text holds: the end of a word or part.
+_END = "\ud800"
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -173,8 +172,35 @@ def encode_words(words: DataFrame, path: str, fold: str = "merges") -> DataFrame
 _ENCODED = "doc_id long, ids array<int>, text string"
 
 
-def _marked(text: str | None) -> list[str]:
-    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+def _numbered(texts: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words of some texts, the number of each word of the texts in their order, and where each text's begin.
+
+    A word is its blanks, one more at a text's beginning, and what follows them; blanks at a text's end are one.
+    """
+    texts = texts.combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    split = pc.split_pattern(pc.replace_substring(texts, MARK, " "), " ")
+    at, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
+    codes, kinds = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    held = pc.not_equal(kinds, "").to_numpy(zero_copy_only=False)[codes]
+    last = np.zeros(len(codes), bool)
+    last[at[1:] - 1] = True
+    # the place before a word's first blank: the last word's, or the one before the text
+    before = np.maximum.accumulate(np.concatenate([[-1], np.where(held, np.arange(len(codes)), -1)[:-1]])) if len(codes) else codes
+    marks = np.arange(len(codes)) - np.maximum(before, np.repeat(at[:-1], np.diff(at)) - 1)
+    empty = np.repeat(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.diff(at))
+    words = (held | last) & ~empty
+    codes, marks = codes[words], marks[words]
+    several = np.flatnonzero(marks > 1) if len(kinds) else np.zeros(0, np.int64)
+    wide, inverse = np.unique(np.stack([codes[several], marks[several]]), axis=1, return_inverse=True)
+    codes[several] = len(kinds) + inverse.ravel()
+    plain = kinds.to_pylist()
+    listed = [MARK + w for w in plain] + [MARK * int(m) + plain[c] for c, m in wide.T]
+    # only those that occur as such
+    used = np.zeros(len(listed), bool)
+    used[codes] = True
+    place = np.cumsum(used) - 1
+    return [w for w, u in zip(listed, used) if u], place[codes], np.concatenate([[0], np.cumsum(words)])[at]
 
 
 def beside(path: str) -> frozenset[str]:
@@ -187,17 +213,19 @@ def beside(path: str) -> frozenset[str]:
 
 
 def _cutter(pairs: frozenset[str]):
-    """Function of words to the parts of each, between which no piece can lie."""
+    """Function of words to their parts, between which no piece can lie, and to where each word's begin."""
     codes = np.array(sorted((ord(p[0]) << 21) | ord(p[1]) for p in pairs), np.int64)
 
-    def cut(words: list[str]) -> list[list[str]]:
+    def cut(words: list[str]) -> tuple[list[str], np.ndarray]:
         points = np.frombuffer((_END.join(words) + _END).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         both = points[:-1] << 21 | points[1:]
         at = np.minimum(np.searchsorted(codes, both), max(len(codes) - 1, 0))
         apart = codes[at] != both if len(codes) else np.ones(len(both), bool)
-        apart &= (points[:-1] != ord(_END)) & (points[1:] != ord(_END))
-        marked = np.insert(points, np.flatnonzero(apart) + 1, ord(_PART)).astype(np.uint32)
-        return [w.split(_PART) for w in marked.tobytes().decode("utf-32-le", "surrogatepass").split(_END)[:-1]]
+        ended = points == ord(_END)
+        apart &= ~(ended[:-1] | ended[1:])
+        begins = np.concatenate([[0], np.cumsum(np.append(apart, False) | ended)[ended]])
+        marked = np.insert(points, np.flatnonzero(apart) + 1, ord(_END)).astype(np.uint32)
+        return marked.tobytes().decode("utf-32-le", "surrogatepass").split(_END)[:-1], begins
 
     return cut
 
@@ -205,11 +233,8 @@ def _cutter(pairs: frozenset[str]):
 def _words(pairs: frozenset[str]):
     def run(group: pa.Table) -> pa.Table:
         """The different parts of a chunk's words."""
-        found: set[str] = set()
-        for batch in group.to_batches():
-            for text in batch.column("text"):
-                found.update(_marked(text.as_py()))
-        parts = list({part for cut in _cutter(pairs)(list(found)) for part in cut}) if found else []
+        words = _numbered(group.column("text"))[0]
+        parts = list(set(_cutter(pairs)(words)[0])) if words else []
         return pa.table({"chunk": pa.array(np.full(len(parts), group.column("chunk")[0].as_py(), np.int64)), "word": pa.array(parts, pa.string())})
 
     return run
@@ -225,23 +250,16 @@ def _gather(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 def _apply(pairs: frozenset[str]):
     def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
         """Ids of a chunk's texts from its dictionary."""
-        known = {word: i for i, word in enumerate(dictionary.column("word").to_pylist())}
+        words, numbers, at = _numbered(docs.column("text"))
+        parts, begins = _cutter(pairs)(words) if words else ([], np.zeros(1, np.int64))
+        known = dictionary.column("word").combine_chunks()
         listed = dictionary.column("ids").combine_chunks()
         listed = pa.concat_arrays(listed.chunks) if isinstance(listed, pa.ChunkedArray) else listed
-        flat, at = listed.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64)
-        # words get numbers as they come, and every text is a list of numbers
-        numbers: dict[str, int] = {}
-        rows = []
-        for text in docs.column("text"):
-            rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in _marked(text.as_py())], np.int32))
-        cut = _cutter(pairs)(list(numbers)) if numbers else []
-        parts = np.array([known[part] for word in cut for part in word], np.int64)
-        ids, ends = _gather(flat, at, parts)
-        whole = ends[np.concatenate([[0], np.cumsum([len(word) for word in cut])]).astype(np.int64)]
-        lists = []
-        for row in rows:
-            lists.append(_gather(ids, whole, row)[0].astype(np.int32))
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(lists, pa.list_(pa.int32())), "text": docs.column("text")})
+        found = pc.index_in(pa.array(parts, pa.string()), value_set=known).to_numpy()
+        ids, ends = _gather(listed.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64), found)
+        ids, ends = _gather(ids, ends[begins], numbers)
+        lists = pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(ids, pa.int32()))
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": lists, "text": docs.column("text")})
 
     return run
 
