@@ -29,8 +29,8 @@ from hemline.llm.common import bucketed, compressed, dealt
 
 #: The mark for a blank, and the longest word that is folded.
 MARK, LONGEST = "▁", 24
-#: Bytes of text, about, that share a dictionary; different words, about, in a task of the lattice.
-CHUNK_CHARS, LATTICE_WORDS = 24_000_000, 20_000
+#: Bytes of text, about, that share a dictionary, and that a task handles at once; different words, about, in a task of the lattice.
+CHUNK_CHARS, SLICE, LATTICE_WORDS = 24_000_000, 4_000_000, 20_000
 #: A control character, which no piece holds beside another.
 _APART = "\x01"
 _EDGE = "array<struct<rank:int,begin:int,stop:int,id:int,score:double>>"
@@ -203,6 +203,16 @@ def _numbered(texts: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray
     return [w for w, u in zip(listed, used) if u], place[codes], np.concatenate([[0], np.cumsum(words)])[at]
 
 
+def _slices(docs: pa.Table) -> Iterator[pa.Table]:
+    """Rows that follow each other, of about ``SLICE`` bytes of text; a text is never cut."""
+    sizes = np.cumsum(pc.binary_length(docs.column("text")).to_numpy().astype(np.int64))
+    begin, done = 0, 0
+    while begin < len(sizes):
+        stop = max(begin + 1, int(np.searchsorted(sizes, done + SLICE, "right")))
+        yield docs.slice(begin, stop - begin)
+        begin, done = stop, sizes[stop - 1]
+
+
 def beside(path: str) -> frozenset[str]:
     """Pairs of neighbouring characters in the pieces: as bounded as the vocabulary."""
     import sentencepiece
@@ -233,8 +243,11 @@ def _cutter(pairs: frozenset[str]):
 def _words(pairs: frozenset[str]):
     def run(group: pa.Table) -> pa.Table:
         """The different parts of a chunk's words."""
-        words = _numbered(group.column("text"))[0]
-        parts = list(set(_cutter(pairs)(words)[0])) if words else []
+        cut, found = _cutter(pairs), set()
+        for docs in _slices(group):
+            words = _numbered(docs.column("text"))[0]
+            found.update(cut(words)[0] if words else [])
+        parts = list(found)
         return pa.table({"chunk": pa.array(np.full(len(parts), group.column("chunk")[0].as_py(), np.int64)), "word": pa.array(parts, pa.string())})
 
     return run
@@ -250,16 +263,19 @@ def _gather(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 def _apply(pairs: frozenset[str]):
     def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
         """Ids of a chunk's texts from its dictionary."""
-        words, numbers, at = _numbered(docs.column("text"))
-        parts, begins = _cutter(pairs)(words) if words else ([], np.zeros(1, np.int64))
-        known = dictionary.column("word").combine_chunks()
+        cut, known = _cutter(pairs), dictionary.column("word").combine_chunks()
         listed = dictionary.column("ids").combine_chunks()
         listed = pa.concat_arrays(listed.chunks) if isinstance(listed, pa.ChunkedArray) else listed
-        found = pc.index_in(pa.array(parts, pa.string()), value_set=known).to_numpy()
-        ids, ends = _gather(listed.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64), found)
-        ids, ends = _gather(ids, ends[begins], numbers)
-        lists = pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(ids, pa.int32()))
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": lists, "text": docs.column("text")})
+        flat, offsets = listed.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64)
+        lists = []
+        for some in _slices(docs):
+            words, numbers, at = _numbered(some.column("text"))
+            parts, begins = cut(words) if words else ([], np.zeros(1, np.int64))
+            found = pc.index_in(pa.array(parts, pa.string()), value_set=known).to_numpy()
+            ids, ends = _gather(flat, offsets, found)
+            ids, ends = _gather(ids, ends[begins], numbers)
+            lists.append(pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(ids, pa.int32())))
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.chunked_array(lists, pa.list_(pa.int32())), "text": docs.column("text")})
 
     return run
 
