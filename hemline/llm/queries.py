@@ -81,7 +81,29 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return context_tree.report(documents(spark, folder))
 
 
-@query("op7_ngram_jaccard")
+@query(
+    "op7_ngram_jaccard",
+    r"""
+    WITH RECURSIVE cut AS (
+        SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+    ), grams AS MATERIALIZED (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [chr(1) || body] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+               ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+        FROM cut
+    ), flat AS MATERIALIZED (
+        SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM grams
+    ), linked AS MATERIALIZED (
+        SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+    ), reached AS (
+        SELECT doc_id, doc_id AS root FROM documents
+        UNION SELECT l.y, r.root FROM reached r JOIN linked l ON r.doc_id = l.x
+    )
+    SELECT d.doc_id, d.class_id, coalesce(c.links, 0)::BIGINT AS links
+    FROM (SELECT doc_id, min(root)::BIGINT AS class_id FROM reached GROUP BY doc_id) d
+    LEFT JOIN (SELECT x, count(*) AS links FROM linked GROUP BY x) c ON d.doc_id = c.x
+    """,
+)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.report(documents(spark, folder))
 
@@ -108,7 +130,28 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
 
 
-@query("op11_substring_dedup")
+@query(
+    "op11_substring_dedup",
+    r"""
+    WITH cut AS MATERIALIZED (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), begun AS (
+        SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS place FROM cut WHERE len(words) >= 20
+    ), judged AS (
+        SELECT doc_id, place, row_number() OVER (PARTITION BY array_to_string(words[place:place + 19], ' ') ORDER BY doc_id, place) > 1 AS again FROM begun
+    ), placed AS (
+        SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM cut
+    ), covered AS (
+        SELECT p.doc_id, p.place, p.word,
+               coalesce(bool_or(j.again) OVER (PARTITION BY p.doc_id ORDER BY p.place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+        FROM placed p LEFT JOIN judged j ON p.doc_id = j.doc_id AND p.place = j.place
+    ), kept AS (
+        SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT gone) AS body FROM covered GROUP BY doc_id
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+    FROM cut LEFT JOIN kept USING (doc_id)
+    """,
+)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     cut = phrases.remove_repeats(documents(spark, folder))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -157,3 +200,53 @@ def _audit_sql() -> str:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, "doc_id", "source", "text")
     return audit.audit_documents(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query(
+    "op4_edited_text",
+    """
+    WITH bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+    beside AS (SELECT *, coalesce(lead(body) OVER (ORDER BY doc_id), first_value(body) OVER (ORDER BY doc_id)) AS next FROM bodies)
+    SELECT doc_id, length(body)::BIGINT AS n_chars, sha256(left(body, length(body) - length(body) // 2) || left(next, length(body) // 2)) AS edited_sha256
+    FROM beside
+    """,
+)
+def op4_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op4 that SQL can state."""
+    return op4(spark, folder).select("doc_id", "n_chars", "edited_sha256")
+
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _base_sql() -> str:
+    """Spans of the base patterns: each match is marked, and the lengths between the marks are summed."""
+    kinds = [("assign", _ASSIGN, f"length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20"), ("hex", "[0-9a-f]+", "length(hit) >= 24")]
+    marked = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS nr, '{kind}' AS kind, string_split(regexp_replace(coalesce(text, ''), '{pattern}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS cut FROM documents"
+        for i, (kind, pattern, _) in enumerate(kinds)
+    )
+    holds = " OR ".join(f"(kind = '{kind}' AND {kept})" for kind, _, kept in kinds)
+    return f"""
+    WITH marked AS ({marked}),
+    cut AS (SELECT doc_id, nr, kind, unnest(cut) AS piece, unnest(range(1, len(cut) + 1)) AS place FROM marked),
+    placed AS (
+        SELECT *, split_part(piece, chr(2), 1) AS hit,
+               coalesce(sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY doc_id, nr ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+        FROM cut
+    ), kept AS (SELECT * FROM placed WHERE place > 1 AND ({holds})),
+    summed AS (
+        SELECT doc_id, count(*) FILTER (WHERE nr = 0) AS n_assign, count(*) FILTER (WHERE nr = 1) AS n_access, count(*) FILTER (WHERE nr = 2) AS n_hex,
+               string_agg(kind || ':' || start || ':' || (start + length(hit)), ',' ORDER BY start, nr) AS spans
+        FROM kept GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256
+    FROM documents LEFT JOIN summed USING (doc_id)
+    """
+
+
+@query("op8_base_spans", _base_sql())
+def op8_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op8 that SQL can state."""
+    return op8(spark, folder).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
