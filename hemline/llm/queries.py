@@ -157,7 +157,42 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op12_vector_codes")
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round as two tables: nearest entries, then the entries moved."""
+
+    def nearest(r: int) -> str:
+        far = "list_sum(list_transform(list_zip(v.part, b.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        return f"near{r} AS MATERIALIZED (SELECT vec_id, p, min(struct_pack(d := {far}, e := e)) AS best FROM parts v JOIN book{r} b USING (p) GROUP BY vec_id, p)"
+
+    def moved(r: int) -> str:
+        return f"""sums{r} AS (
+            SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS n
+            FROM (SELECT p, best.e AS e, unnest(part) AS x, unnest(range(len(part))) AS i FROM parts JOIN near{r} USING (vec_id, p)) GROUP BY ALL
+        ), book{r + 1} AS MATERIALIZED (
+            SELECT p, e, coalesce(m.entry, b.entry) AS entry
+            FROM book{r} b LEFT JOIN (SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS entry FROM sums{r} GROUP BY p, e) m USING (p, e)
+        )"""
+
+    steps = ", ".join(f"{nearest(r)}, {moved(r)}" for r in range(rounds))
+    return f"""
+    WITH whole AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, len(embedding) // {parts} AS w
+        FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), parts AS MATERIALIZED (
+        SELECT vec_id, p, v[p * w + 1:(p + 1) * w] AS part FROM whole, range({parts}) t(p)
+    ), book0 AS MATERIALIZED (
+        SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part AS entry FROM parts QUALIFY e < {entries}
+    ), {steps}, {nearest(rounds)}, coded AS (
+        SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id
+    ), final AS (
+        SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+    )
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+    FROM coded JOIN whole USING (vec_id), final
+    """
+
+
+@query("op12_vector_codes", _codes_sql())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return lloyd.compress(spark.read.parquet(f"{folder}/embeddings.parquet")).report()
 
