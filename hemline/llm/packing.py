@@ -204,7 +204,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: i
     kept, those named like the added ones are replaced.  ``rounds`` ends the exchange early.  Rows are told apart by
     their number, so repeated rows are separate pieces; an empty table gives no rows.
     """
-    rows = materialize(cut.drop("sequence_id", "offset").withColumn("row", F.monotonically_increasing_id()))
+    # a column of the input may have the name of the rows' own number
+    named = {c: "__" + c for c in cut.columns if c.lower() == "row"}
+    rows = materialize(cut.drop("sequence_id", "offset").withColumnsRenamed(named).withColumn("row", F.monotonically_increasing_id()))
     whole = rows.where(F.col("length") == capacity).select("row", F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("nth"))
     items = rows.where(F.col("length") < capacity).select("row", "length")
     places = [whole]
@@ -225,7 +227,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: i
         placed = placed.unionByName(more)
     # the bin's own number, made unique over rounds
     placed = placed.select("row", (F.col("bin") * (nth + 1) + F.col("nth")).alias("sequence_id"), "offset")
-    return rows.join(placed, "row").drop("row")
+    return rows.join(placed, "row").drop("row").withColumnsRenamed({own: c for c, own in named.items()})
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

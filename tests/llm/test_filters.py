@@ -1,8 +1,11 @@
 """Toxicity, language identification and secret scans on small and awkward tables."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +132,52 @@ def test_masked_texts_hold_no_secret(spark):
     assert clean.columns == docs.columns
     assert all(r.secret_spans == [] for r in secrets.scan(clean).collect())
     assert all(r.n_chars == len(r.text) for r in clean.collect())
+
+
+def _beyond(counts):
+    """Both classes' counts beyond their discounts and the shared count, by key, from a dictionary of (class, key)."""
+    totals = [sum(n for (c, _), n in counts.items() if c == k) for k in (0, 1)]
+    out = {}
+    for key in {key for _, key in counts}:
+        n = [counts.get((c, key), 0) for c in (0, 1)]
+        expected = [sum(n) * t / sum(totals) for t in totals]
+        x = [max(n[c] - 1.5 * expected[c] - 3 * math.sqrt(expected[c] + 1), 0.0) for c in (0, 1)]
+        out[key] = (*x, sum(n))
+    rest = [1 - sum(v[c] for v in out.values()) / totals[c] for c in (0, 1)]
+    return out, totals, rest
+
+
+def _near(got, want):
+    assert got.keys() == want.keys()
+    assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_toxicity_counts_by_brute_force(spark):
+    draw = random.Random(5)
+    plain = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(5)]
+    texts = [(0, " ".join(draw.choices(plain, k=60))) for _ in range(60)]
+    texts += [(1, " ".join(draw.choices(plain, k=20) + [draw.choice(plain) + " Grolk snarf"] * 10 + ["grolk " + draw.choice(plain)] * 3)) for _ in range(30)]
+    # a copy adds nothing
+    docs = spark.createDataFrame([*texts, *texts[:3]], "toxic int, text string")
+    model = toxicity._model(docs.mapInArrow(toxicity._trigrams, "toxic int, before string, context string, word string"))
+
+    triples = set()
+    for c, text in texts:
+        w = ["", "", *text.lower().split()]
+        triples |= {(c, *t) for t in zip(w, w[1:], w[2:])}
+    by_pair = Counter((c, (context, w)) for c, _, context, w in triples)
+    by_word = Counter((c, w) for c, (_, w) in by_pair)
+    by_stem = Counter((c, s) for c, _, s in {(c, context, w[:5]) for c, (context, w) in by_pair})
+    pairs, *_ = _beyond(by_pair)
+    pairs = {k: v for k, v in pairs.items() if v[0] > 0 or v[1] > 0}
+    assert ("grolk", "snarf") in pairs
+    for level, counts, wanted in ((model.stems, by_stem, set()), (model.words, by_word, {w for _, w in pairs})):
+        beyond, totals, rest = _beyond(counts)
+        _near(level.kept, {k: v for k, v in beyond.items() if v[0] > 0 or v[1] > 0 or k in wanted})
+        assert level.totals == tuple(totals) and level.kinds == len(beyond)
+        assert all(math.isclose(a, b) for a, b in zip(level.rest, rest))
+    assert "grolk" in model.words.kept
+    seen = {x: [max(sum(n for (c, (context, _)), n in by_pair.items() if c == k and context == x), 1) for k in (0, 1)] for x, _ in pairs}
+    _near(model.pairs, {(x, w): (v[0] / seen[x][0], v[1] / seen[x][1]) for (x, w), v in pairs.items()})
+    _near(model.contexts, {x: tuple(1 - sum(v[k] for (y, _), v in pairs.items() if y == x) / seen[x][k] for k in (0, 1)) for x in seen})
+    assert model.ratio("grolk") > 1 > abs(model.ratio(plain[0]))

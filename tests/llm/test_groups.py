@@ -81,6 +81,13 @@ def test_packing_bounds_and_exchange(spark):
     assert len({r.sequence_id for r in got}) <= packing.lower_bound(np.array([r.length for r in got]), 100) + 9
 
 
+def test_packing_keeps_a_column_named_row(spark):
+    cut = spark.createDataFrame([(5, "a"), (5, "a"), (100, None)], "length long, Row string")
+    got = packing.pack(cut, capacity=100)
+    assert got.columns == ["length", "Row", "sequence_id", "offset"]
+    assert sorted((r.length, r.Row or "") for r in got.collect()) == [(5, "a"), (5, "a"), (100, "")]
+
+
 def n_grams(text):
     w = re.findall(r"\w+", (text or "").lower())
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
