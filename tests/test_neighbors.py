@@ -130,3 +130,31 @@ def test_candidates_are_ranked_before_they_are_gathered(spark, data, capsys):
     N.nearest(df, df, 3, block_rows=10).explain()
     plan = capsys.readouterr().out
     assert "WindowGroupLimit" in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+@pytest.mark.parametrize("metric", N.METRICS)
+def test_a_block_in_chunks_gives_the_rows_of_a_block_at_once(data, monkeypatch, metric):
+    ids, v = data
+    v = v + 0.5
+    monkeypatch.setattr(N, "_TRAIN_CHUNK", 7)
+    monkeypatch.setattr(N, "_QUERY_CHUNK", 16)
+    fold, rank = ids % 4, np.arange(len(ids))
+    excluded = (ids[:, None] == ids[None, :]) | (fold[:, None] == fold[None, :])
+    for groups, out in (((fold, fold), excluded), ((None, None), ids[:, None] == ids[None, :])):
+        want = N._block_top_k(v, v, out, rank, 5, metric)
+        got = N._cell_top_k(v, v, ids, ids, *groups, rank, 5, metric)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_pruned_rows_travel_once_to_a_group_of_blocks(spark, data, monkeypatch):
+    ids, v = data
+    df = _frame(spark, ids.tolist(), v)
+    shipped, search = [], N._search
+
+    def counted(q_cells, t_cells, *args, **kwargs):
+        shipped.append(q_cells.count())
+        return search(q_cells, t_cells, *args, **kwargs)
+
+    monkeypatch.setattr(N, "_search", counted)
+    assert _ids(N.nearest_pruned(df, df, 4, pivots=1, block_rows=30)) == _brute(ids, v, ids, v, 4)
+    assert shipped == [300, 300]
