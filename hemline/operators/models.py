@@ -30,6 +30,20 @@ def split(
     return df.filter(score >= F.lit(test)), df.filter(score < F.lit(test))
 
 
+# Fewest rows worth a task of their own.
+TASK_ROWS = 10_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores, if it has fewer partitions than cores and rows enough for more.
+
+    A fit of trees passes over its rows many times and works long on each, but their bytes are
+    few: files of the usual size would leave them to one or two tasks.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, df.count() // TASK_ROWS)
+    return df.repartition(wanted) if wanted > df.rdd.getNumPartitions() else df
+
+
 def _fit(train: DataFrame, features: Sequence[str], regressor) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
     return Pipeline(stages=[assembler, regressor]).fit(train)
@@ -77,8 +91,10 @@ def fit_forest(
         seed=seed,
         # nodes that one pass over the rows may split together
         maxMemoryInMB=1024,
+        # a row's place in every tree is kept, where each level of a deep tree would walk down to it again
+        cacheNodeIds=True,
     )
-    return _fit(train, features, regressor)
+    return _fit(spread(train.select(*features, label)), features, regressor)
 
 
 def fit_bagging(
@@ -95,7 +111,7 @@ def fit_gbt(
     regressor = GBTRegressor(
         featuresCol="__features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed
     )
-    return _fit(train, features, regressor)
+    return _fit(spread(train.select(*features, label)), features, regressor)
 
 
 def leaderboard(

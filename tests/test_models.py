@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hemline.operators import models as L
 
@@ -82,3 +83,15 @@ def test_negative_predictions_count_as_zero(spark):
     df = spark.createDataFrame([(1, 3.0)], "id int, y double")
     board = L.leaderboard({"m": lambda _: lambda t: t.withColumn("prediction", F.lit(-5.0))}, df, df, "y")
     assert board.first().rmse == 3.0
+
+
+def test_rows_of_a_fit_are_dealt_over_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(L, "TASK_ROWS", 100)
+    df = spark.range(1000).coalesce(1).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    assert L.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert L.spread(df.limit(150)).rdd.getNumPartitions() == 1 and L.spread(df.repartition(30)).rdd.getNumPartitions() == 30
+    seen, fit = [], L._fit
+    monkeypatch.setattr(L, "_fit", lambda train, *args: seen.append(train.rdd.getNumPartitions()) or fit(train, *args))
+    L.fit_forest(df, ["x"], "y", trees=2, depth=2)
+    L.fit_gbt(df, ["x"], "y", rounds=2)
+    assert seen == [8, 8]
