@@ -123,8 +123,12 @@ def attach_files(
 def missing_files(
     df: DataFrame, order: OrderKey | Sequence[OrderKey], files: str = "files"
 ) -> DataFrame:
-    """Rows with an empty file list, with their position in ``order``."""
-    return global_index(df, order, "position").filter(F.size(files) == 0)
+    """Rows with an empty file list, with their position in ``order``.
+
+    Only the first file of a list goes through the order: a kept row's list is empty.
+    """
+    short = df.withColumn(files, F.slice(files, 1, 1))
+    return global_index(short, order, "position").filter(F.size(files) == 0)
 
 
 def assign_color_folder(

@@ -70,3 +70,16 @@ def test_category_fanout(spark):
     true = spark.createDataFrame([("i", "c"), ("i", "c")], "item string, category string")
     assert C.attach_category(pred, true, ["item"]).count() == 1
     assert C.attach_category(pred, true, ["item"], fanout=True).count() == 2
+
+
+def test_no_file_list_goes_through_the_order(spark, monkeypatch):
+    rows = spark.range(40).select(F.col("id").alias("i"), F.when(F.col("id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array_repeat(F.lit("f"), 9)).alias("files"))
+    longest, index = [], C.global_index
+
+    def seen(df, *args, **kwargs):
+        longest.append(df.agg(F.max(F.size("files"))).first()[0])
+        return index(df, *args, **kwargs)
+
+    monkeypatch.setattr(C, "global_index", seen)
+    found = C.missing_files(rows, "i").collect()
+    assert {(r.i, r.position, tuple(r.files)) for r in found} == {(i, i, ()) for i in range(0, 40, 4)} and longest == [1]
