@@ -87,29 +87,31 @@ def exclude_old_cohorts(
 
 
 def exclude_by_rules(
-    df: DataFrame, item: str, rules: DataFrame, season: str = "season", gram: int = 3
+    df: DataFrame, item: str, rules: DataFrame, season: str = "season", gram: int = 12
 ) -> DataFrame:
     """``exclude_old_cohorts`` with the rules in a table (``season``, ``pattern``), of any number.
 
-    A pattern is found by one of its runs of ``gram`` characters (of all of it where it is
-    shorter), the one that the fewest patterns share.  Each different code of a season
-    offers its runs, an equality join finds the patterns that may occur, and
+    A pattern is found as a whole, or where it is longer than ``gram`` characters by one of its
+    runs of that many, the one that the fewest patterns share.  Each different code
+    offers its runs once for all seasons, an equality join finds the patterns that may occur, and
     those are looked for in the code.  A null code is dropped, an empty
     pattern is in every code, and a season without a rule keeps its rows.
     """
     known = rules.select(F.col("season").alias("__season"), F.col("pattern").alias("__pattern"))
     known = known.filter("__season IS NOT NULL AND __pattern IS NOT NULL").distinct()
+    patterns = known.select("__pattern").distinct()
     size = F.least(F.length("__pattern"), F.lit(gram))
-    runs = known.select("*", F.explode(_runs(F.col("__pattern"), size)).alias("__gram")).distinct()
-    shared = runs.groupBy("__season", "__gram").agg(F.count("*").alias("__n"))
+    runs = patterns.select("*", F.explode(_runs(F.col("__pattern"), size)).alias("__gram")).distinct()
+    shared = runs.groupBy("__gram").agg(F.count("*").alias("__n"))
     rarest = F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram")
-    keyed = runs.join(shared, ["__season", "__gram"]).groupBy("__season", "__pattern").agg(rarest)
+    keyed = runs.join(shared, "__gram").groupBy("__pattern").agg(rarest)
     # at most gram + 1 lengths
-    lengths = [r[0] for r in known.select(size).distinct().collect()]
-    codes = df.select(F.col(season).alias("__season"), F.col(item).alias("__code")).filter("__code IS NOT NULL").distinct()
+    lengths = [r[0] for r in patterns.select(size).distinct().collect()]
+    codes = df.select(F.col(item).alias("__code")).filter("__code IS NOT NULL").distinct()
     offered = F.array_distinct(F.flatten(F.array(*[_runs(F.col("__code"), F.lit(n)) for n in sorted(lengths)]).cast("array<array<string>>")))
-    met = codes.select("*", F.explode(offered).alias("__gram")).join(keyed, ["__season", "__gram"])
-    old = met.filter(F.contains("__code", "__pattern")).select("__season", "__code").distinct()
+    met = codes.select("*", F.explode(offered).alias("__gram")).join(keyed, "__gram")
+    held = met.filter(F.contains("__code", "__pattern")).select("__code", "__pattern")
+    old = held.join(known, "__pattern").select("__season", "__code").distinct()
     same = (F.col(season) == F.col("__season")) & (F.col(item) == F.col("__code"))
     return df.filter(F.col(item).isNotNull()).join(old, same, "left_anti")
 
