@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hemline.session import materialize
 
@@ -82,29 +85,92 @@ def embed_corpus(
     return weighted.select(key, vector_to_array("__unit").alias(name))
 
 
+# Words looked up in the task, those that occur most often, and most numbers in their vectors; all others are joined.
+FREQUENT = 65_536
+FREQUENT_NUMBERS = 1 << 22
+# Words whose vectors are added at once.
+_WORD_CHUNK = 32_768
+
+
+def _pooled(known: pa.Array, sums: np.ndarray, weights: np.ndarray):
+    """Of every text: the weighted sum of its frequent words' vectors, their weight, and its other words."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("__words")
+            words, n = lists.flatten(), len(lists)
+            at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            met = at >= 0
+            total = np.zeros((n, sums.shape[1]))
+            places, texts = at[met], text[met]
+            for low in range(0, len(places), _WORD_CHUNK):
+                part = texts[low : low + _WORD_CHUNK]
+                begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                total[part[begins]] += np.add.reduceat(sums[places[low : low + _WORD_CHUNK]], begins, axis=0)
+            weight = np.bincount(texts, weights=weights[places], minlength=n) if len(places) else np.zeros(n)
+            other = words.filter(pa.array(~met))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text[~met], minlength=n))]).astype(np.int32)
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, sums.shape[1], dtype=np.int32)), pa.array(total.ravel()))
+            columns = [batch.column("__key"), vector, pa.array(weight), pa.ListArray.from_arrays(pa.array(ends), other)]
+            yield pa.RecordBatch.from_arrays(columns, names=["__key", "vector", "weight", "others"])
+
+    return run
+
+
 def pool_word_vectors(
-    df: DataFrame, key: str, col: str, words: DataFrame, max_tokens: int | None = None, name: str = "text_vector"
-) -> DataFrame:
+    df: DataFrame, key: str, col: str, words: DataFrame, max_tokens: int | None = None, name: str = "text_vector",
+    often: str | None = None,
+) -> DataFrame:
     """Texts as the weighted mean of their words' vectors from a table: ``key`` and vector.
 
     ``words`` has ``word`` (unique), ``vector`` and ``weight`` (above 0; others count for nothing).
     A word counts as often as it occurs.  Rows of one key are one text, and a text without a
-    known word has a null vector.  A text's words are counted before the shuffle; a word in
-    more than its share of texts is dealt over several parts, and its vector to each of them.
+    known word has a null vector.  The vectors of the most frequent words are added up where a
+    text is read, so a text leaves its task as one vector; only its other words are joined.  ``often``
+    names a column of ``words`` that tells the frequent ones; without it the words are counted.
     """
     tokens = F.expr(_tokens(col, max_tokens))
-    counts = materialize(df.select(F.col(key).alias("__key"), F.explode(tokens).alias("word")).groupBy("__key", "word").agg(F.count("*").alias("n")))
-    share = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = counts.groupBy("word").agg(F.count("*").alias("texts"))
-    least = counts.count() / share
-    # above one share each, so there are fewer of them than shares
-    hot = F.broadcast(texts.where(F.col("texts") > least).select("word", F.ceil(F.col("texts") / F.lit(least)).alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    asked = counts.join(hot, "word", "left").withColumn("part", F.pmod(F.xxhash64("__key"), parts)).drop("parts")
-    known = words.where("weight > 0 AND vector IS NOT NULL").join(hot, "word", "left")
-    known = known.select("word", "vector", "weight", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-    met = asked.join(known, ["word", "part"])
-    mean = Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>")), F.col("n") * F.col("weight"))
-    pooled = met.groupBy("__key").agg(vector_to_array(mean).alias(name))
-    every = df.select(key).distinct()
-    return every.join(pooled, every[key].eqNullSafe(pooled["__key"]), "left").select(every[key], name)
+    texts = df.select(F.col(key).alias("__key"), tokens.alias("__words"))
+    if often is None:
+        used = texts.select(F.explode("__words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        words = words.select("word", "vector", "weight").join(used, "word")
+    else:
+        words = words.where("word IS NOT NULL").withColumn("n", F.coalesce(F.col(often).cast("long"), F.lit(0)))
+    # written once: the table of the frequent words, and the join with the others
+    known = materialize(words.where("weight > 0 AND vector IS NOT NULL").select(
+        "word", F.col("vector").cast("array<double>").alias("vector"), F.col("weight").cast("double").alias("weight"), "n"
+    ))
+    first = known.select(F.size("vector")).first()
+    dim = first[0] if first else 0
+    most = max(1, min(FREQUENT, FREQUENT_NUMBERS // max(1, dim)))
+    table = known.orderBy(F.desc("n"), "word").limit(most).toArrow()
+    rest = None
+    if table.num_rows == most:
+        # the last word may have more rows than these, and goes with the others
+        last = table.slice(most - 1).to_pylist()[0]
+        table = table.filter(pc.not_equal(table["word"], last["word"]))
+        rest = known.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") >= last["word"])))
+    # a repeated word counts once for each of its rows
+    coded = table["word"].combine_chunks().dictionary_encode()
+    place, weight = coded.indices.to_numpy(), table["weight"].to_numpy()
+    sums, weights = np.zeros((len(coded.dictionary), dim)), np.zeros(len(coded.dictionary))
+    if len(place):
+        np.add.at(sums, place, np.vstack(table["vector"].to_pylist()) * weight[:, None])
+        np.add.at(weights, place, weight)
+    shape = T.StructType([
+        T.StructField("__key", texts.schema["__key"].dataType), T.StructField("vector", T.ArrayType(T.DoubleType())),
+        T.StructField("weight", T.DoubleType()), T.StructField("others", T.ArrayType(T.StringType())),
+    ])
+    parts = texts.mapInArrow(_pooled(coded.dictionary, sums, weights), shape)
+    if rest is not None:
+        parts = materialize(parts)
+        counts = parts.select("__key", F.explode("others").alias("word")).groupBy("__key", "word").agg(F.count("*").alias("n"))
+        share = F.col("n") * F.col("weight")
+        joined = counts.join(rest.drop("n"), "word")
+        same = F.when(F.size("vector") == dim, F.transform("vector", lambda x: x * share)).otherwise(F.raise_error(F.lit("vectors of words differ in length")).cast("array<double>"))
+        parts = parts.drop("others").unionByName(joined.select("__key", same.alias("vector"), share.alias("weight")))
+    flat = parts.select("__key", "weight", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(dim)])
+    total = flat.groupBy("__key").agg(F.sum("weight").alias("weight"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(dim)])
+    mean = F.array(*[F.col(f"v{i}") / F.col("weight") for i in range(dim)]).cast("array<double>")
+    return total.select(F.col("__key").alias(key), F.when(F.col("weight") > 0, mean).alias(name))

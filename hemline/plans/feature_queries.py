@@ -177,6 +177,6 @@ def e9_words(t):
     n_texts, n_vectors = texts.count(), vectors.count()
     at = F.conv(F.left(F.md5("word"), F.lit(8)), 16, 10).cast("long") % n_vectors
     weight = F.log(F.lit(n_texts + 1.0) / F.col("texts"))
-    words = used.select("word", weight.alias("weight"), at.alias("vec_id")).join(vectors, "vec_id").select("word", "weight", F.col("embedding").alias("vector"))
-    pooled = X.pool_word_vectors(texts, "doc_id", "text", words)
+    words = used.select("word", "texts", weight.alias("weight"), at.alias("vec_id")).join(vectors, "vec_id").select("word", "weight", "texts", F.col("embedding").alias("vector"))
+    pooled = X.pool_word_vectors(texts, "doc_id", "text", words, often="texts")
     return pooled.select("doc_id", F.posexplode("text_vector").alias("i", "x")).select("doc_id", (F.col("i") + 1).alias("place"), rounded("x").alias("value"))

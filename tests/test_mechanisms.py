@@ -227,3 +227,47 @@ def test_pooled_word_vectors(spark):
     assert len(got) == 65 and got[2] is None and got[3] is None
     assert got[1] == pytest.approx(pooled({"the": 2, "cat": 1, "dog": 1})) and got[4] == pytest.approx(pooled({"the": 500, "cat": 1}))
     assert got[None] == [4.0, 4.0] and got[10] == pytest.approx(pooled({"the": 1, "dog": 1}))
+
+
+def test_words_beyond_the_frequent_ones_are_joined(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    names = [f"w{chr(97 + i)}" for i in range(20)]
+    lists = [draw.choice([*names, "unknown"], draw.integers(0, 30)) for _ in range(200)]
+    texts = spark.createDataFrame([(n % 150 if n % 11 else None, " ".join(w)) for n, w in enumerate(lists)], "k long, t string")
+    # a word in two rows counts for both
+    rows = [(w, draw.normal(size=3).tolist(), float(draw.random() + 0.1)) for w in [*names, names[0], names[4]]]
+    words = spark.createDataFrame(rows, "word string, vector array<double>, weight double")
+    want: dict = {}
+    for n, used in enumerate(lists):
+        total = want.setdefault(n % 150 if n % 11 else None, np.zeros(4))
+        for w, v, x in rows:
+            total += np.sum(used == w) * x * np.array([*v, 1.0])
+    for frequent in (1, 3, 65_536):
+        monkeypatch.setattr(X, "FREQUENT", frequent)
+        got = {r.k: r.text_vector for r in X.pool_word_vectors(texts, "k", "t", words).collect()}
+        assert got.keys() == want.keys()
+        for k, total in want.items():
+            assert got[k] is None if total[3] == 0 else got[k] == pytest.approx(list(total[:3] / total[3]))
+
+
+def test_words_of_a_text_leave_its_task_as_one_vector(spark):
+    texts = spark.range(50).select(F.col("id").alias("k"), F.lit("the cat and the dog").alias("t"))
+    words = spark.createDataFrame([(w, [1.0, 2.0], 1.0) for w in ("the", "cat", "dog")], "word string, vector array<double>, weight double")
+    pooled = X.pool_word_vectors(texts, "k", "t", words)
+    assert "Join" not in pooled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_meet_only_codes_that_may_hold_them(spark, monkeypatch):
+    patterns = [f"{n:06d}" for n in range(100_000, 102_000)]
+    rules = spark.createDataFrame([(s, p) for p in patterns for s in ("s1", "s2")], "season string, pattern string")
+    codes = spark.createDataFrame([(s, f"C#000{n}") for n in range(101_900, 102_100) for s in ("s1", "s2", "s3")], "season string, item string")
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def contains(code, pattern):
+        looked.add(1)
+        return pattern in code
+
+    monkeypatch.setattr(S.F, "contains", contains)
+    assert S.exclude_by_rules(codes, "item", rules).groupBy("season").count().collect().__len__() == 3
+    assert looked.value <= 200
