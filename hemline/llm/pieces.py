@@ -6,7 +6,7 @@ the longest piece's length, which are joined to the piece table; the edges that
 match are grouped by word.  A higher-order aggregate folds each lattice to the
 word's pieces.  Texts then get their ids from the dictionary of their chunk: the tasks that
 read the documents deal them to chunks and write them in buckets of chunks, so that texts
-are never shuffled.  Decoding looks up the bytes of every id in the piece table.
+are never shuffled; the chunks' words travel once to the lattices, and back as packed tables.  Decoding looks up the bytes of every id in the piece table.
 
 Two folds share the lattice: ``viterbi`` takes the path of the highest total
 score, as unigram models do; ``merges`` joins the best neighbouring pair again
@@ -30,12 +30,12 @@ from hemline.llm.common import bucketed, compressed, dealt
 #: The mark for a blank, and the longest word that is folded.
 MARK, LONGEST = "▁", 24
 #: Bytes of text, about, that share a dictionary, and that a task handles at once; different words, about, in a task of the lattice.
-CHUNK_CHARS, SLICE, LATTICE_WORDS = 24_000_000, 4_000_000, 20_000
+CHUNK_CHARS, SLICE, LATTICE_WORDS = 36_000_000, 4_000_000, 20_000
+#: Words cut at once, and rows of the dictionaries packed at once.
+CUT_WORDS, PACKED_ROWS = 100_000, 200_000
 #: A control character, which no piece holds beside another.
 _APART = "\x01"
 _EDGE = "array<struct<rank:int,begin:int,stop:int,id:int,score:double>>"
-#: A lone surrogate, which no text holds: the end of a word or part.
-_END = "\ud800"
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -65,10 +65,13 @@ def lattice(words: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFram
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest_piece), F.length("word") - F.col("begin")))).alias("size")
     cut = words.select("word", begins).select("word", "begin", lengths)
     cut = cut.withColumn("piece", F.substring("word", F.col("begin") + 1, F.col("size")))
-    # the piece table is bounded by the model's vocabulary; a word's characters stay, so that one without any piece does
-    met = cut.join(F.broadcast(pieces), "piece", "left").where((F.col("size") == 1) | F.col("id").isNotNull())
+    # the piece table is bounded by the model's vocabulary; it is met by a number, which is faster, and then compared
+    keyed = pieces.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("held"), "rank", "id", "score")
+    found = F.coalesce(F.col("held") == F.col("piece"), F.lit(False))
+    # a word's characters stay, so that one without any piece does
+    met = cut.withColumn("key", F.xxhash64("piece")).join(F.broadcast(keyed), "key", "left").where((F.col("size") == 1) | found)
     edge = F.struct("rank", "begin", (F.col("begin") + F.col("size")).alias("stop"), "id", "score")
-    return met.groupBy("word").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge)).cast(_EDGE)).alias("edges"))
+    return met.groupBy("word").agg(F.sort_array(F.collect_list(F.when(found, edge)).cast(_EDGE)).alias("edges"))
 
 
 def _bits(count: Column) -> Column:
@@ -145,10 +148,12 @@ def _library(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        # a word has its own mark, or is cut from one that has: the library's mark goes before a character that no piece holds
-        before = len(model.encode(_APART))
+        model, before = None, 0
         for batch in batches:
+            if model is None:
+                model = sentencepiece.SentencePieceProcessor(model_file=path)
+                # a word has its own mark, or is cut from one that has: the library's mark goes before a character that no piece holds
+                before = len(model.encode(_APART))
             words = batch.column("word").to_pylist()
             ids = [model.encode(_APART + w.replace(MARK, " "))[before:] for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
@@ -172,13 +177,17 @@ def encode_words(words: DataFrame, path: str, fold: str = "merges") -> DataFrame
 _ENCODED = "doc_id long, ids array<int>, text string"
 
 
-def _numbered(texts: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _whole(array: pa.ChunkedArray | pa.Array) -> pa.Array:
+    """One array of all rows."""
+    return pa.concat_arrays(array.chunks) if isinstance(array, pa.ChunkedArray) and array.num_chunks else pa.array(array, array.type)
+
+
+def _numbered(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Different words of some texts, the number of each word of the texts in their order, and where each text's begin.
 
     A word is its blanks, one more at a text's beginning, and what follows them; blanks at a text's end are one.
     """
-    texts = texts.combine_chunks()
-    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    texts = _whole(texts)
     split = pc.split_pattern(pc.replace_substring(texts, MARK, " "), " ")
     at, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
     codes, kinds = coded.indices.to_numpy().astype(np.int64), coded.dictionary
@@ -191,16 +200,15 @@ def _numbered(texts: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray
     empty = np.repeat(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.diff(at))
     words = (held | last) & ~empty
     codes, marks = codes[words], marks[words]
-    several = np.flatnonzero(marks > 1) if len(kinds) else np.zeros(0, np.int64)
-    wide, inverse = np.unique(np.stack([codes[several], marks[several]]), axis=1, return_inverse=True)
-    codes[several] = len(kinds) + inverse.ravel()
-    plain = kinds.to_pylist()
-    listed = [MARK + w for w in plain] + [MARK * int(m) + plain[c] for c, m in wide.T]
+    several = np.flatnonzero(marks > 1)
+    wide, inverse = np.unique(codes[several] << 32 | marks[several], return_inverse=True)
+    codes[several] = len(kinds) + inverse
+    repeated = pc.binary_repeat(pa.scalar(MARK), pa.array(wide & 0xFFFFFFFF))
+    listed = pa.concat_arrays([pc.binary_join_element_wise(MARK, kinds, ""), pc.binary_join_element_wise(repeated, kinds.take(pa.array(wide >> 32)), "")])
     # only those that occur as such
-    used = np.zeros(len(listed), bool)
-    used[codes] = True
+    used = np.bincount(codes, minlength=len(listed)) > 0
     place = np.cumsum(used) - 1
-    return [w for w, u in zip(listed, used) if u], place[codes], np.concatenate([[0], np.cumsum(words)])[at]
+    return listed.filter(pa.array(used)), place[codes].astype(np.int32), np.concatenate([[0], np.cumsum(words)])[at]
 
 
 def _slices(docs: pa.Table) -> Iterator[pa.Table]:
@@ -223,19 +231,36 @@ def beside(path: str) -> frozenset[str]:
 
 
 def _cutter(pairs: frozenset[str]):
-    """Function of words to their parts, between which no piece can lie, and to where each word's begin."""
-    codes = np.array(sorted((ord(p[0]) << 21) | ord(p[1]) for p in pairs), np.int64)
-
-    def cut(words: list[str]) -> tuple[list[str], np.ndarray]:
-        points = np.frombuffer((_END.join(words) + _END).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        both = points[:-1] << 21 | points[1:]
-        at = np.minimum(np.searchsorted(codes, both), max(len(codes) - 1, 0))
-        apart = codes[at] != both if len(codes) else np.ones(len(both), bool)
-        ended = points == ord(_END)
-        apart &= ~(ended[:-1] | ended[1:])
-        begins = np.concatenate([[0], np.cumsum(np.append(apart, False) | ended)[ended]])
-        marked = np.insert(points, np.flatnonzero(apart) + 1, ord(_END)).astype(np.uint32)
-        return marked.tobytes().decode("utf-32-le", "surrogatepass").split(_END)[:-1], begins
+    """Function of words to their parts, between which no piece can lie, and to where each word's begin.
+
+    Pairs are looked up by a hash: where two share a place a border is missed, which changes no id.
+    """
+    place = lambda first, second: (first * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA6B)) >> np.uint32(10)
+    together = np.zeros(1 << 22, bool)
+    listed = np.frombuffer("".join(pairs).encode("utf-32-le"), np.uint32)
+    together[place(listed[::2], listed[1::2])] = True
+
+    def some(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        raw, ends = words.buffers()[2][at[0] : at[-1]].to_pybytes(), at - at[0]
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        octets = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        first = np.ones(len(points), bool)
+        first[1:] = ~together[place(points[:-1], points[1:])]
+        opened = np.searchsorted(octets, ends[:-1])
+        first[opened] = True
+        borders = np.append(octets[first], len(raw)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(borders) - 1, pa.py_buffer(borders), pa.py_buffer(raw))
+        return parts, np.cumsum(first)[opened] - 1
+
+    def cut(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        lists, begins, done = [pa.array([], pa.string())], [], 0
+        for begin in range(0, len(words), CUT_WORDS):
+            parts, opened = some(words.slice(begin, CUT_WORDS))
+            lists.append(parts)
+            begins.append(done + opened)
+            done += len(parts)
+        return pa.concat_arrays(lists), np.concatenate([*begins, [done]]).astype(np.int64)
 
     return cut
 
@@ -243,12 +268,9 @@ def _cutter(pairs: frozenset[str]):
 def _words(pairs: frozenset[str]):
     def run(group: pa.Table) -> pa.Table:
         """The different parts of a chunk's words."""
-        cut, found = _cutter(pairs), set()
-        for docs in _slices(group):
-            words = _numbered(docs.column("text"))[0]
-            found.update(cut(words)[0] if words else [])
-        parts = list(found)
-        return pa.table({"chunk": pa.array(np.full(len(parts), group.column("chunk")[0].as_py(), np.int64)), "word": pa.array(parts, pa.string())})
+        words = pc.unique(pa.chunked_array([_numbered(docs.column("text"))[0] for docs in _slices(group)], pa.string()))
+        parts = pc.unique(_cutter(pairs)(words)[0])
+        return pa.table({"chunk": pa.array(np.full(len(parts), group.column("chunk")[0].as_py(), np.int64)), "word": parts})
 
     return run
 
@@ -260,21 +282,56 @@ def _gather(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(at[rows] - stops[:-1], sizes) + np.arange(stops[-1])], stops
 
 
+_PACKED = "chunk long, packed binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, word, ids) of a task as one compressed table for each chunk, which shuffles in a third of the space."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().sort_by("chunk")
+        chunks, begins = np.unique(rows.column("chunk").to_numpy(), return_index=True)
+        blobs = []
+        for begin, stop in zip(begins, [*begins[1:], len(rows)]):
+            sink = pa.BufferOutputStream()
+            part = rows.slice(begin, stop - begin).select(["word", "ids"])
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part.combine_chunks())
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "packed"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= PACKED_ROWS:
+            yield packed(held)
+            held, size = [], 0
+    if size:
+        yield packed(held)
+
+
+def _unpacked(blobs: pa.ChunkedArray) -> pa.Table:
+    """The rows (word, ids) of some packed tables."""
+    tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs]
+    return pa.concat_tables(tables) if tables else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+
+
 def _apply(pairs: frozenset[str]):
     def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
         """Ids of a chunk's texts from its dictionary."""
-        cut, known = _cutter(pairs), dictionary.column("word").combine_chunks()
-        listed = dictionary.column("ids").combine_chunks()
-        listed = pa.concat_arrays(listed.chunks) if isinstance(listed, pa.ChunkedArray) else listed
-        flat, offsets = listed.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64)
-        lists = []
-        for some in _slices(docs):
-            words, numbers, at = _numbered(some.column("text"))
-            parts, begins = cut(words) if words else ([], np.zeros(1, np.int64))
-            found = pc.index_in(pa.array(parts, pa.string()), value_set=known).to_numpy()
-            ids, ends = _gather(flat, offsets, found)
-            ids, ends = _gather(ids, ends[begins], numbers)
-            lists.append(pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(ids, pa.int32())))
+        dictionary = _unpacked(dictionary.column("packed"))
+        listed = _whole(dictionary.column("ids"))
+        numbered = [_numbered(some.column("text")) for some in _slices(docs)]
+        coded = _whole(pa.chunked_array([words for words, _, _ in numbered], pa.string())).dictionary_encode()
+        parts, begins = _cutter(pairs)(coded.dictionary)
+        found = pc.index_in(parts, value_set=_whole(dictionary.column("word"))).to_numpy()
+        flat, ends = _gather(listed.values.to_numpy(), listed.offsets.to_numpy().astype(np.int64), found)
+        ends, lists, done = ends[begins], [], 0
+        for words, numbers, at in numbered:
+            ids, stops = _gather(flat, ends, coded.indices.to_numpy()[done + numbers])
+            lists.append(pa.ListArray.from_arrays(pa.array(stops[at].astype(np.int32)), pa.array(ids, pa.int32())))
+            done += len(words)
         return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.chunked_array(lists, pa.list_(pa.int32())), "text": docs.column("text")})
 
     return run
@@ -289,15 +346,17 @@ def encode(docs: DataFrame, path: str, fold: str = "merges", chunk_chars: int =
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # several buckets a chunk, so that few share one; a chunk is one file
-    buckets = 4 * max(1, -(-size // chunk_chars))
-    rows = bucketed(rows.mapInArrow(dealt(chunk_chars), "chunk long, doc_id long, text string"), buckets, "chunk")
+    # several buckets a chunk, so that few share one; a chunk is one file, and a task reads about one, however small the input's splits are
+    chunks = max(1, -(-size // chunk_chars))
+    rows = bucketed(rows.coalesce(chunks + chunks // 4).mapInArrow(dealt(chunk_chars), "chunk long, doc_id long, text string"), 4 * chunks, "chunk")
     pairs = beside(path)
     needed = compressed(rows.groupBy("chunk").applyInArrow(_words(pairs), "chunk long, word string"))
     # a task's lattices stay small: a word has many edges
     parts = max(1, -(-needed.agg(F.approx_count_distinct("word")).first()[0] // LATTICE_WORDS))
-    encoded = compressed(encode_words(needed.select("word").repartition(parts, "word").distinct(), path, fold))
-    dictionary = needed.join(encoded, "word").select("chunk", "word", "ids")
+    # the chunks' words travel once to their bucket, where the lattices are folded and their ids join them
+    spread = bucketed(needed.repartition(parts, "word").sortWithinPartitions("word"), parts, "word")
+    encoded = bucketed(encode_words(spread.select("word").distinct(), path, fold), parts, "word")
+    dictionary = spread.join(encoded, "word").select("chunk", "word", "ids").mapInArrow(_pack, _PACKED)
     return rows.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(_apply(pairs), _ENCODED)
 
 
@@ -325,4 +384,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
     table = F.split(F.lit(",".join(piece_bytes(path))), ",")
     raw = F.unhex(F.array_join(F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.get(table, i)), "")).cast("string")
-    return encoded.withColumn("decoded", F.when(F.substring(raw, 1, 1) == " ", F.substring(raw, F.lit(2), F.length(raw))).otherwise(raw))
+    # a list of one binds the text, which is otherwise joined again at each use
+    inner = lambda r: F.when(F.startswith(r, F.lit(" ")), F.substring(r, F.lit(2), F.length(r))).otherwise(r)
+    return encoded.withColumn("decoded", F.get(F.transform(F.array(raw), inner), 0))

@@ -187,6 +187,42 @@ def test_pieces_of_awkward_texts(spark):
     assert pieces.decode(pieces.encode(docs.limit(0), path), path).count() == 0
 
 
+def test_pieces_travel_once(spark, monkeypatch):
+    """Words meet their ids in their buckets, without a second shuffle by word, however many buckets, packed tables and cuts there are."""
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for name, value in (("LATTICE_WORDS", 100), ("PACKED_ROWS", 50), ("CUT_WORDS", 7), ("SLICE", 300)):
+        monkeypatch.setattr(pieces, name, value)
+    docs = spark.createDataFrame([(i, "  ".join(f"wörd{j} x{i}" for j in range(i, i + 40))) for i in range(30)], DOCS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        encoded = pieces.encode(docs, path, chunk_chars=3000)
+        assert "hashpartitioning(word" not in encoded._jdf.queryExecution().executedPlan().toString()
+        got = pieces.decode(encoded, path).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 30 and all(r.ids == library.encode(r.text) and r.decoded == r.text for r in got)
+
+
+def test_words_are_numbered_and_cut_by_definition():
+    texts = ["a b", "", " ", "  lead", "trail  ", "x   y x", "▁▁m ß漢🙂a", "a b", None]
+    import pyarrow as pa
+
+    array = pa.chunked_array([pa.array([t or "" for t in texts])])
+    words, numbers, at = pieces._numbered(array)
+    want = [re.findall("▁+[^▁]*", "▁" + (t or "").replace(" ", "▁")) if t else [] for t in texts]
+    assert [[words[int(n)].as_py() for n in numbers[a:b]] for a, b in zip(at, at[1:])] == want
+    pairs = frozenset(["▁a", "▁x", "ß漢", "le", "ea"])
+    parts, begins = pieces._cutter(pairs)(words)
+    for word, a, b in zip(words.to_pylist(), begins, begins[1:]):
+        got = parts.to_pylist()[a:b]
+        assert "".join(got) == word
+        assert got == re.findall("(?s)[^\0]+", "".join(c + ("" if c + d in pairs else "\0") for c, d in zip(word, word[1:] + "\0")))
+
+
 def test_best_path_by_brute_force(spark):
     table = spark.createDataFrame([("a", 0, 1, -1.0), ("b", 1, 2, -1.5), ("ab", 2, 3, -2.0), ("aba", 3, 4, -2.8), ("ba", 4, 5, -2.2)], "piece string, rank int, id int, score double")
     words = spark.createDataFrame([(w,) for w in ("abab", "ababa", "bbaab", "a")], "word string")
