@@ -10,7 +10,8 @@ are never shuffled; the chunks' words travel once to the lattices, and back as p
 
 Two folds share the lattice: ``viterbi`` takes the path of the highest total
 score, as unigram models do; ``merges`` joins the best neighbouring pair again
-and again, as models of byte-pair kind do, and is what gives their library ids.
+and again, as models of byte-pair kind do, and is what gives their library ids.  It passes over a word's edges
+once, in the order of their ranks; only words with a piece that may become a pair too late for that are joined step by step.
 Words that are longer than ``LONGEST`` after the cuts go to the library, whose cost does not
 grow with the square of their length.
 """
@@ -36,10 +37,12 @@ CUT_WORDS, PACKED_ROWS = 100_000, 200_000
 #: A control character, which no piece holds beside another.
 _APART = "\x01"
 _EDGE = "array<struct<rank:int,begin:int,stop:int,id:int,score:double>>"
+#: Places in the number of an edge: a single character, rank (25 bits), begin and stop (5 bits each, so ``LONGEST`` is below 32), a late piece, id (26 bits).
+_SINGLE, _RANK, _BEGIN, _STOP, _LATE = 62, 37, 32, 27, 26
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
-    """Pieces (piece, rank, id, score), the id of the first byte piece, and the longest piece's length.
+    """Pieces (piece, rank, id, score, late), the id of the first byte piece, and the longest piece's length.
 
     A model has a fixed vocabulary, so the table is as small as its file.
     """
@@ -48,9 +51,31 @@ def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     ranked = sorted(plain, key=lambda i: (-model.get_score(i), i))
-    rows = [(model.id_to_piece(i), r, i, float(model.get_score(i))) for r, i in enumerate(ranked)]
+    late = late_pieces([model.id_to_piece(i) for i in ranked])
+    rows = [(p := model.id_to_piece(i), r, i, float(model.get_score(i)), p in late) for r, i in enumerate(ranked)]
     first = next((i for i in range(model.vocab_size()) if model.is_byte(i)), model.unk_id())
-    return spark.createDataFrame(rows, "piece string, rank int, id int, score double"), first, max(len(r[0]) for r in rows)
+    return spark.createDataFrame(rows, "piece string, rank int, id int, score double, late boolean"), first, max(len(r[0]) for r in rows)
+
+
+def late_pieces(ranked: list[str]) -> frozenset[str]:
+    """Pieces that become a pair only by a join that ranks behind them.
+
+    While both ends of a piece are borders, what is joined within does not depend on what is beside it.
+    So pairs are met in the order of their ranks in every word without such a piece.
+    """
+    ranks = {p: r for r, p in enumerate(ranked)}
+    late = set()
+    for piece, rank in ranks.items():
+        borders, last = [*range(len(piece) + 1)], -1
+        while len(borders) > 3:
+            joined, at = min((ranks.get(piece[a:b], len(ranks)), i) for i, (a, b) in enumerate(zip(borders, borders[2:])))
+            if joined == len(ranks):
+                break
+            del borders[at + 1]
+            last = joined
+        if len(borders) == 3 and last > rank:
+            late.add(piece)
+    return frozenset(late)
 
 
 def words_of(text: Column) -> Column:
@@ -59,19 +84,45 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
-    """``word`` with ``edges``: all pieces within it, the best ranked first and equal ones by place."""
+def _met(words: DataFrame, pieces: DataFrame, longest_piece: int, *names: str) -> DataFrame:
+    """``word``, ``begin`` and ``size`` of its substrings that are pieces (``found``), with these columns of theirs, and of its characters."""
     begins = F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("begin")
     lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest_piece), F.length("word") - F.col("begin")))).alias("size")
     cut = words.select("word", begins).select("word", "begin", lengths)
     cut = cut.withColumn("piece", F.substring("word", F.col("begin") + 1, F.col("size")))
     # the piece table is bounded by the model's vocabulary; it is met by a number, which is faster, and then compared
-    keyed = pieces.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("held"), "rank", "id", "score")
+    keyed = pieces.select(F.xxhash64("piece").alias("key"), F.col("piece").alias("held"), *names)
     found = F.coalesce(F.col("held") == F.col("piece"), F.lit(False))
     # a word's characters stay, so that one without any piece does
     met = cut.withColumn("key", F.xxhash64("piece")).join(F.broadcast(keyed), "key", "left").where((F.col("size") == 1) | found)
+    return met.select("word", "begin", "size", found.alias("found"), *names)
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
+    """``word`` with ``edges``: all pieces within it, the best ranked first and equal ones by place."""
+    met = _met(words, pieces, longest_piece, "rank", "id", "score")
     edge = F.struct("rank", "begin", (F.col("begin") + F.col("size")).alias("stop"), "id", "score")
-    return met.groupBy("word").agg(F.sort_array(F.collect_list(F.when(found, edge)).cast(_EDGE)).alias("edges"))
+    return met.groupBy("word").agg(F.sort_array(F.collect_list(F.when(F.col("found"), edge)).cast(_EDGE)).alias("edges"))
+
+
+def numbered_lattice(words: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
+    """As ``lattice``, without scores: an edge is a number, which is collected and sorted faster, and single characters come last."""
+    place = lambda flag, bit: F.when(flag, F.lit(1 << bit)).otherwise(F.lit(0))
+    code = place(F.length("piece") == 1, _SINGLE) + F.col("rank") * F.lit(1 << _RANK) + place(F.col("late"), _LATE) + F.col("id")
+    met = _met(words, pieces.withColumn("code", code), longest_piece, "code")
+    begin, size = F.col("begin").cast("long"), F.col("size").cast("long")
+    edge = F.col("code") + begin * F.lit(1 << _BEGIN) + (begin + size) * F.lit(1 << _STOP)
+    return met.groupBy("word").agg(F.sort_array(F.collect_list(F.when(F.col("found"), edge))).alias("edges"))
+
+
+def _field(edge: Column, place: int, bits: int) -> Column:
+    """A field of an edge's number."""
+    return F.shiftright(edge, place).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def _unnumbered(edges: Column) -> Column:
+    """Edges in columns."""
+    return F.transform(edges, lambda e: F.struct(_field(e, _BEGIN, 5).alias("begin"), _field(e, _STOP, 5).alias("stop"), _field(e, 0, _LATE).alias("id")))
 
 
 def _bits(count: Column) -> Column:
@@ -113,6 +164,43 @@ def _merged(word: Column, edges: Column) -> Column:
     return F.get(F.transform(F.array(mask), lambda m: F.filter(places, lambda i: F.getbit(m, i) == 1)), 0)
 
 
+def _merged_once(word: Column, edges: Column) -> Column:
+    """Borders that ``_merged`` leaves, as the bits of a number, in one pass over numbered edges; right where none is late."""
+
+    def step(mask: Column, e: Column) -> Column:
+        begin, stop = _field(e, _BEGIN, 5), _field(e, _STOP, 5)
+        inside = _bits(stop) - _bits(begin + 1)
+        pair = (F.getbit(mask, begin) == 1) & (F.getbit(mask, stop) == 1) & (F.bit_count(mask.bitwiseAND(inside)) == 1)
+        return F.when(pair, mask.bitwiseAND(F.bitwise_not(inside))).otherwise(mask)
+
+    return F.aggregate(F.filter(edges, lambda e: e < F.lit(1 << _SINGLE)), _bits(F.length(word) + 1), step)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value, which a list of one binds; it is otherwise found again at each use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _merged_ids(word: Column, edges: Column, first_byte: int) -> Column:
+    """Ids of a word from its numbered edges: joined in one pass, or one by one where a piece is late."""
+    late = F.exists(edges, lambda e: F.getbit(e, F.lit(_LATE)) == 1)
+
+    def between(borders: Column) -> Column:
+        return _bound(borders, lambda b: _bound(_unnumbered(edges), lambda c: _ids(word, c, b, first_byte)))
+
+    def ids(mask: Column) -> Column:
+        def kept(e: Column) -> Column:
+            begin, stop = _field(e, _BEGIN, 5), _field(e, _STOP, 5)
+            return (F.getbit(mask, begin) == 1) & (F.getbit(mask, stop) == 1) & (mask.bitwiseAND(_bits(stop) - _bits(begin + 1)) == 0)
+
+        # the pieces that are left, by their places; a character without a piece is not among them
+        parts = F.sort_array(F.transform(F.filter(edges, kept), lambda e: e.bitwiseAND(F.lit((1 << _RANK) - 1))))
+        borders = F.filter(F.sequence(F.lit(0), F.length(word)), lambda i: F.getbit(mask, i) == 1)
+        return _bound(parts, lambda p: F.when(F.size(p) == F.bit_count(mask) - 1, F.transform(p, lambda e: _field(e, 0, _LATE))).otherwise(between(borders)))
+
+    return F.when(late, between(_bound(_unnumbered(edges), lambda c: _merged(word, c)))).otherwise(_bound(_merged_once(word, edges), ids))
+
+
 def _best_path(word: Column, edges: Column, missing: float = -1e6) -> Column:
     """Borders of the path with the highest total score; a character without a piece costs ``missing``."""
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("path")))
@@ -165,11 +253,13 @@ def encode_words(words: DataFrame, path: str, fold: str = "merges") -> DataFrame
     """``word`` and ``ids`` of different words, each with the marks that it has."""
     table, first, longest_piece = piece_table(words.sparkSession, path)
     short = words.where(F.length("word") <= LONGEST)
-    edged = lattice(short, table, longest_piece)
-    borders = (_merged if fold == "merges" else _best_path)(F.col("word"), F.col("edges"))
-    # a list of one binds the borders, which are otherwise folded again at each use
-    ids = F.get(F.transform(F.array(borders), lambda b: _ids(F.col("word"), F.col("edges"), b, first)), 0)
-    folded = edged.select("word", ids.alias("ids"))
+    if fold == "merges":
+        folded = numbered_lattice(short, table, longest_piece).select("word", _merged_ids(F.col("word"), F.col("edges"), first).alias("ids"))
+    else:
+        edged = lattice(short, table, longest_piece)
+        # a list of one binds the borders, which are otherwise folded again at each use
+        ids = F.get(F.transform(F.array(_best_path(F.col("word"), F.col("edges"))), lambda b: _ids(F.col("word"), F.col("edges"), b, first)), 0)
+        folded = edged.select("word", ids.alias("ids"))
     long = words.where(F.length("word") > LONGEST).mapInArrow(_library(path), "word string, ids array<int>")
     return folded.unionByName(long)
 

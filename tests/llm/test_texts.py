@@ -223,6 +223,33 @@ def test_words_are_numbered_and_cut_by_definition():
         assert got == re.findall("(?s)[^\0]+", "".join(c + ("" if c + d in pairs else "\0") for c, d in zip(word, word[1:] + "\0")))
 
 
+def test_pairs_are_joined_in_one_pass(spark):
+    """One pass over numbered edges joins what joining the best pair again and again does; late pieces are known and handled."""
+    assert pieces.late_pieces(["abc", "bc", "ab"]) == {"abc"} and not pieces.late_pieces(["bc", "abc", "ab"])
+    rng = np.random.default_rng(7)
+    some = lambda longest: "".join(rng.choice(list("abcd▁ß"), rng.integers(1, longest + 1)))
+    words = sorted({some(24) for _ in range(400)} | {"a" * 24, "x", "abc"})
+    late_words = 0
+    for ranked in (["abc", "bc", "cab", "a", "b"], [*dict.fromkeys(some(5) for _ in range(60))], ["ab", "abab", "a", "b", "c"]):
+        late, ids = pieces.late_pieces(ranked), {p: 300 + i for i, p in enumerate(ranked)}
+        table = spark.createDataFrame([(p, i, ids[p], -1.0 * i, p in late) for i, p in enumerate(ranked)], "piece string, rank int, id int, score double, late boolean")
+
+        def joined(word, ranks={p: i for i, p in enumerate(ranked)}, ids=ids):
+            parts = list(word)
+            while len(parts) > 1:
+                best, at = min((ranks.get(a + b, math.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if best == math.inf:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return [n for p in parts for n in ([ids[p]] if p in ids else [3 + b for b in p.encode()])]
+
+        edged = pieces.numbered_lattice(spark.createDataFrame([(w,) for w in words], "word string"), table, 5)
+        got = edged.select("word", pieces._merged_ids(F.col("word"), F.col("edges"), 3).alias("ids")).collect()
+        assert {r.word: r.ids for r in got} == {w: joined(w) for w in words}
+        late_words += sum(any(p in w for p in late) for w in words)
+    assert late_words > 50
+
+
 def test_best_path_by_brute_force(spark):
     table = spark.createDataFrame([("a", 0, 1, -1.0), ("b", 1, 2, -1.5), ("ab", 2, 3, -2.0), ("aba", 3, 4, -2.8), ("ba", 4, 5, -2.2)], "piece string, rank int, id int, score double")
     words = spark.createDataFrame([(w,) for w in ("abab", "ababa", "bbaab", "a")], "word string")
