@@ -6,12 +6,14 @@ import io
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from hemline import session
 from hemline.functions import text as X
 from hemline.operators import evaluation as E
 from hemline.operators import hashing as H
@@ -21,6 +23,8 @@ from hemline.operators import profile as P
 from hemline.operators import sales as S
 from hemline.operators import scaling as Z
 from hemline.operators import stages as St
+from hemline.plans import neighbor_queries as Q
+from hemline.plans.registry import Tables
 from hemline.session import materialize, scratch_path
 from hemline.sources import sheets as Sh
 
@@ -89,6 +93,46 @@ def test_hash_index_on_clusters(spark, monkeypatch):
     assert {r.qid: r.neighbors for r in wide.collect()} == {r.qid: r.neighbors for r in exact.collect()}
 
 
+def test_a_row_is_written_once_to_the_index_and_never_shuffled(spark, monkeypatch, capsys):
+    monkeypatch.setattr(H, "GROUP_ROWS", 50)
+    draw = np.random.default_rng(6)
+    rows = [(n, (np.eye(8)[n % 8] * 9 + draw.normal(size=8)).tolist()) for n in range(400)]
+    train = spark.createDataFrame(rows, "id long, vec array<double>")
+    index = H.build_lsh(train, 3)
+    assert index.groups >= 8 and index.held.count() == 400
+    index.nearest(train, 3).explain()
+    plan = capsys.readouterr().out
+    assert "CoGroup" not in plan
+    dealt = [line for line in plan.splitlines() if "Exchange hash" in line]
+    assert dealt and all("hashpartitioning(qid" in line for line in dealt)
+
+
+@pytest.mark.parametrize("few", [0, 1024])
+def test_small_buckets_are_measured_like_large_ones(spark, monkeypatch, few):
+    monkeypatch.setattr(H, "_FEW_PAIRS", few)
+    draw = np.random.default_rng(7)
+    vectors = draw.normal(size=(300, 6))
+    train = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors)], "id long, vec array<double>").repartition(3)
+    index = H.build_lsh(train, 3, tables=3, hashes=4, block_rows=16)
+    names = [index.projections.buckets(pd.Series(list(vectors)), n).reshape(300, -1) for n in (1, 5)]
+    for r in index.nearest(train, 3, probes=5).collect():
+        met = [i for i in range(300) if i != r.qid and set(names[0][i]) & set(names[1][r.qid])]
+        want = sorted((np.sqrt(np.square(vectors[r.qid] - vectors[i]).sum()), i) for i in met)[:3]
+        assert [(p.d, p.id) for p in r.neighbors] == want
+
+
+def test_figures_of_the_index_leave_no_vectors_behind(spark, tmp_path):
+    rows = [(i, np.random.default_rng(i).normal(size=16).tolist(), i % 4) for i in range(240)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    written = session._WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(written)
+    found = Q.lsh_quality(Tables(spark, str(tmp_path))).collect()
+    assert [r.copies for r in found] == [1, 4, 16] and all(r.recall > 0.5 for r in found)
+    # the table dealt to the cores, and a row of figures for each size
+    held = [spark.read.parquet(path).count() for path in written[before:]]
+    assert sorted(held) in ([1, 1, 1], [1, 1, 1, 240])
+
+
 def test_hash_index_without_neighbours(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1e6, 1e6]), (6, [1.0])]
     both = spark.createDataFrame(rows, "id long, vec array<double>")
