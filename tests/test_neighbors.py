@@ -158,3 +158,51 @@ def test_pruned_rows_travel_once_to_a_group_of_blocks(spark, data, monkeypatch):
     monkeypatch.setattr(N, "_search", counted)
     assert _ids(N.nearest_pruned(df, df, 4, pivots=1, block_rows=30)) == _brute(ids, v, ids, v, 4)
     assert shipped == [300, 300]
+
+
+def test_no_vector_is_shuffled(spark, data, capsys):
+    df = _frame(spark, data[0].tolist(), data[1])
+    for found in (N.nearest(df, df, 3, block_rows=10), N.nearest_pruned(df, df, 3, pivots=8, block_rows=30)):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "CartesianProduct" in plan and "CoGroup" not in plan
+        dealt = [line for line in plan.splitlines() if "Exchange hash" in line]
+        assert dealt and all("hashpartitioning(qid" in line for line in dealt)
+
+
+@pytest.mark.parametrize("run", [12, 1 << 23])
+def test_crowds_of_copies_shrink_in_their_task(spark, monkeypatch, run):
+    monkeypatch.setattr(N, "RUN_NUMBERS", run)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(batch)
+    rng = np.random.default_rng(8)
+    ids, v = np.arange(200), rng.normal(size=(200, 3)).astype(np.float32).astype(np.float64)
+    v[40:160] = v[5]
+    fold = ids % 3
+    rows = [(int(i), [float(x) for x in r], int(f)) for i, r, f in zip(ids, v, fold)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"id long, vec array<{kind}>, fold int").repartition(3)
+        assert _ids(N.nearest(df, df, 4)) == _brute(ids, v, ids, v, 4)
+        same = N.nearest(df, df, 4, exclude_same="fold")
+        assert _ids(same) == _brute(ids, v, ids, v, 4, lambda a, b: fold[a] == fold[b])
+    spark.conf.set(batch, 20)
+    held = N.Blocks.of(df.coalesce(1).select("id", F.lit(None).cast("long").alias("grp"), "vec"), 50, copies=4)
+    spark.conf.set(batch, usual)
+    assert held.count() == 84 if run > 12 else 84 < held.count() < 200
+
+
+def test_a_search_leaves_only_its_result(spark, tmp_path):
+    from hemline import session
+    from hemline.plans import neighbor_queries as Q
+    from hemline.plans.registry import Tables
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r], i % 4) for i, r in enumerate(rng.normal(size=(240, 16)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    written = session._WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(written)
+    found = Q.g4_clusters(Tables(spark, str(tmp_path))).first()
+    assert (found.copies, found.differing) == (4, 0)
+    # the plain search's rows, the pruned one's and the share
+    kept = [path for path in written[before:] if "vec" not in spark.read.parquet(path).columns]
+    assert len(kept) == 3 and len(written) - before <= 4
